@@ -60,24 +60,21 @@ def resolve_target(df: DataFrame, target: str | None = None) -> str:
 
 def value(df: DataFrame, name: str):
     """Column `name` in its own type, with NaN read as missing."""
-    c = F.col(quoted(name))
     if isinstance(df.schema[name].dataType, _FLOATING):
-        return F.when(~F.isnan(c), c)
-    return c
+        return F.expr(f"if(isnan({quoted(name)}), null, {quoted(name)})")
+    return F.col(quoted(name))
 
 
 def num(name: str):
     """Numeric column `name` as double, with NaN read as missing and -0.0 as 0.0."""
-    c = F.col(quoted(name)).cast("double")
-    return F.nanvl(c, F.lit(None).cast("double")) + F.lit(0.0)
+    return F.expr(f"nanvl(cast({quoted(name)} as double), cast(null as double)) + 0.0D")
 
 
 def missing(df: DataFrame, name: str):
     """True where the value counts as missing (NULL, or NaN in a float column)."""
-    c = F.col(quoted(name))
     if isinstance(df.schema[name].dataType, _FLOATING):
-        return c.isNull() | F.isnan(c)
-    return c.isNull()
+        return F.expr(f"{quoted(name)} is null or isnan({quoted(name)})")
+    return F.expr(f"{quoted(name)} is null")
 
 
 def nan_to_null(df: DataFrame) -> DataFrame:

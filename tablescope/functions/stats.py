@@ -18,28 +18,35 @@ def guarded_corr(a: Column, b: Column) -> Column:
     return F.covar_pop(a, b) / F.nullif(spread, F.lit(0.0))
 
 
-def adjusted_skewness(c: Column) -> Column:
-    """Bias-corrected skewness; 0 for a constant column of at least 3 values."""
-    n = F.count(c).cast("double")
-    g1 = F.skewness(c)
+def corr_parts(a: Column, b: Column) -> dict[str, Column]:
+    """The aggregates behind `guarded_corr`, for `corr_of_parts` on the aggregated rows."""
+    both = a.isNotNull() & b.isNotNull()
+    return {"_cov": F.covar_pop(a, b), "_sa": F.stddev_pop(F.when(both, a)),
+            "_sb": F.stddev_pop(F.when(both, b))}
+
+
+def corr_of_parts() -> Column:
+    return F.expr("_cov / nullif(_sa * _sb, 0.0D)")
+
+
+def adjusted_skewness(n: Column, g1: Column) -> Column:
+    """Bias-corrected skewness from the plain one; 0 for a constant column of 3 values or more."""
+    n = n.cast("double")
     adj = g1 * F.sqrt(n * (n - 1)) / F.nullif(n - 2, F.lit(0.0))
     return F.when(n >= 3, F.coalesce(adj, F.lit(0.0)))
 
 
-def adjusted_kurtosis(c: Column) -> Column:
-    """Bias-corrected excess kurtosis; 0 for a constant column of at least 4 values."""
-    n = F.count(c).cast("double")
-    g2 = F.kurtosis(c)
+def adjusted_kurtosis(n: Column, g2: Column) -> Column:
+    """Bias-corrected excess kurtosis; 0 for a constant column of 4 values or more."""
+    n = n.cast("double")
     scale = (n - 1) / F.nullif((n - 2) * (n - 3), F.lit(0.0))
     return F.when(n >= 4, F.coalesce(scale * ((n + 1) * g2 + 6), F.lit(0.0)))
 
 
-def jarque_bera_p(c: Column) -> Column:
+def jarque_bera_p(n: Column, g1: Column, g2: Column) -> Column:
     """p-value of the Jarque-Bera normality test (chi-square with 2 degrees of freedom)."""
-    n = F.count(c).cast("double")
-    g1, g2 = F.coalesce(F.skewness(c), F.lit(0.0)), F.coalesce(F.kurtosis(c), F.lit(0.0))
-    jb = n / 6 * (g1 * g1 + g2 * g2 / 4)
-    return F.exp(-jb / 2)
+    g1, g2 = F.coalesce(g1, F.lit(0.0)), F.coalesce(g2, F.lit(0.0))
+    return F.exp(-(n.cast("double") / 6 * (g1 * g1 + g2 * g2 / 4)) / 2)
 
 
 def ks_p_value(d: Column, n1: Column, n2: Column) -> Column:

@@ -16,12 +16,14 @@ def per_column(df: DataFrame, names: Sequence[str], build: Callable[[str], dict[
                key: str = "feature", chunk: int = 25, by: Sequence[str] = ()) -> DataFrame:
     """One row `(ordinal, <key>, *build(name))` per column name (and per group of `by`).
 
-    `build` returns aggregate expressions; they are computed with partial
-    aggregation, so one short row per task is all that is shuffled.
+    `build` returns plain aggregates; they are computed with partial aggregation, so
+    one short row per task is all that is shuffled. Formulas over them belong on the
+    resulting rows, where they are planned once and not once per column.
     """
     if not names:
         none = df.withColumn("_none", F.lit(None).cast("double"))
         return per_column(none, ["_none"], build, key, chunk, by).filter(F.lit(False))
+    # inline_outer, as a plain inline makes the optimizer infer a size filter over all aggregates.
     parts = []
     indexed = list(enumerate(names))
     for at in range(0, len(indexed), chunk):
@@ -29,7 +31,7 @@ def per_column(df: DataFrame, names: Sequence[str], build: Callable[[str], dict[
                          *[e.alias(a) for a, e in build(n).items()])
                 for i, n in indexed[at:at + chunk]]
         grouped = df.groupBy(*by) if by else df
-        parts.append(grouped.agg(F.array(*rows).alias("_rows")).select(*by, F.inline("_rows")))
+        parts.append(grouped.agg(F.array(*rows).alias("_rows")).select(*by, F.inline_outer("_rows")))
     return reduce(DataFrame.unionByName, parts)
 
 

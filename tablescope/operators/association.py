@@ -8,8 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablescope.functions.schema import is_numeric, num, numeric_columns
-from tablescope.functions.stats import (EPS, correlation_label, guarded_corr, label, rounded,
+from tablescope.functions.schema import is_numeric, num, numeric_columns, quoted
+from tablescope.functions.stats import (EPS, corr_of_parts, corr_parts, correlation_label, label, rounded,
                                         vif_label)
 from tablescope.functions.wide import long_form, per_column
 from tablescope.operators.quantiles import quantiles
@@ -36,17 +36,25 @@ def correlation_pairs(df: DataFrame, names: Sequence[str], listwise: bool = True
         if len(names) > _WIDE_TABLE:
             return _gram_correlation(df, names)
     pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
+
+    def corr(a: str, b: str) -> dict[str, Column]:
+        if not listwise:
+            return corr_parts(num(a), num(b))
+        a, b = F.col(quoted(a)), F.col(quoted(b))           # complete, so each spread is shared
+        return {"_cov": F.covar_pop(a, b), "_sa": F.stddev_pop(a), "_sb": F.stddev_pop(b)}
     parts = []
     for at in range(0, len(pairs), _PAIRS_PER_AGG):
-        rows = [F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(names[i]).alias("feature_1"),
-                         F.lit(names[j]).alias("feature_2"),
-                         guarded_corr(num(names[i]), num(names[j])).alias("corr"))
+        rows = [F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"),
+                         *[e.alias(k) for k, e in corr(names[i], names[j]).items()])
                 for i, j in pairs[at:at + _PAIRS_PER_AGG]]
-        parts.append(df.agg(F.array(*rows).alias("_rows")).select(F.inline("_rows")))
+        parts.append(df.agg(F.array(*rows).alias("_rows")).select(F.inline_outer("_rows")))
     if not parts:
         return df.sparkSession.createDataFrame(
             [], "i int, j int, feature_1 string, feature_2 string, corr double")
-    return reduce(DataFrame.unionByName, parts)
+    all_names = F.array(*[F.lit(c) for c in names])
+    return reduce(DataFrame.unionByName, parts).select(
+        "i", "j", F.element_at(all_names, F.col("i") + 1).alias("feature_1"),
+        F.element_at(all_names, F.col("j") + 1).alias("feature_2"), corr_of_parts().alias("corr"))
 
 
 def _complete_rows(df: DataFrame, names: Sequence[str]) -> tuple[DataFrame, list[str], list[str]]:
@@ -154,7 +162,8 @@ def leakage_by_correlation(df: DataFrame, target: str) -> DataFrame:
     if not names:
         return df.sparkSession.createDataFrame(
             [], "feature string, abs_corr double, level string, label string")
-    corr = per_column(df, names, lambda c: {"_c": F.abs(guarded_corr(num(c), num(target)))})
+    corr = per_column(df, names, lambda c: corr_parts(num(c), num(target)))
+    corr = corr.withColumn("_c", F.abs(corr_of_parts()))
     return corr.filter("_c is not null").select(
         "feature", rounded(F.col("_c"), 4).alias("abs_corr"),
         label(F.col("_c"), (LEAK_CANDIDATE, "candidate"), (LEAK_WARNING, "warning"), default="ok")
@@ -223,8 +232,8 @@ def leakage_probability(df: DataFrame, target: str, bins: int = 10) -> DataFrame
             [], "feature string, mi_score double, mi_normalized double, correlation double, "
                 "leakage_prob double, risk_level string")
     mi = _normalised(_mutual_information(df, target, bins))
-    corr = per_column(df, numeric_columns(df, target), lambda c: {
-        "_c": F.coalesce(F.abs(guarded_corr(num(c), num(target))), F.lit(0.0))})
+    corr = per_column(df, numeric_columns(df, target), lambda c: corr_parts(num(c), num(target)))
+    corr = corr.withColumn("_c", F.coalesce(F.abs(corr_of_parts()), F.lit(0.0)))
     both = mi.join(corr, "feature").withColumn(             # one row per feature on both sides
         "leakage_prob", rounded(0.5 * F.col("mi_norm") + 0.5 * F.col("_c"), 4))
     return both.select("feature", rounded(F.col("mi"), 5).alias("mi_score"),

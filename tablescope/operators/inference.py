@@ -14,8 +14,16 @@ from tablescope.operators.ordering import adjacent_gaps, weighted_median
 
 # Names, patterns, formats and limits.
 ID_NAMES = ("id", "index", "row_id", "uid", "uuid", "customer_id", "user_id", "order_id")
-DATE_FORMATS = ("yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm:ss.SSSSSS",
-                "yyyy-MM-dd'T'HH:mm:ss", "MM/dd/yyyy", "yyyy/MM/dd", "dd-MMM-yyyy", "MMM d, yyyy")
+DATE_FORMATS = {
+    "yyyy-MM-dd": r"^\d{4}-\d\d-\d\d$",
+    "yyyy-MM-dd HH:mm:ss": r"^\d{4}-\d\d-\d\d \d\d:\d\d:\d\d$",
+    "yyyy-MM-dd HH:mm:ss.SSSSSS": r"^\d{4}-\d\d-\d\d \d\d:\d\d:\d\d\.\d{6}$",
+    "yyyy-MM-dd'T'HH:mm:ss": r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d$",
+    "MM/dd/yyyy": r"^\d\d/\d\d/\d{4}$",
+    "yyyy/MM/dd": r"^\d{4}/\d\d/\d\d$",
+    "dd-MMM-yyyy": r"^\d\d-[A-Z][a-z]{2}-\d{4}$",
+    "MMM d, yyyy": r"^[A-Z][a-z]{2} \d{1,2}, \d{4}$",
+}
 ZIP_PATTERN = r"^\d{5}$"
 SHARE = 0.5
 MIN_SHARE_VALUES = 10
@@ -25,8 +33,15 @@ TIME_COLUMN_SHARE = 0.9
 
 
 def parse_date(c: Column) -> Column:
-    """Text as timestamp under the explicit format list, NULL when none fits."""
-    return F.coalesce(*[F.try_to_timestamp(c, F.lit(f)) for f in DATE_FORMATS])
+    """Text as timestamp under the explicit format list, NULL when none fits.
+
+    The parser is slow on text that does not fit, so it only sees text of the right form.
+    """
+    parsed = None
+    for fmt, form in DATE_FORMATS.items():
+        parsed = (F.when if parsed is None else parsed.when)(
+            c.rlike(form), F.try_to_timestamp(c, F.lit(fmt)))
+    return parsed
 
 
 def infer_types(df: DataFrame, id_names: Sequence[str] = ID_NAMES) -> DataFrame:
@@ -48,7 +63,7 @@ def infer_types(df: DataFrame, id_names: Sequence[str] = ID_NAMES) -> DataFrame:
         out["lowest"] = F.min(v) if is_num else empty["d"]
         out["highest"] = F.max(v) if is_num else empty["d"]
         out["mean"] = F.avg(v) if is_num else empty["d"]
-        out["skew"] = adjusted_skewness(v) if is_num else empty["d"]
+        out["g1"] = F.skewness(v) if is_num else empty["d"]
         out["only_01"] = F.bool_and(v.isin(0.0, 1.0)) if is_num else empty["b"]
         out["all_dates"] = F.bool_and(F.when(s.isNotNull(), parse_date(s).isNotNull())) \
             if is_text else empty["b"]
@@ -57,6 +72,7 @@ def infer_types(df: DataFrame, id_names: Sequence[str] = ID_NAMES) -> DataFrame:
         out["zip"] = F.avg(s.rlike(ZIP_PATTERN).cast("double")) if is_text else empty["d"]
         return out
     stats = per_column(df, df.columns, build, key="column", chunk=12).filter("n > 0")
+    stats = stats.withColumn("skew", adjusted_skewness(F.col("n"), F.col("g1")))
     distinct = _needed_distinct(df, numeric, id_names)
     stats = stats.join(distinct, "column", "left")          # one row per column on both sides
     is_num = F.col("column").isin(numeric) if numeric else F.lit(False)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablescope.functions.schema import missing, num, numeric_columns
-from tablescope.functions.stats import guarded_corr, label, rounded
+from tablescope.functions.stats import corr_of_parts, corr_parts, label, rounded
 from tablescope.operators.profile import first_per, missing_counts
 
 # The published limits of the audit.
@@ -38,12 +38,14 @@ def mar_signals(df: DataFrame) -> DataFrame:
         others = [c for c in numeric_columns(df) if c != m]
         for at in range(0, len(others), 50):
             rows = [F.struct(F.lit(at + i).alias("ordinal"), F.lit(m).alias("column"),
-                             F.lit(c).alias("related_to"), guarded_corr(flag, num(c)).alias("corr"))
+                             F.lit(c).alias("related_to"),
+                             *[e.alias(k) for k, e in corr_parts(flag, num(c)).items()])
                     for i, c in enumerate(others[at:at + 50])]
-            parts.append(df.agg(F.array(*rows).alias("_rows")).select(F.inline("_rows")))
+            parts.append(df.agg(F.array(*rows).alias("_rows")).select(F.inline_outer("_rows")))
     if not parts:
         return df.sparkSession.createDataFrame([], "column string, related_to string, corr double")
-    hits = reduce(DataFrame.unionByName, parts).filter(F.abs("corr") > SIGNAL_CORR)
+    hits = (reduce(DataFrame.unionByName, parts).withColumn("corr", corr_of_parts())
+            .filter(F.abs("corr") > SIGNAL_CORR))
     return first_per(hits, "column", [F.col("ordinal")]).select(
         "column", "related_to", rounded(F.abs("corr"), 2).alias("corr"))
 

@@ -9,7 +9,8 @@ from pyspark.sql import types as T
 
 from tablescope.functions.schema import (categorical_columns, groupable, is_numeric, missing, num,
                                          numeric_columns, quoted, value)
-from tablescope.functions.stats import adjusted_kurtosis, adjusted_skewness, guarded_corr, rounded
+from tablescope.functions.stats import (adjusted_kurtosis, adjusted_skewness, corr_of_parts, corr_parts,
+                                        rounded)
 from tablescope.functions.wide import per_column
 from tablescope.operators.quantiles import quantiles
 
@@ -168,13 +169,14 @@ def iqr_outliers(df: DataFrame, target: str | None = None,
 
     def build(c: str) -> dict[str, Column]:
         q1, q3, lo, hi = (F.lit(float(b)) for b in bounds[c])
-        return {"q1": rounded(q1, 4), "q3": rounded(q3, 4), "lower": rounded(lo, 4),
-                "upper": rounded(hi, 4),
+        return {"q1": q1, "q3": q3, "lower": lo, "upper": hi,
                 "n_outliers": F.count(F.when((num(c) < lo) | (num(c) > hi), 1))}
     if not bounds:
         return df.sparkSession.createDataFrame(
             [], "feature string, q1 double, q3 double, lower double, upper double, n_outliers bigint")
-    return per_column(df, list(bounds), build).filter("n_outliers > 0").drop("ordinal")
+    found = per_column(df, list(bounds), build).filter("n_outliers > 0")
+    return found.select("feature", *[rounded(F.col(c), 4).alias(c) for c in ("q1", "q3", "lower", "upper")],
+                        "n_outliers")
 
 
 def target_correlations(df: DataFrame, target: str, k: int = 15) -> DataFrame:
@@ -182,8 +184,8 @@ def target_correlations(df: DataFrame, target: str, k: int = 15) -> DataFrame:
     names = numeric_columns(df, target) if is_numeric(df, target) else []
     if not names:
         return df.sparkSession.createDataFrame([], "feature string, correlation double")
-    corr = per_column(df, names, lambda c: {
-        "correlation": rounded(guarded_corr(num(c), num(target)), 4)})
+    corr = per_column(df, names, lambda c: corr_parts(num(c), num(target)))
+    corr = corr.withColumn("correlation", rounded(corr_of_parts(), 4))
     return (corr.filter("correlation is not null")
             .orderBy(F.abs("correlation").desc(), "ordinal").limit(k)
             .select("feature", "correlation"))
@@ -239,12 +241,12 @@ def describe(df: DataFrame, target: str | None = None) -> DataFrame:
     cuts = quantiles(df, names, [0.25, 0.5, 0.75])
 
     def build(c: str) -> dict[str, Column]:
-        q = [rounded(F.lit(x).cast("double"), 4) for x in cuts.get(c, [None] * 3)]
+        q = [F.lit(x).cast("double") for x in cuts.get(c, [None] * 3)]
         return {"dtype": F.lit(df.schema[c].dataType.simpleString()) if c in cuts else F.lit(""),
-                "count": F.count(num(c)), "mean": rounded(F.avg(num(c)), 4),
-                "std": rounded(F.stddev(num(c)), 4), "min": rounded(F.min(num(c)), 4),
-                "q25": q[0], "q50": q[1], "q75": q[2], "max": rounded(F.max(num(c)), 4)}
-    return per_column(df, names, build).drop("ordinal")
+                "count": F.count(num(c)), "mean": F.avg(num(c)), "std": F.stddev(num(c)),
+                "min": F.min(num(c)), "q25": q[0], "q50": q[1], "q75": q[2], "max": F.max(num(c))}
+    return per_column(df, names, build).select("feature", "dtype", "count", *[
+        rounded(F.col(c), 4).alias(c) for c in ("mean", "std", "min", "q25", "q50", "q75", "max")])
 
 
 def feature_ranges(df: DataFrame, target: str | None = None, k: int = 10) -> DataFrame:
@@ -282,18 +284,21 @@ def profile_columns(df: DataFrame, target: str | None = None) -> DataFrame:
         out = F.lit(None).cast("bigint")
         if c in bounds:
             out = F.count(F.when((v < bounds[c][2]) | (v > bounds[c][3]), 1))
-        stat = {"mean": F.avg(v), "std": F.stddev(v), "min": F.min(v), "max": F.max(v)} if is_num else {}
+        stat = {"mean": F.avg(v), "std": F.stddev(v), "min": F.min(v), "max": F.max(v),
+                "g1": F.skewness(v), "g2": F.kurtosis(v)} if is_num else {}
         return {"dtype": F.lit(df.schema[c].dataType.simpleString() if known else ""),
                 "n_rows": F.count(F.lit(1)),
                 "n_missing": F.count(F.when(missing(df, c), 1)),
-                **{s: rounded(stat[s], 4) if is_num else empty for s in ("mean", "std", "min", "max")},
-                "skewness": rounded(adjusted_skewness(v), 3) if is_num else empty,
-                "kurtosis": rounded(adjusted_kurtosis(v), 3) if is_num else empty,
-                "n_outliers": out}
-    stats = per_column(df, df.columns, build)
+                **{s: stat.get(s, empty) for s in ("mean", "std", "min", "max", "g1", "g2")},
+                "_numeric": F.lit(is_num), "n_outliers": out}
+    n = F.when(F.col("_numeric"), F.col("n_rows") - F.col("n_missing"))
+    stats = per_column(df, df.columns, build, chunk=12).select(
+        "feature", "dtype", "n_rows", "n_missing",
+        *[rounded(F.col(c), 4).alias(c) for c in ("mean", "std", "min", "max")],
+        rounded(adjusted_skewness(n, F.col("g1")), 3).alias("skewness"),
+        rounded(adjusted_kurtosis(n, F.col("g2")), 3).alias("kurtosis"), "n_outliers")
     # One row per column on both sides.
-    return (stats.join(distinct_count(df), "feature")
-            .withColumn("is_constant", F.col("n_distinct") <= 1).drop("ordinal"))
+    return stats.join(distinct_count(df), "feature").withColumn("is_constant", F.col("n_distinct") <= 1)
 
 
 def first_per(df: DataFrame, by: str, order: Sequence[Column]) -> DataFrame:

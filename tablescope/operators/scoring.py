@@ -162,7 +162,7 @@ def _warning_rules(df: DataFrame, c: str, is_text: bool, id_names: Sequence[str]
         flag01 = F.bool_and(v.isin(0.0, 1.0)) & (F.min(v) < F.max(v))
         return [~flag01 & (F.count_distinct(value(df, c)) == F.count(v)) & (F.count(v) > 0)]
     if c.upper().endswith("RSI"):
-        money = F.coalesce((F.avg(v) > CURRENCY_MEAN) & (adjusted_skewness(v) > CURRENCY_SKEW), F.lit(False))
+        money = F.coalesce((F.avg(v) > CURRENCY_MEAN) & (adjusted_skewness(F.count(v), F.skewness(v)) > CURRENCY_SKEW), F.lit(False))
         return [~money & ((F.min(v) < RSI_RANGE[0]) | (F.max(v) > RSI_RANGE[1]))]
     return []
 

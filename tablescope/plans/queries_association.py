@@ -69,9 +69,9 @@ _VIF = ["l_quantity", "l_discount", "l_revenue"]
 @query("vif", with_views("fx_leak") + f"""
     select feature, {rnd('vif', 2)} as vif, case when round(vif, 2) > 10 then 'HIGH'
            when round(vif, 2) > 5 then 'MODERATE' else 'OK' end as level
-    from ({union([_vif3(j, ['l_quantity', 'l_mix', 'l_extendedprice']) for j in range(3)])})""")
+    from ({union([_vif3(j, ['l_quantity', 'l_mix', 'l_discount']) for j in range(3)])})""")
 def _(spark, sf):
-    return association.vif(view(spark, sf, "fx_leak").select("l_quantity", "l_mix", "l_extendedprice"))
+    return association.vif(view(spark, sf, "fx_leak").select("l_quantity", "l_mix", "l_discount"))
 
 
 @query("vif_all_features")
