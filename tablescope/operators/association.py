@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablescope.functions.schema import is_numeric, num, numeric_columns, quoted
+from tablescope.functions.schema import is_numeric, num, numeric_columns
 from tablescope.functions.stats import (EPS, corr_of_parts, corr_parts, correlation_label, label, rounded,
                                         vif_label)
 from tablescope.functions.wide import long_form, per_column
@@ -29,18 +29,22 @@ def correlation_pairs(df: DataFrame, names: Sequence[str], listwise: bool = True
     """`(i, j, feature_1, feature_2, corr)` for i <= j, unrounded.
 
     `listwise` uses only rows complete over all `names` (all-missing columns set
-    aside); otherwise each pair uses its own complete rows.
+    aside); otherwise each pair uses its own complete rows. One small job looks for gaps.
     """
     if listwise:
         df, names, empty = _complete_rows(df, names)
         if len(names) > _WIDE_TABLE:
             return _gram_correlation(df, names)
+    else:
+        has_gaps = df.agg(*[F.coalesce(F.max(num(c).isNull()), F.lit(False)).alias(f"g{i}")
+                            for i, c in enumerate(names)]).first() if names else []
+        gaps = {c for c, g in zip(names, has_gaps) if g}
     pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
 
     def corr(a: str, b: str) -> dict[str, Column]:
-        if not listwise:
+        if not listwise and (a in gaps or b in gaps):
             return corr_parts(num(a), num(b))
-        a, b = F.col(quoted(a)), F.col(quoted(b))           # complete, so each spread is shared
+        a, b = num(a), num(b)                               # complete, so each spread is shared
         return {"_cov": F.covar_pop(a, b), "_sa": F.stddev_pop(a), "_sb": F.stddev_pop(b)}
     parts = []
     for at in range(0, len(pairs), _PAIRS_PER_AGG):

@@ -94,7 +94,12 @@ def drift_report(df: DataFrame, target: str | None, order_by: Sequence[str],
     names = numeric_columns(df, target)[:max_columns]
     if not names or len(df.select(F.lit(1)).take(MIN_ROWS)) < MIN_ROWS:
         return df.sparkSession.createDataFrame([], _DRIFT)
-    halves = split_halves(df, order_by, rows_per_bucket)
+    return halves_report(split_halves(df, order_by, rows_per_bucket), names, rows_per_bucket)
+
+
+def halves_report(halves: DataFrame, names: Sequence[str],
+                  rows_per_bucket: int = SMALL_ROWS) -> DataFrame:
+    """The drift of the named features between the halves of a frame from `split_halves`."""
     both = _compared(halves, names, F.col("half") == 2, MIN_PER_HALF, rows_per_bucket)
     return both.select(
         "feature", rounded(F.col("ks"), 4).alias("ks_stat"), rounded(F.col("p"), 4).alias("p_value"),
