@@ -97,19 +97,28 @@ def split_at_fraction(df: DataFrame, order_by: Sequence[str], fraction: float =
     if n_null:
         raise ValueError(f"{n_null} rows have no value in {list(order_by)}")
     first = math.floor(n * fraction)
-    if any(k is None for k in numbers):
+    if n == 0 or first >= n or first == 0:
+        return df.withColumn(flag, F.lit(first == 0 and n > 0))
+    unclear = ValueError(f"{list(order_by)} is not unique; add a column that tells rows apart")
+    if n <= small_rows:
+        numbers = [F.col(quoted(c)) if k is None else k for c, k in zip(order_by, numbers)]
+        before, cut = (df.select(*[k.alias(f"k{i}") for i, k in enumerate(numbers)])
+                       .orderBy(*[f"k{i}" for i in range(len(numbers))])
+                       .offset(first - 1).limit(2).collect())
+        if before == cut:
+            raise unclear
+    elif any(k is None for k in numbers):
         placed = global_position(df, order_by, small_rows, n_rows=n)
         return placed.withColumn(flag, F.col("_pos") >= first).drop("_pos")
-    if n == 0 or first >= n:
-        return df.withColumn(flag, F.lit(False))
-    rows, rank, cut = df, first, []
-    for k in numbers:
-        v = value_at_rank(rows, k, rank)
-        rank -= rows.filter(k < v).count()
-        rows = rows.filter(k == v)
-        cut.append(v)
-    if len(rows.select(F.lit(1)).take(2)) > 1:
-        raise ValueError(f"{list(order_by)} is not unique; add a column that tells rows apart")
+    else:
+        rows, rank, cut = df, first, []
+        for k in numbers:
+            v = value_at_rank(rows, k, rank)
+            rank -= rows.filter(k < v).count()
+            rows = rows.filter(k == v)
+            cut.append(v)
+        if len(rows.select(F.lit(1)).take(2)) > 1:
+            raise unclear
     later = F.lit(True)
     for k, v in reversed(list(zip(numbers, cut))):
         later = (k > v) | ((k == v) & later)

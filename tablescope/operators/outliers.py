@@ -14,7 +14,7 @@ from tablescope.functions.schema import num, numeric_columns
 from tablescope.functions.stats import relative_shift_pct, rounded
 from tablescope.functions.wide import per_column
 from tablescope.operators.profile import iqr_outliers
-from tablescope.operators.quantiles import quantiles, value_at_rank
+from tablescope.operators.quantiles import quantiles
 
 # The published limits of the audit.
 CONTAMINATION = 0.05
@@ -84,14 +84,14 @@ def robust_location_scatter(filled: DataFrame, steps: int = 10) -> tuple[np.ndar
     last = math.inf
     for _ in range(steps):
         d2 = _squared_distance(names, mean, cov)
-        cutoff = value_at_rank(filled, d2, half - 1)
+        cutoff = quantiles(filled, ["d2"], [(half - 1) / max(n - 1, 1)], columns={"d2": d2})["d2"][0]
         mean, cov, _ = _location_scatter(filled, d2 <= cutoff)
         size = np.linalg.slogdet(cov)[1] if np.linalg.matrix_rank(cov) == p else -math.inf
-        if size >= last - 1e-9 or size == -math.inf:
+        if size >= last - 1e-6 or size == -math.inf:
             break
         last = size
     d2 = _squared_distance(names, mean, cov)
-    median = value_at_rank(filled, d2, n // 2)
+    median = quantiles(filled, ["d2"], [0.5], columns={"d2": d2})["d2"][0]
     cov = cov * (median / chi_square_quantile(0.5, p)) if median else cov
     mean, cov, _ = _location_scatter(
         filled, _squared_distance(names, mean, cov) < chi_square_quantile(0.975, p))
