@@ -1,8 +1,9 @@
 """Per-column aggregates of a wide table as long rows.
 
 Each chunk of columns is one aggregation over only these columns, so a columnar
-scan reads every byte once in total, whatever the number of chunks, while the
-generated code of one aggregation stays below the method size limit.
+scan reads every byte once in total, whatever the number of chunks. A chunk holds
+few enough aggregates that the JVM still compiles the generated loop: beyond some
+thirty, the loop runs interpreted and is several times slower.
 """
 
 from collections.abc import Callable, Sequence
@@ -10,10 +11,11 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+AGGREGATES = 24
 
 
 def per_column(df: DataFrame, names: Sequence[str], build: Callable[[str], dict[str, Column]],
-               key: str = "feature", chunk: int = 25, by: Sequence[str] = ()) -> DataFrame:
+               key: str = "feature", chunk: int | None = None, by: Sequence[str] = ()) -> DataFrame:
     """One row `(ordinal, <key>, *build(name))` per column name (and per group of `by`).
 
     `build` returns plain aggregates; they are computed with partial aggregation, so
@@ -26,6 +28,7 @@ def per_column(df: DataFrame, names: Sequence[str], build: Callable[[str], dict[
     # inline_outer, as a plain inline makes the optimizer infer a size filter over all aggregates.
     parts = []
     indexed = list(enumerate(names))
+    chunk = chunk or max(1, AGGREGATES // len(build(names[0])))
     for at in range(0, len(indexed), chunk):
         rows = [F.struct(F.lit(i).alias("ordinal"), F.lit(n).alias(key),
                          *[e.alias(a) for a, e in build(n).items()])

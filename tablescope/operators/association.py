@@ -21,8 +21,8 @@ LEAK_WARNING, LEAK_CANDIDATE = 0.85, 0.95
 VIF_MAX_COLUMNS = 15
 LEAK_BANDS = ((0.85, "CRITICAL"), (0.70, "HIGH"), (0.50, "MODERATE"), (0.30, "LOW"))
 
-_PAIRS_PER_AGG = 60
-_WIDE_TABLE = 30
+_PAIRS_PER_AGG = 12
+_WIDE_TABLE = 10
 
 
 def correlation_pairs(df: DataFrame, names: Sequence[str], listwise: bool = True) -> DataFrame:
@@ -32,17 +32,18 @@ def correlation_pairs(df: DataFrame, names: Sequence[str], listwise: bool = True
     aside); otherwise each pair uses its own complete rows. One small job looks for gaps.
     """
     if listwise:
-        df, names, empty = _complete_rows(df, names)
-        if len(names) > _WIDE_TABLE:
-            return _gram_correlation(df, names)
-    else:
+        df, names, _ = _complete_rows(df, names)
+    if len(names) > _WIDE_TABLE:
+        return _gram_correlation(df, names)
+    gaps: set[str] = set()
+    if not listwise and names:
         has_gaps = df.agg(*[F.coalesce(F.max(num(c).isNull()), F.lit(False)).alias(f"g{i}")
-                            for i, c in enumerate(names)]).first() if names else []
+                            for i, c in enumerate(names)]).first()
         gaps = {c for c, g in zip(names, has_gaps) if g}
     pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
 
     def corr(a: str, b: str) -> dict[str, Column]:
-        if not listwise and (a in gaps or b in gaps):
+        if a in gaps or b in gaps:
             return corr_parts(num(a), num(b))
         a, b = num(a), num(b)                               # complete, so each spread is shared
         return {"_cov": F.covar_pop(a, b), "_sa": F.stddev_pop(a), "_sb": F.stddev_pop(b)}
@@ -72,15 +73,37 @@ def _complete_rows(df: DataFrame, names: Sequence[str]) -> tuple[DataFrame, list
 
 
 def _gram_correlation(df: DataFrame, names: Sequence[str]) -> DataFrame:
-    """Correlations of a wide table from one distributed Gram matrix."""
+    """Pairwise-complete correlations of a wide table from one distributed Gram matrix.
+
+    With present flags m, values x (0 where absent) and squares q, the products
+    m'm, x'm, q'm and x'x hold the count, sums and cross sums of every pair. Values
+    are first shifted by the mean, so the sums stay small. One pass, and
+    (3 * features) squared numbers on the driver.
+    """
     from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.stat import Correlation
-    vectors = VectorAssembler(inputCols=list(names), outputCol="_v").transform(df).select("_v")
-    m = Correlation.corr(vectors, "_v").first()[0].toArray()
-    rows = [(i, j, names[i], names[j], None if np.isnan(m[i, j]) else float(m[i, j]))
-            for i in range(len(names)) for j in range(i, len(names))]
+    from pyspark.mllib.linalg.distributed import RowMatrix
+    from pyspark.mllib.util import MLUtils
+    p = len(names)
+    means = df.agg(*[F.avg(num(c)).alias(f"a{i}") for i, c in enumerate(names)]).first()
+    wide = df.select(*[(num(c) - F.lit(means[i] or 0.0)).alias(f"v{i}") for i, c in enumerate(names)])
+    cols = [F.col(f"v{i}").isNotNull().cast("double").alias(f"m{i}") for i in range(p)]
+    cols += [F.coalesce(f"v{i}", F.lit(0.0)).alias(f"x{i}") for i in range(p)]
+    cols += [F.coalesce(F.col(f"v{i}") * F.col(f"v{i}"), F.lit(0.0)).alias(f"q{i}") for i in range(p)]
+    inputs = [f"{k}{i}" for k in "mxq" for i in range(p)]
+    rows = VectorAssembler(inputCols=inputs, outputCol="z").transform(wide.select(cols)).select("z")
+    rows = MLUtils.convertVectorColumnsFromML(rows, "z")
+    g = RowMatrix(rows, numCols=3 * p).computeGramianMatrix().toArray()
+    n, sx, sq, sxx = (g[:p, :p], g[p:2 * p, :p], g[2 * p:, :p], g[p:2 * p, p:2 * p])
+    with np.errstate(divide="ignore", invalid="ignore"):
+        cov = sxx / n - (sx / n) * (sx.T / n)
+        var = sq / n - (sx / n) ** 2                        # of the row feature, where the other exists
+        tiny = 1e-13 * np.abs(sq / n)                       # a constant column, up to rounding
+        spread = np.where((var <= tiny) | (var.T <= tiny.T), np.nan, np.sqrt(var * var.T))
+        corr = cov / spread
+    found = [(i, j, names[i], names[j], None if np.isnan(corr[i, j]) else float(corr[i, j]))
+             for i in range(p) for j in range(i, p)]
     return df.sparkSession.createDataFrame(
-        rows, "i int, j int, feature_1 string, feature_2 string, corr double")
+        found, "i int, j int, feature_1 string, feature_2 string, corr double")
 
 
 def correlation_matrix(df: DataFrame, target: str | None = None, listwise: bool = True) -> DataFrame:
@@ -185,9 +208,13 @@ def _mutual_information(df: DataFrame, target: str, bins: int) -> DataFrame:
     rows = df.filter(num(target).isNotNull())
     cuts = [i / bins for i in range(1, bins)]
     # The medians come from all rows, the edges from the filled columns that are binned.
-    medians = quantiles(df, names, [0.5])
-    filled = {c: F.coalesce(num(c), F.lit(medians[c][0]).cast("double")) for c in names}
-    usable = [c for c in names if medians[c][0] is not None]
+    has_gaps = df.agg(*[F.coalesce(F.max(num(c).isNull()), F.lit(False)).alias(f"g{i}")
+                        for i, c in enumerate(names)]).first() if names else []
+    gaps = [c for c, g in zip(names, has_gaps) if g]
+    medians = quantiles(df, gaps, [0.5])
+    filled = {c: F.coalesce(num(c), F.lit(medians[c][0]).cast("double")) if c in gaps else num(c)
+              for c in names}
+    usable = [c for c in names if c not in gaps or medians[c][0] is not None]
     edges = quantiles(rows, [*usable, target], cuts, columns={c: filled[c] for c in usable})
 
     def bin_of(c: Column, at: list[float]) -> Column:

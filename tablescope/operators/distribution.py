@@ -43,7 +43,7 @@ def distributions(df: DataFrame, target: str | None = None,
         return {"n": F.count(v), "_mean": F.avg(v), "_std": F.stddev(v), "_min": F.min(v),
                 "_max": F.max(v), "_g1": F.skewness(v), "_g2": F.kurtosis(v)}
     n, g1, g2 = F.col("n"), F.col("_g1"), F.col("_g2")
-    stats = per_column(df, numeric_columns(df, target)[:max_columns], build, chunk=10).select(
+    stats = per_column(df, numeric_columns(df, target)[:max_columns], build).select(
         "*", adjusted_skewness(n, g1).alias("_skew"), adjusted_kurtosis(n, g2).alias("_kurt"),
         jarque_bera_p(n, g1, g2).alias("_p"))
     return stats.filter(F.col("n") >= MIN_VALUES).select(

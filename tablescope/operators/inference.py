@@ -71,7 +71,7 @@ def infer_types(df: DataFrame, id_names: Sequence[str] = ID_NAMES) -> DataFrame:
         out["http"] = F.avg(s.startswith("http").cast("double")) if is_text else empty["d"]
         out["zip"] = F.avg(s.rlike(ZIP_PATTERN).cast("double")) if is_text else empty["d"]
         return out
-    stats = per_column(df, df.columns, build, key="column", chunk=12).filter("n > 0")
+    stats = per_column(df, df.columns, build, key="column", chunk=4).filter("n > 0")
     stats = stats.withColumn("skew", adjusted_skewness(F.col("n"), F.col("g1")))
     distinct = _needed_distinct(df, numeric, id_names)
     stats = stats.join(distinct, "column", "left")          # one row per column on both sides

@@ -36,11 +36,11 @@ def mar_signals(df: DataFrame) -> DataFrame:
     for m in incomplete:
         flag = missing(df, m).cast("double")
         others = [c for c in numeric_columns(df) if c != m]
-        for at in range(0, len(others), 50):
+        for at in range(0, len(others), 8):
             rows = [F.struct(F.lit(at + i).alias("ordinal"), F.lit(m).alias("column"),
                              F.lit(c).alias("related_to"),
                              *[e.alias(k) for k, e in corr_parts(flag, num(c)).items()])
-                    for i, c in enumerate(others[at:at + 50])]
+                    for i, c in enumerate(others[at:at + 8])]
             parts.append(df.agg(F.array(*rows).alias("_rows")).select(F.inline_outer("_rows")))
     if not parts:
         return df.sparkSession.createDataFrame([], "column string, related_to string, corr double")

@@ -115,7 +115,7 @@ def learning_curve(df: DataFrame, features: Sequence[str], target: str, key: str
     rows = assembled(df.withColumn("_fold", hash_fold(key, folds)).withColumn("_u", share),
                      features, target, keep=["_fold", "_u"])
     rows.persist(StorageLevel.MEMORY_AND_DISK)
-    hit = F.avg((F.col("label") == F.col("prediction")).cast("double"))
+    hit = (F.col("label") == F.col("prediction")).cast("double")
     points = []
     try:
         for f in fractions:
@@ -124,9 +124,11 @@ def learning_curve(df: DataFrame, features: Sequence[str], target: str, key: str
                 n, classes = train.agg(F.count(F.lit(1)), F.count_distinct("label")).first()
                 if classes < 2:
                     continue
-                model = baseline_classifier(train, n)
-                points.append((float(f), fold, n, model.transform(train).agg(hit).first()[0],
-                               model.transform(rows.filter(F.col("_fold") == fold)).agg(hit).first()[0]))
+                scored = baseline_classifier(train, n).transform(rows)
+                ahead = F.col("_fold") == fold
+                seen = ~ahead & (F.col("_u") < f)
+                points.append((float(f), fold, n, *scored.agg(
+                    F.avg(F.when(seen, hit)), F.avg(F.when(ahead, hit))).first()))
     finally:
         rows.unpersist()
     table = df.sparkSession.createDataFrame(

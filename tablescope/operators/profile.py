@@ -11,7 +11,7 @@ from tablescope.functions.schema import (categorical_columns, groupable, is_nume
                                          numeric_columns, quoted, value)
 from tablescope.functions.stats import (adjusted_kurtosis, adjusted_skewness, corr_of_parts, corr_parts,
                                         rounded)
-from tablescope.functions.wide import per_column
+from tablescope.functions.wide import AGGREGATES, per_column
 from tablescope.operators.quantiles import quantiles
 
 # The published limits of the audit.
@@ -34,7 +34,7 @@ def missing_counts(df: DataFrame) -> DataFrame:
     """`(ordinal, column, n_missing, n_rows)` for every column, also the complete ones."""
     return per_column(df, df.columns, lambda c: {
         "n_missing": F.count(F.when(missing(df, c), 1)), "n_rows": F.count(F.lit(1))},
-        key="column", chunk=100)
+        key="column", chunk=AGGREGATES)
 
 
 def missing_by_column(df: DataFrame) -> DataFrame:
@@ -292,7 +292,7 @@ def profile_columns(df: DataFrame, target: str | None = None) -> DataFrame:
                 **{s: stat.get(s, empty) for s in ("mean", "std", "min", "max", "g1", "g2")},
                 "_numeric": F.lit(is_num), "n_outliers": out}
     n = F.when(F.col("_numeric"), F.col("n_rows") - F.col("n_missing"))
-    stats = per_column(df, df.columns, build, chunk=12).select(
+    stats = per_column(df, df.columns, build, chunk=3).select(
         "feature", "dtype", "n_rows", "n_missing",
         *[rounded(F.col(c), 4).alias(c) for c in ("mean", "std", "min", "max")],
         rounded(adjusted_skewness(n, F.col("g1")), 3).alias("skewness"),

@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from tablescope.functions.schema import (groupable, is_numeric, missing, num, numeric_columns, quoted,
                                          text_columns, value)
 from tablescope.functions.stats import adjusted_skewness, grade, guarded_corr, rounded
+from tablescope.functions.wide import AGGREGATES
 from tablescope.operators.adequacy import MIN_PER_CLASS, MIN_ROWS, ROWS_PER_FEATURE
 from tablescope.operators.association import LEAK_CANDIDATE, REDUNDANT
 from tablescope.operators.inference import (CURRENCY_MEAN, CURRENCY_SKEW, ID_NAMES, RSI_RANGE, SHARE,
@@ -29,7 +30,7 @@ SECTION_IMPACT = {"Data Completeness": "HIGH", "Data Integrity": "MEDIUM", "Feat
 PATTERN_SCORE = {"NONE": 100, "MCAR": 80, "MAR": 50, "MNAR": 30}
 MAX_PAIRS = 20
 
-_AGGS_PER_PASS = 40
+_EXPRESSIONS_PER_PASS = AGGREGATES // 3     # a guarded correlation is three aggregates
 
 
 def _total(flags: Sequence[Column]) -> Column:
@@ -51,8 +52,8 @@ def _join_by(a: DataFrame, b: DataFrame, by: Sequence[str]) -> DataFrame:
 def _aggregate(df: DataFrame, by: Sequence[str], aggs: dict[str, Column]) -> DataFrame:
     """Group once per bunch of aggregates, so that generated code stays compilable."""
     items = list(aggs.items())
-    parts = [df.groupBy(*by).agg(*[e.alias(a) for a, e in items[at:at + _AGGS_PER_PASS]])
-             for at in range(0, len(items), _AGGS_PER_PASS)]
+    parts = [df.groupBy(*by).agg(*[e.alias(a) for a, e in items[at:at + _EXPRESSIONS_PER_PASS]])
+             for at in range(0, len(items), _EXPRESSIONS_PER_PASS)]
     return reduce(lambda x, y: _join_by(x, y, by), parts)
 
 
@@ -102,18 +103,20 @@ def signals(df: DataFrame, target: str, by: Sequence[str] = (),
     for i, c in enumerate(names):
         for rule in _warning_rules(df, c, c in text, id_names):
             need("warn", f"_warn{i}", rule)
+    found: dict[int, list[str]] = {}
     for i, c in enumerate(incomplete):
         mask = missing(df, c).cast("double")
         others = [x for x in numeric_columns(df) if x in names and x != c]
         aggs[f"_gap{i}"] = F.max(mask) > 0
-        aggs[f"_signal{i}"] = reduce(or_, [
-            F.coalesce(F.abs(guarded_corr(mask, num(x))) > SIGNAL_CORR, F.lit(False))
-            for x in others], F.lit(False))
+        for j, x in enumerate(others):
+            aggs[f"_signal{i}_{j}"] = F.abs(guarded_corr(mask, num(x))) > SIGNAL_CORR
+        found[i] = [f"_signal{i}_{j}" for j in range(len(others))]
     base = _aggregate(df, by, aggs)
 
     before, used = F.lit(0), []
     for i in range(len(incomplete)):
-        used.append(F.col(f"_gap{i}") & (before < SIGNAL_COLUMNS) & F.col(f"_signal{i}"))
+        hit = reduce(or_, [F.coalesce(s, F.lit(False)) for s in found[i]], F.lit(False))
+        used.append(F.col(f"_gap{i}") & (before < SIGNAL_COLUMNS) & hit)
         before = before + F.col(f"_gap{i}").cast("int")
     cells = F.col("rows") * n_cols
     missing_cells = F.col("_missing") if incomplete else F.lit(0).cast("bigint")
