@@ -15,8 +15,9 @@ def histogram(df: DataFrame, column: str, bins: int = 40) -> DataFrame:
     limits = df.agg(F.min(num(column)).alias("lo"), F.max(num(column)).alias("hi"))
     rows = df.select(num(column).alias("v")).filter("v is not null").crossJoin(F.broadcast(limits))
     span = F.col("hi") - F.col("lo")
-    at = F.least(F.floor((F.col("v") - F.col("lo")) / F.nullif(span, F.lit(0.0)) * bins), F.lit(bins - 1))
-    binned = rows.groupBy(F.coalesce(at, F.lit(0)).cast("int").alias("bin"), "lo", "hi").agg(
+    share = F.coalesce((F.col("v") - F.col("lo")) / F.nullif(span, F.lit(0.0)), F.lit(0.0))
+    at = F.least(F.floor(share * bins), F.lit(bins - 1))
+    binned = rows.groupBy(at.cast("int").alias("bin"), "lo", "hi").agg(
         F.count(F.lit(1)).alias("n"))
     return binned.select("bin", rounded(F.col("lo") + F.col("bin") * span / bins, 6).alias("bin_from"),
                          rounded(F.col("lo") + (F.col("bin") + 1) * span / bins, 6).alias("bin_to"), "n")

@@ -357,7 +357,7 @@ def _(spark, sf):
 
 @query("histogram", f"""
     with l as (select min(value) as lo, max(value) as hi from events),
-    b as (select cast(coalesce(least(floor((value - lo) / nullif(hi - lo, 0) * 40), 39), 0) as int) as bin, lo, hi
+    b as (select cast(least(floor(coalesce((value - lo) / nullif(hi - lo, 0), 0) * 40), 39) as int) as bin, lo, hi
           from events, l where value is not null)
     select bin, {rnd('lo + bin * (hi - lo) / 40', 6)} as bin_from,
            {rnd('lo + (bin + 1) * (hi - lo) / 40', 6)} as bin_to, count(*) as n from b group by bin, lo, hi""")
