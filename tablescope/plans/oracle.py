@@ -48,8 +48,9 @@ def moments(x: str) -> str:
 
 
 def jb_p(n: str = "n", sk: str = "sk", ku: str = "ku") -> str:
+    """From the columns of `moments`."""
     g1 = f"({sk} * ({n} - 2) / sqrt({d(n)} * ({n} - 1)))"
-    g2 = f"(({ku} * ({d(n)} - 2) * ({n} - 3) / ({n} - 1) - 6) / ({n} + 1))"
+    g2 = f"(case when lo = hi then 0 else (({ku} * ({d(n)} - 2) * ({n} - 3) / ({n} - 1) - 6) / ({n} + 1)) end)"
     return f"exp(-({d(n)} / 6 * ({g1} * {g1} + {g2} * {g2} / 4)) / 2)"
 
 

@@ -225,12 +225,12 @@ def _signals_sql(source: str, gaps, numeric) -> str:
         from ({union(rows)}) where abs(c) > 0.2) where r = 1"""
 
 
-_MAR = _signals_sql("fx_mar", ["v_mar"], ["event_id", "user_id", "value", "v_mar"])
+MAR = _signals_sql("fx_mar", ["v_mar"], ["event_id", "user_id", "value", "v_mar"])
 _NULL_SIGNALS = _signals_sql("fx_nulls", ["l_quantity", "l_discount", "l_returnflag", "all_null"],
                              [c for c in NULLS if c != "l_returnflag"])
 
 
-@query("mar_signals", with_views("fx_mar") + _MAR)
+@query("mar_signals", with_views("fx_mar") + MAR)
 def _(spark, sf):
     return missingness.mar_signals(view(spark, sf, "fx_mar"))
 
@@ -240,7 +240,7 @@ def _(spark, sf):
     return missingness.mar_signals(view(spark, sf, "fx_nulls"))
 
 
-def _pattern_sql(source: str, names, signals: str) -> str:
+def pattern_sql(source: str, names, signals: str) -> str:
     n = " + ".join(f"(count(*) - count({c}))" for c in names)
     inc = " + ".join(f"(case when count({c}) < count(*) then 1 else 0 end)" for c in names)
     return f"""select case when inc = 0 then 'NONE' when sig > 0 then 'MAR' when pct < 5 then 'MCAR'
@@ -250,13 +250,13 @@ def _pattern_sql(source: str, names, signals: str) -> str:
               (select count(*) from ({signals})) as sig from {source})"""
 
 
-@query("missing_pattern", with_views("fx_mar") + _pattern_sql(
-    "fx_mar", ["event_id", "user_id", "value", "v_mar"], _MAR))
+@query("missing_pattern", with_views("fx_mar") + pattern_sql(
+    "fx_mar", ["event_id", "user_id", "value", "v_mar"], MAR))
 def _(spark, sf):
     return missingness.missing_pattern(view(spark, sf, "fx_mar"))
 
 
-@query("missing_pattern_unexplained", with_views("fx_nulls") + _pattern_sql("fx_nulls", NULLS, _NULL_SIGNALS))
+@query("missing_pattern_unexplained", with_views("fx_nulls") + pattern_sql("fx_nulls", NULLS, _NULL_SIGNALS))
 def _(spark, sf):
     return missingness.missing_pattern(view(spark, sf, "fx_nulls"))
 

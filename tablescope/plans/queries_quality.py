@@ -7,6 +7,7 @@ from tablescope.plans import audit
 from tablescope.plans.fixtures import view
 from tablescope.plans.oracle import corr, d, grade, rnd, union, with_views
 from tablescope.plans.queries import query, table
+from tablescope.plans.queries_association import MAR, pattern_sql
 from tablescope.sources import tables
 
 # --- signals and scores ----------------------------------------------------------------------
@@ -267,6 +268,9 @@ def _(spark, sf):
 
 # --- findings --------------------------------------------------------------------------------
 
+_PATTERN = pattern_sql("fx_mar", ["event_id", "user_id", "value", "v_mar"], MAR)
+
+
 @query("findings_written", with_views("fx_mar") + f"""
     with_p as (select count(*) as n, count(*) - count(v_mar) as m from fx_mar)
     select * from (
@@ -285,7 +289,7 @@ def _(spark, sf):
         select 'sample', 'absolute minimum', 'PASS', unnest(['needed', 'have']), unnest([100, n]), null from with_p
         union all
         select 'pattern', 'table', 'INFO', unnest(['total_missing_pct', 'pattern']),
-               unnest([{rnd('m * 1.0::double / (n * 4) * 100', 2)}, null]), unnest([null, 'MAR']) from with_p)
+               unnest([{rnd('m * 1.0::double / (n * 4) * 100', 2)}, null]), unnest([null, (select pattern from ({_PATTERN}))]) from with_p)
 """.replace("with_p as", ", with_p as", 1))
 def _(spark, sf):
     made = audit.findings(view(spark, sf, "fx_mar"), "value",
