@@ -1,7 +1,7 @@
 """Exact order statistics without sorting the table or gathering a column.
 
-`F.percentile` keeps every distinct value of a group in one task, which is fine
-for a bounded number of rows only. Beyond that bound the values around each wanted
+A sorted array of a column is the fastest way for a bounded number of rows, and
+only there: it sits in one task. Beyond that bound the values around each wanted
 rank are bracketed by a quantile sketch, and counted histograms of the bracket
 close in on the exact value: each pass is one scan of the needed columns and
 shuffles a bounded number of bucket counts.
@@ -31,16 +31,35 @@ def quantiles(df: DataFrame, names: Sequence[str], probs: Sequence[float],
         return {}
     wide = df.select(*[columns.get(n, num(n)).alias(f"q{i}") for i, n in enumerate(names)])
     if df.select(F.lit(1)).limit(small_rows + 1).count() <= small_rows:
-        found = {}
-        for at in range(0, len(names), 50):
-            idx = range(at, min(at + 50, len(names)))
-            row = wide.agg(*[F.percentile(f"q{i}", F.array(*map(F.lit, probs))).alias(f"q{i}")
-                             for i in idx]).first()
-            found.update({names[i]: list(row[f"q{i}"] or [None] * len(probs)) for i in idx})
-        return found
+        return _by_sorting(wide, names, probs)
     return _by_refinement(wide, names, probs)
 
 
+def _by_sorting(wide: DataFrame, names, probs, columns_at_once: int = 8) -> dict[str, list[float | None]]:
+    """For a checked number of rows: one sorted array per column, read at the wanted places."""
+    found = {}
+    wanted = F.array(*map(F.lit, map(float, probs)))
+    for lo in range(0, len(names), columns_at_once):
+        idx = range(lo, min(lo + columns_at_once, len(names)))
+        arrays = wide.agg(*[F.sort_array(F.collect_list(f"q{i}")).alias(f"q{i}") for i in idx])
+        row = arrays.select(*[F.transform(wanted, _reader(F.col(f"q{i}"))).alias(f"q{i}")
+                              for i in idx]).first()
+        found.update({names[i]: list(row[f"q{i}"]) for i in idx})
+    return found
+
+
+def _reader(values: Column):
+    """Function from a probability to the interpolated element of a sorted array."""
+    last = F.size(values) - 1
+
+    def at(p: Column) -> Column:
+        place = p * last
+        low = F.floor(place).cast("int")
+        a, b = F.get(values, low), F.get(values, F.least(low + 1, last))
+        return a + (b - a) * (place - low)
+    return at
+
+
 def _by_refinement(wide: DataFrame, names, probs) -> dict[str, list[float | None]]:
     edges = sorted({min(1.0, max(0.0, p + s * 2 * _SKETCH_ERROR)) for p in probs for s in (-1, 1)})
     at = {e: k for k, e in enumerate(edges)}
@@ -103,26 +122,46 @@ def _by_refinement(wide: DataFrame, names, probs) -> dict[str, list[float | None
 
 
 def _bracket_counts(wide: DataFrame, brackets) -> dict:
-    """Per bracket: the number of values below it, and (count, min, max) per bucket inside."""
-    out = {}
+    """Per bracket: the number of values below it, and (count, min, max) per bucket inside.
+
+    Overlapping brackets of a column are counted as one, so a row gives one count
+    per column however many ranks are wanted.
+    """
+    runs: dict[int, list[list[float]]] = {}
+    for i, (lo, hi) in sorted(brackets):
+        mine = runs.setdefault(i, [])
+        if mine and lo <= mine[-1][1]:
+            mine[-1][1] = max(mine[-1][1], hi)
+        else:
+            mine.append([lo, hi])
     weight = F.col("w") if "w" in wide.columns else F.lit(1).cast("bigint").alias("w")
-    for at in range(0, len(brackets), 100):
-        part = list(enumerate(brackets))[at:at + 100]
-        items = [F.struct(F.lit(t).alias("t"), F.col(f"q{i}").alias("v"),
-                          F.lit(float(lo)).alias("lo"), F.lit(float(hi)).alias("hi"))
-                 for t, (i, (lo, hi)) in part]
-        position = (F.col("v") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2)
-        bucket = (F.when(F.col("v") < F.col("lo"), -1).when(F.col("v") == F.col("lo"), 0)
-                  .when(F.col("v") == F.col("hi"), _BUCKETS + 1)
-                  .otherwise(1 + F.least(F.floor(position * _BUCKETS), F.lit(_BUCKETS - 1))))
-        rows = (wide.select(weight, F.inline(F.array(*items))).filter("v <= hi")
-                .groupBy("t", bucket.cast("int").alias("bucket"))
-                .agg(F.sum("w").alias("c"), F.min("v").alias("a"), F.max("v").alias("z"))
-                .collect())                                  # at most 100 * (_BUCKETS + 3) rows
-        for t, key in part:
-            mine = sorted((r for r in rows if r.t == t), key=lambda r: r.bucket)
-            below = sum(r.c for r in mine if r.bucket == -1)
-            out[key] = (below, [(r.c, r.a, r.z) for r in mine if r.bucket >= 0])
+    items = []
+    for i, mine in runs.items():
+        v = F.col(f"q{i}")
+        slot = None                                         # 2j below run j, 2j + 1 inside it
+        for j, (lo, hi) in enumerate(mine):
+            lo, hi = F.lit(float(lo)), F.lit(float(hi))
+            inside = F.struct(F.lit(2 * j + 1).alias("s"), lo.alias("lo"), hi.alias("hi"))
+            below = F.struct(F.lit(2 * j).alias("s"), lo.alias("lo"), hi.alias("hi"))
+            slot = (F.when if slot is None else slot.when)(v < lo, below).when(v <= hi, inside)
+        items.append(F.struct(F.lit(i).alias("i"), v.alias("v"), slot.alias("t")))
+    v, lo, hi = F.col("v"), F.col("t.lo"), F.col("t.hi")
+    position = (v / 2 - lo / 2) / (hi / 2 - lo / 2)
+    bucket = (F.when(F.col("t.s") % 2 == 0, -1).when(v == lo, 0).when(v == hi, _BUCKETS + 1)
+              .otherwise(1 + F.least(F.floor(position * _BUCKETS), F.lit(_BUCKETS - 1))))
+    counted: dict[int, list] = {}
+    for at in range(0, len(items), 10):
+        long = wide.select(weight, F.inline(F.array(*items[at:at + 10]))).filter("t is not null")
+        for r in (long.groupBy("i", F.col("t.s").alias("s"), bucket.cast("int").alias("bucket"))
+                  .agg(F.sum("w").alias("c"), F.min("v").alias("a"), F.max("v").alias("z"))
+                  .collect()):                              # at most _BUCKETS + 3 rows per run
+            counted.setdefault(r.i, []).append(r)
+    out = {}
+    for i, (lo, hi) in brackets:
+        j = next(j for j, run in enumerate(runs[i]) if run[0] <= lo and hi <= run[1])
+        rows = sorted(counted.get(i, []), key=lambda r: (r.s, r.bucket))
+        out[i, (lo, hi)] = (sum(r.c for r in rows if r.s <= 2 * j),
+                            [(r.c, r.a, r.z) for r in rows if r.s == 2 * j + 1])
     return out
 
 
