@@ -38,12 +38,13 @@ def ks_statistic(df: DataFrame, names: Sequence[str], second: Column,
     items = [F.struct(F.lit(i).alias("i"), F.col(v).alias("v"), F.col(f"{v}__bucket").alias("b"))
              for i, v in enumerate(cols)]
     long = wide.select("_second", F.inline(F.array(*items))).filter("v is not null")
-    counted = long.groupBy("i", "b", "v").agg(
-        F.count_if(~F.col("_second")).alias("n1"), F.count_if(F.col("_second")).alias("n2"))
+    first, later = F.count_if(~F.col("_second")), F.count_if(F.col("_second"))
+    counted = long.groupBy("i", "b", "v").agg(first.alias("n1"), later.alias("n2"))
     whole, upto = Window.partitionBy("i"), Window.partitionBy("i").orderBy("b")
     # At most one row per feature and bucket, so the broadcast stays within
-    # len(names) * MAX_BUCKETS short rows whatever the size of the table.
-    offsets = (counted.groupBy("i", "b").agg(F.sum("n1").alias("s1"), F.sum("n2").alias("s2"))
+    # len(names) * MAX_BUCKETS short rows whatever the size of the table. They are
+    # counted from the rows, which shuffles a few numbers per task and no values.
+    offsets = (long.groupBy("i", "b").agg(first.alias("s1"), later.alias("s2"))
                .select("i", "b", F.sum("s1").over(whole).alias("n_first"),
                        F.sum("s2").over(whole).alias("n_second"),
                        (F.sum("s1").over(upto) - F.col("s1")).alias("o1"),
