@@ -118,8 +118,8 @@ with recursive d as (select doc_id, regexp_extract_all(translate(coalesce(text,
 s as (select distinct doc_id, array_to_string(w[i:i + 4], ' ') as g
       from (select doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) as i from d where len(w) > 0)),
 n as (select doc_id, count(*) as n from s group by doc_id),
-both as (select a.doc_id as x, b.doc_id as y, count(*) as c from s a join s b on a.g = b.g and a.doc_id <> b.doc_id group by all),
-link as (select x, y from both join n nx on nx.doc_id = x join n ny on ny.doc_id = y where 100 * c >= 80 * (nx.n + ny.n - c)),
+common as (select a.doc_id as x, b.doc_id as y, count(*) as c from s a join s b on a.g = b.g and a.doc_id <> b.doc_id group by all),
+link as (select x, y from common join n nx on nx.doc_id = x join n ny on ny.doc_id = y where 100 * c >= 80 * (nx.n + ny.n - c)),
 reach as (select doc_id as x, doc_id as y from d union select reach.x, link.y from reach join link on reach.y = link.x)
 select d.doc_id, coalesce(n, 0) as n_shingles, r.c as component_id
 from d left join n using (doc_id) join (select x as doc_id, min(y) as c from reach group by x) r using (doc_id)""",
