@@ -162,13 +162,13 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         within = members.select(F.col("grp").alias("bucket"), "node", "n", F.lit(0).alias("pos"))
         return shared.select("bucket", "node", "n", "pos").union(others).union(within)
 
-    def checker(nodes: DataFrame):
-        sets = written(_whole_sets(docs, text_col, size, nodes), "sets")
-        return lambda pairs: _verified(pairs, sets, percent)
+    def verify(pairs: DataFrame) -> DataFrame:
+        ends = written(pairs.selectExpr("src as node").union(pairs.selectExpr("dst")).distinct(), "pair-ends")
+        return _verified(pairs, written(_whole_sets(docs, text_col, size, ends), "sets"), percent)
 
     possible = (f"{percent} * greatest(a.n, b.n) <= 100 * least(a.n, b.n) and "
                 f"cast({percent} as long) * (a.n + b.n) <= cast({100 + percent} as long) * least(a.n - a.pos, b.n - b.pos)")
-    parts = link_buckets(postings, checker, possible, "ngram", first="pos", widen=expand)
+    parts = link_buckets(postings, verify, possible, "ngram", first="pos", widen=expand)
     named = rows.select("id", "n", "node").join(parts, "node", "left") \
         .withColumn("component", F.coalesce("component", "node"))
     least = named.where("n > 0").groupBy("component").agg(F.min("id").alias("least"))

@@ -15,25 +15,22 @@ from pyspark.sql import functions as F
 from tablescope.llm.components import connected_components
 from tablescope.llm.storage import written
 
-Verify = Callable[[DataFrame], DataFrame]
-
-
-def link_buckets(postings: DataFrame, checker: Callable[[DataFrame], Verify], possible: str, name: str,
-                 first: str = "node", widen: Callable[[DataFrame], DataFrame] = lambda shared: shared) -> DataFrame:
+def link_buckets(postings: DataFrame, verify: Callable[[DataFrame], DataFrame], possible: str, name: str,
+                 first: str = "node", widen: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(node, component) of all nodes that have a link.
 
     `postings`: bucket, node (both long, no pair twice) and columns that `possible` uses: SQL on two
     postings `a` and `b` of a bucket that holds at least once for each pair that links.
-    `checker`: takes all nodes that may be in a pair, returns a function from pairs (src, dst) to those that link.
-    `first`: numeric expression, least in the hub. `widen`: adds to the shared postings those of nodes
-    for which another one stood so far.
+    `verify`: takes pairs (src, dst), returns those that link. `first`: numeric expression, least in the hub.
+    `widen`: adds to the shared postings those of nodes for which another one stood so far.
     """
     often = postings.groupBy("bucket").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("bucket")
-    shared = written(widen(postings.join(often, "bucket")), f"{name}-shared")
-    verify = checker(shared.select("node").distinct())
-    hubs = shared.groupBy("bucket").agg(F.min_by("node", F.expr(first)).alias("hub"))
-    star = shared.join(hubs, "bucket").select(F.col("hub").alias("x"), F.col("node").alias("y"))
-    star = written(_pairs(star), f"{name}-star")
+    shared = written(postings.join(often, "bucket"), f"{name}-shared")
+    if widen:
+        shared = written(widen(shared), f"{name}-widened")
+    hubs = shared.groupBy("bucket").agg(F.min_by("node", F.expr(first)).alias("node"))
+    hubs = written(shared.join(hubs, ["bucket", "node"]).dropDuplicates(["bucket"]), f"{name}-hubs")
+    star = written(_candidates(hubs, shared, F.lit(True), possible), f"{name}-star")
     links = written(verify(star), f"{name}-links")
     parts = connected_components(links, name)
 
@@ -42,14 +39,14 @@ def link_buckets(postings: DataFrame, checker: Callable[[DataFrame], Verify], po
     mixed = (known.groupBy("bucket").agg(F.min("part").alias("p"), F.max("part").alias("q"))
              .where("p <> q").select("bucket"))
     rest = written(known.join(mixed, "bucket"), f"{name}-rest")
-    a, b = rest.alias("a"), rest.alias("b")
-    more = a.join(b, (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.node") < F.col("b.node"))
-                  & (F.col("a.part") != F.col("b.part")) & F.expr(possible))
-    more = _pairs(more.select(F.col("a.node").alias("x"), F.col("b.node").alias("y")))
-    more = written(more.join(star, ["src", "dst"], "left_anti"), f"{name}-more")
-    late = written(verify(more), f"{name}-links")
+    other = (F.col("a.node") < F.col("b.node")) & (F.col("a.part") != F.col("b.part"))
+    more = _candidates(rest, rest, other, possible).join(star, ["src", "dst"], "left_anti")
+    late = written(verify(written(more, f"{name}-more")), f"{name}-links")
     return connected_components(links.union(late), name) if late.take(1) else parts
 
 
-def _pairs(xy: DataFrame) -> DataFrame:
-    return xy.select(F.least("x", "y").alias("src"), F.greatest("x", "y").alias("dst")).where("src <> dst").distinct()
+def _candidates(left: DataFrame, right: DataFrame, which, possible: str) -> DataFrame:
+    """Distinct pairs (src < dst) of nodes that share a bucket."""
+    a, b = left.alias("a"), right.alias("b")
+    met = a.join(b, (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.node") != F.col("b.node")) & which & F.expr(possible))
+    return met.select(F.least("a.node", "b.node").alias("src"), F.greatest("a.node", "b.node").alias("dst")).distinct()
