@@ -3,8 +3,8 @@
 Lines that are nearly the same anywhere in the corpus are one component, and only its
 first line, by document id and place, is kept. Every distinct line gets a MinHash
 signature of its character 5-grams. Signatures are cut into bands; lines that agree in a
-band are candidates, and every candidate pair is checked by its exact Jaccard similarity.
-Components come from a distributed union-find.
+band are candidates; pairs whose whole signatures agree enough are checked by their
+exact Jaccard similarity. Components come from a distributed union-find.
 
 The signature is filled in rounds: each gram throws its hash into one slot per round until
 all slots have one, so long lines cost one round and short ones as many as they need.
@@ -62,6 +62,15 @@ def _line_key(h: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return hashing.mix(np.add.reduceat(hashing.mix(h + place.astype(np.uint64) * _SPREAD), offsets[:-1])).view(np.int64)
 
 
+def _distinct(h: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Numbers of distinct grams per line."""
+    n = len(offsets) - 1
+    owner = np.repeat(np.arange(n, dtype=np.uint64), np.diff(offsets))
+    s = np.sort((owner << np.uint64(44)) | (h >> np.uint64(20)))
+    fresh = np.append(True, s[1:] != s[:-1])
+    return np.bincount((s[fresh] >> np.uint64(44)).astype(np.int64), minlength=n)
+
+
 def signatures(h: np.ndarray, offsets: np.ndarray, slots: int) -> np.ndarray:
     """Per line, `slots` values of which two lines share each with the odds of their similarity."""
     n = len(offsets) - 1
@@ -110,7 +119,7 @@ def _found(batch, size: int = 1 << 18):
 
 
 def _signed(texts: DataFrame, bands: int, rows_per_band: int) -> DataFrame:
-    """(node, n, bands) of the distinct lines."""
+    """(node, n, bands, marks) of the distinct lines: number of distinct grams, band keys, a byte of each slot."""
 
     def rows(parts):
         known: set[int] = set()
@@ -130,13 +139,16 @@ def _signed(texts: DataFrame, bands: int, rows_per_band: int) -> DataFrame:
                         keys = keys[fresh]
                     if not len(keys):
                         continue
-                    table = band_keys(signatures(h, at, bands * rows_per_band), bands)
+                    table = signatures(h, at, bands * rows_per_band)
+                    marks = pa.array([row.tobytes() for row in table.astype(np.uint8)], pa.binary())
+                    table = band_keys(table, bands)
                     cut = pa.array(np.arange(len(keys) + 1) * bands, pa.int32())
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(keys), pa.array(np.diff(at), pa.int32()), pa.ListArray.from_arrays(cut, pa.array(table.reshape(-1)))],
-                        names=["node", "n", "bands"])
+                        [pa.array(keys), pa.array(_distinct(h, at), pa.int32()),
+                         pa.ListArray.from_arrays(cut, pa.array(table.reshape(-1))), marks],
+                        names=["node", "n", "bands", "marks"])
 
-    return texts.mapInArrow(rows, "node long, n int, bands array<long>").dropDuplicates(["node"])
+    return texts.mapInArrow(rows, "node long, n int, bands array<long>, marks binary").dropDuplicates(["node"])
 
 
 def _occurrences(texts: DataFrame) -> DataFrame:
@@ -176,6 +188,21 @@ def _line_texts(texts: DataFrame, nodes: DataFrame, bits: int = 1 << 20) -> Data
     return texts.mapInArrow(rows, "node long, line string").join(nodes, "node", "left_semi").dropDuplicates(["node"])
 
 
+def _alike(pairs: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
+    """Pairs whose signatures agree in as many slots as lines that link do but once in some ten thousand times."""
+
+    def check(parts):
+        for batch in parts:
+            a, b = (np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(batch.num_rows, -1) if batch.num_rows else
+                    np.zeros((0, 1), np.uint8) for c in (batch.column(2), batch.column(3)))
+            slots, p = a.shape[1], percent / 100
+            least = p * slots - 4 * np.sqrt(slots * p * (1 - p))
+            yield batch.select([0, 1]).filter(pa.array((a == b).sum(axis=1) >= least))
+
+    joined = pairs.join(marks.toDF("src", "a"), "src").join(marks.toDF("dst", "b"), "dst").select("src", "dst", "a", "b")
+    return joined.mapInArrow(check, "src long, dst long")
+
+
 def gram_set(line: str) -> set[str]:
     return {line[i:i + GRAM] for i in range(max(1, len(line) - GRAM + 1))}
 
@@ -199,11 +226,15 @@ def line_components(texts: DataFrame, percent: int = 80, bands: int = 12, rows_p
     """(node, component) of the lines of (id, text) that have a near copy with another text."""
     signed = written(_signed(texts, bands, rows_per_band), "lines")
 
-    def checker(nodes: DataFrame):
-        lines = written(_line_texts(texts, nodes), "line-texts")
-        return lambda pairs: _verified(pairs, lines, percent)
+    marks = signed.select("node", "marks")
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        near = written(_alike(pairs, marks, percent), "alike")
+        ends = written(near.selectExpr("src as node").union(near.selectExpr("dst")).distinct(), "line-ends")
+        return _verified(near, written(_line_texts(texts, ends), "line-texts"), percent)
 
-    return link_buckets(signed.select(F.explode("bands").alias("bucket"), "node", "n"), checker, "true", "line", first="-n")
+    fits = f"{percent} * greatest(a.n, b.n) <= 100 * least(a.n, b.n)"
+    return link_buckets(signed.select(F.explode("bands").alias("bucket"), "node", "n"), verify, fits, "line")
 
 
 def repeated_places(texts: DataFrame, parts: DataFrame) -> DataFrame:
