@@ -30,7 +30,8 @@ WORDS = hashing.ascii_words_table()
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 segment_tokens: int = 1_000_000) -> DataFrame:
     """One row per segment: document ids, where each document ends, the sorted terms (64-bit hashes),
-    and for each term its sorted token positions within the segment. A document is never split."""
+    and for each term its sorted token positions within the segment. A document is never split. The index is
+    written, as the numbers of segments follow from the tasks that made them."""
 
     def rows(parts):
         head = TaskContext.get().partitionId() << 32
@@ -48,8 +49,8 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         if ids:
             yield _segment(head + made, ids, np.concatenate(hashes), np.concatenate(counts))
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")) \
-        .mapInArrow(rows, INDEX_SCHEMA)
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    return written(texts.mapInArrow(rows, INDEX_SCHEMA), "postings")
 
 
 def _segment(number: int, ids: list, h: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
@@ -215,8 +216,7 @@ def _joined(stretches: str):
 def contamination(docs: DataFrame, items: DataFrame, window: int = 10, id_col: str = "doc_id",
                   text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """One row per document: id, n_words, items found and the stretches of words that belong to them."""
-    index = written(build_index(docs, id_col, text_col), "postings")
-    return search(index, items, window, item_id_col, item_text_col).drop("segment", "slot")
+    return search(build_index(docs, id_col, text_col), items, window, item_id_col, item_text_col).drop("segment", "slot")
 
 
 def _hits(row: dict, queries, window: int, spans: bool) -> pa.RecordBatch:
