@@ -276,22 +276,30 @@ def _varied(blocks: list[Block], labels: list[int], rng) -> tuple[list[Block], l
         return [(Block((*at, leaves[rng.integers(0, len(leaves))]) if rng.random() < 0.7 else at, made(1, 30)), 0)
                 for _ in range(rng.integers(1, 5))]
 
+    if rng.random() < 0.25:  # fragments without the outer elements, and short pages
+        body_of, inside = (), inside[2:]
+    else:
+        body_of = (html, body)
+    if rng.random() < 0.25:
+        kept = sorted(rng.permutation(len(blocks))[:int(rng.integers(1, 6))])
+        blocks, labels = [blocks[i] for i in kept], [labels[i] for i in kept]
+
     out = []
-    for _ in range(rng.integers(1, 4)):
-        out += aside((html, body))
+    for _ in range(rng.integers(0, 4)):
+        out += aside(body_of)
     for b, label in zip(blocks, labels):
         if label:
             tail = b.path[-1:] if b.path and b.path[-1][0] not in ("article", "main", "body", "div") else (("p",),)
             out.append((Block((*inside, *tail), b.text), 1))
             if rng.random() < 0.1:
                 out += aside(inside)
-    for _ in range(rng.integers(1, 4)):
-        out += aside(inside if rng.random() < 0.2 else (html, body))
+    for _ in range(rng.integers(0, 4)):
+        out += aside(inside if rng.random() < 0.2 else body_of)
     return [b for b, _ in out], [label for _, label in out]
 
 
 def train(pages: DataFrame, html_col: str = "html", id_col: str = "page_id", sample_pages: int = 200, longest: int = 200,
-          epochs: int = 12, variants: int = 2, seed: int = 11) -> Labeller:
+          epochs: int = 12, variants: int = 3, seed: int = 11) -> Labeller:
     """Fit on about `sample_pages` pages, chosen by a hash; of a sampled page the first `longest` blocks teach.
 
     Only fitting is bounded so; `extract` labels every block of every page.
@@ -320,7 +328,8 @@ def train(pages: DataFrame, html_col: str = "html", id_col: str = "page_id", sam
                         np.array([label is not None for label in labels], float)))
         for _ in range(variants):
             b, y = _varied(blocks, [label or 0 for label in labels], rng)
-            learned.append((features.page(b), np.array(y, float), np.ones(len(y))))
+            if b:
+                learned.append((features.page(b), np.array(y, float), np.ones(len(y))))
     model = Labeller(PATH_SIZE + WORD_SIZE + 4)
     return model.fit(learned, epochs, 0.02) if learned else model
 

@@ -115,7 +115,7 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", s
                 found = Counter()
                 for t in texts:
                     found.update(words_of(t))
-                yield pd.DataFrame({"lang": lang, "word": list(found), "n": list(found.values())},
+                yield pd.DataFrame({"lang": [lang] * len(found), "word": list(found), "n": list(found.values())},
                                    columns=["lang", "word", "n"]).astype({"n": "int64"})
 
     def cut(parts):
@@ -126,7 +126,7 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", s
                     for size in sizes:
                         for g in grams_of(word, size):
                             found[g] += n
-                yield pd.DataFrame({"lang": lang, "word": list(found), "n": list(found.values())},
+                yield pd.DataFrame({"lang": [lang] * len(found), "word": list(found), "n": list(found.values())},
                                    columns=["lang", "word", "n"]).astype({"n": "int64"})
 
     def most(counts: DataFrame, limit: int) -> pd.DataFrame:
