@@ -109,25 +109,27 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", s
     keys = F.pmod(F.xxhash64(*[F.col(c) for c, t in rows.dtypes if not t.startswith("map")]), F.lit(1 << 30))
     sample = rows.where(keys < int(part * (1 << 30))).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
 
+    def batch_of(found: Counter):
+        return pa.RecordBatch.from_arrays(
+            [pa.array([x for x, _ in found], pa.string()), pa.array([w for _, w in found], pa.string()),
+             pa.array(list(found.values()), pa.int64())], names=["lang", "word", "n"])
+
     def count(parts):
-        for frame in parts:
-            for lang, texts in frame.groupby("lang")["text"]:
-                found = Counter()
-                for t in texts:
-                    found.update(words_of(t))
-                yield pd.DataFrame({"lang": [lang] * len(found), "word": list(found), "n": list(found.values())},
-                                   columns=["lang", "word", "n"]).astype({"n": "int64"})
+        for batch in parts:
+            found = Counter()
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                for word, n in Counter(words_of(text)).items():
+                    found[lang, word] += n
+            yield batch_of(found)
 
     def cut(parts):
-        for frame in parts:
-            for lang, group in frame.groupby("lang"):
-                found = Counter()
-                for word, n in zip(group["word"], group["n"]):
-                    for size in sizes:
-                        for g in grams_of(word, size):
-                            found[g] += n
-                yield pd.DataFrame({"lang": [lang] * len(found), "word": list(found), "n": list(found.values())},
-                                   columns=["lang", "word", "n"]).astype({"n": "int64"})
+        for batch in parts:
+            found = Counter()
+            for lang, word, n in zip(*(c.to_pylist() for c in batch.columns)):
+                for size in sizes:
+                    for g in grams_of(word, size):
+                        found[lang, g] += n
+            yield batch_of(found)
 
     def most(counts: DataFrame, limit: int) -> pd.DataFrame:
         order = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
@@ -135,8 +137,8 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", s
                 .select("lang", "word", "n").toArrow().to_pandas())
 
     schema = "lang string, word string, n long"
-    words = sample.mapInPandas(count, schema).groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    grams = words.mapInPandas(cut, schema).groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    words = sample.mapInArrow(count, schema).groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    grams = words.mapInArrow(cut, schema).groupBy("lang", "word").agg(F.sum("n").alias("n"))
     sums = {r.lang: r.n for r in words.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     languages = sorted(sums)
     prior = np.log(np.array([sums[x] for x in languages], float) / max(1, sum(sums.values())))
