@@ -109,6 +109,9 @@ def split_at_fraction(df: DataFrame, order_by: Sequence[str], fraction: float =
             raise unclear
     elif any(k is None for k in numbers):
         placed = global_position(df, order_by, small_rows, n_rows=n)
+        around = placed.filter(F.col("_pos").isin(first - 1, first)).select(*[F.col(quoted(c)) for c in order_by])
+        if around.distinct().count() < 2:
+            raise unclear
         return placed.withColumn(flag, F.col("_pos") >= first).drop("_pos")
     else:
         rows, rank, cut = df, first, []
@@ -117,7 +120,7 @@ def split_at_fraction(df: DataFrame, order_by: Sequence[str], fraction: float =
             rank -= rows.filter(k < v).count()
             rows = rows.filter(k == v)
             cut.append(v)
-        if len(rows.select(F.lit(1)).take(2)) > 1:
+        if rank > 0:    # rows that equal the first of the second part come before it
             raise unclear
     later = F.lit(True)
     for k, v in reversed(list(zip(numbers, cut))):
@@ -129,8 +132,8 @@ def lagged(df: DataFrame, column: str, lags: Sequence[int], order_by: Sequence[s
            partition_by: Sequence[str] = (), small_rows: int = SMALL_ROWS) -> DataFrame:
     """Add `<column>_lag_<k>`: the value k rows earlier in order (within `partition_by`).
 
-    Large tables are cut by position into blocks of `small_rows` rows; the last rows
-    of a block are also sent to the next one, so a hot partition is many blocks.
+    Large tables are cut by position into blocks of `small_rows` rows; a row is also sent to
+    every later block that it reaches, so a hot partition is many blocks and any lag is found.
     """
     n = df.count()
     value = F.col(quoted(column))
@@ -141,10 +144,9 @@ def lagged(df: DataFrame, column: str, lags: Sequence[int], order_by: Sequence[s
         return df.select("*", *[F.lag(value, k).over(w).alias(a) for k, a in names.items()])
     placed = global_position(df, [*partition_by, *order_by], small_rows, n_rows=n)
     block = F.floor(F.col("_pos") / small_rows)
-    halo = F.col("_pos") % small_rows >= small_rows - max(lags)
-    own = F.struct(block.alias("_block"), F.lit(False).alias("_halo"))
-    copy = F.struct((block + 1).alias("_block"), F.lit(True).alias("_halo"))
-    spread = placed.select("*", F.inline(F.when(halo, F.array(own, copy)).otherwise(F.array(own))))
+    reach = F.floor((F.col("_pos") + max(lags)) / small_rows)
+    spread = placed.select("*", F.explode(F.sequence(block, reach)).alias("_block")) \
+        .withColumn("_halo", F.col("_block") != block)
     w = Window.partitionBy("_block").orderBy("_pos")
     same = {k: F.lit(True) for k in lags}
     for c in partition_by:

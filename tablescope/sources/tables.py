@@ -62,8 +62,8 @@ def write_cleaned(df: DataFrame, path: str, fmt: str = "csv") -> str:
     """Write a table (CSV with header by default) as one file per task."""
     writer = df.write.mode("errorifexists").format(fmt)
     if fmt == "csv":
-        writer = writer.option("header", True).option("timestampFormat", "yyyy-MM-dd HH:mm:ss")
-        writer = writer.option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss")
+        writer = writer.option("header", True).option("timestampFormat", "yyyy-MM-dd HH:mm:ss.SSSSSS")
+        writer = writer.option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss.SSSSSS")
     writer.save(path)
     return path
 

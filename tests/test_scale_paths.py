@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tablescope.operators import association, drift, features, inference, ordering
 from tablescope.operators.quantiles import quantiles, value_at_rank
-from tablescope.sources import sampling
+from tablescope.sources import sampling, tables
 
 RNG = np.random.default_rng(5)
 
@@ -164,3 +164,33 @@ def test_date_formats(spark):
     got = [r.p is not None for r in frame(spark, t=texts).select(
         inference.parse_date(F.col("t")).alias("p")).collect()]
     assert got == [True] * 7 + [False] * 5
+
+
+def test_cut_before_equal_keys(spark):
+    """Equal keys are unclear only where the cut divides them, whatever the size of the table."""
+    df = spark.createDataFrame([(1,), (2,), (3,), (3,)], "k long")
+    for small in (100, 1):
+        parts = ordering.split_at_fraction(df, ["k"], small_rows=small).collect()
+        assert sorted((r.k, r.second) for r in parts) == [(1, False), (2, False), (3, True), (3, True)]
+        with pytest.raises(ValueError):
+            ordering.split_at_fraction(df, ["k"], 0.75, small_rows=small).collect()
+
+
+def test_cut_inside_equal_text(spark):
+    df = spark.createDataFrame([("a",), ("b",), ("b",), ("c",)], "k string")
+    for small in (100, 1):
+        with pytest.raises(ValueError):
+            ordering.split_at_fraction(df, ["k"], small_rows=small).collect()
+
+
+def test_lag_longer_than_block(spark):
+    df = spark.createDataFrame([(i, float(i * i)) for i in range(20)], "k long, v double")
+    for small in (100, 4):
+        rows = ordering.lagged(df, "v", [1, 7], ["k"], small_rows=small).collect()
+        assert sorted((r.k, r.v_lag_7) for r in rows) == [(i, float((i - 7) ** 2) if i >= 7 else None) for i in range(20)]
+
+
+def test_fractions_of_seconds_survive(spark, tmp_path):
+    df = spark.sql("select timestamp_ntz'2024-01-02 01:00:00.123456' as t")
+    tables.write_cleaned(df, str(tmp_path / "out"))
+    assert spark.read.text(str(tmp_path / "out")).filter("value like '%00.123456%'").count() == 1
