@@ -18,6 +18,8 @@ in each of them. A null id comes first. Lines are identified by 64-bit hashes. O
 columns of the table are kept as they are.
 """
 
+from hashlib import blake2b
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -39,27 +41,28 @@ def lines_of(text: str | None) -> list[tuple[int, str]]:
 
 
 def _grams(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the character grams of all lines in order, and the offsets of each line."""
+    """Hashes of the character grams of all lines (none empty) in order, and the offsets of each line."""
     sizes = np.array([len(s) for s in lines], np.int64)
-    chars = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    chars = (chars + np.uint64(1)) * _SPREAD
+    gap = "\0" * (GRAM - 1)
+    chars = np.frombuffer((gap.join(lines) + gap).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    chars += np.uint64(1)
+    chars *= _SPREAD
     chars ^= chars >> np.uint64(29)
-    ends = np.cumsum(sizes)
+    begin = np.cumsum(sizes + GRAM - 1) - (sizes + GRAM - 1)
+    chars[((begin + sizes)[:, None] + np.arange(GRAM - 1)).reshape(-1)] = 0
+    windows = np.zeros(len(chars) - GRAM + 1, np.uint64)
+    for k in range(GRAM):
+        windows *= _BASE
+        windows += chars[k:k + len(windows)]
     n = np.maximum(1, sizes - GRAM + 1)
     offsets = np.append(0, np.cumsum(n))
-    owner = np.repeat(np.arange(len(lines)), n)
-    start = np.arange(offsets[-1]) - offsets[owner] + (ends - sizes)[owner]
-    h = np.zeros(len(start), np.uint64)
-    for k in range(GRAM):
-        inside = start + k < ends[owner]
-        h = h * _BASE + np.where(inside, chars[np.minimum(start + k, max(0, len(chars) - 1))], np.uint64(0))
-    return hashing.mix(h), offsets
+    return hashing.mix(windows[np.arange(offsets[-1]) + np.repeat(begin - offsets[:-1], n)]), offsets
 
 
-def _line_key(h: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """One 64-bit number per line from its grams in order."""
-    place = np.arange(len(h)) - np.repeat(offsets[:-1], np.diff(offsets))
-    return hashing.mix(np.add.reduceat(hashing.mix(h + place.astype(np.uint64) * _SPREAD), offsets[:-1])).view(np.int64)
+def line_keys(lines: list[str]) -> np.ndarray:
+    """One 64-bit number per line."""
+    return np.frombuffer(b"".join([blake2b(s.encode("utf-8", "surrogatepass"), digest_size=8).digest() for s in lines]),
+                         np.int64)
 
 
 def _distinct(h: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -76,7 +79,6 @@ def signatures(h: np.ndarray, offsets: np.ndarray, slots: int) -> np.ndarray:
     n = len(offsets) - 1
     table = np.full((n, slots), np.iinfo(np.uint64).max, np.uint64)
     owner = np.repeat(np.arange(n), np.diff(offsets))
-    left = np.arange(n)
     room = np.uint64((1 << 56) - 1)
     for turn in range(2 * slots):
         g = hashing.mix(h + np.uint64(turn * int(_BASE) & (1 << 64) - 1))
@@ -84,10 +86,10 @@ def signatures(h: np.ndarray, offsets: np.ndarray, slots: int) -> np.ndarray:
         slot = (g >> np.uint64(58)).astype(np.int64) * slots >> 6 if turn < slots else np.full(len(g), turn - slots)
         value = (np.uint64(turn) << np.uint64(56)) | (g & room)
         np.minimum.at(table.reshape(-1), owner * slots + slot, value)
-        left = np.flatnonzero((table == np.iinfo(np.uint64).max).any(axis=1))
-        if not len(left):
+        left = (table == np.iinfo(np.uint64).max).any(axis=1)
+        if not left.any():
             break
-        keep = np.isin(owner, left)
+        keep = left[owner]
         h, owner = h[keep], owner[keep]
     return table
 
@@ -127,18 +129,15 @@ def _signed(texts: DataFrame, bands: int, rows_per_band: int) -> DataFrame:
             for part in hashing.sliced(batch, 1):
                 for _, _, lines in _found(part):
                     lines = list(set(lines))
-                    h, at = _grams(lines)
-                    keys = _line_key(h, at)
+                    keys = line_keys(lines)
                     fresh = np.array([k not in known for k in keys.tolist()], bool)
                     if len(known) > 1_000_000:
                         known.clear()
                     known.update(keys.tolist())
-                    if not fresh.all():
-                        h = h[np.repeat(fresh, np.diff(at))]
-                        at = np.append(0, np.cumsum(np.diff(at)[fresh]))
-                        keys = keys[fresh]
+                    keys = keys[fresh]
                     if not len(keys):
                         continue
+                    h, at = _grams([s for s, new in zip(lines, fresh) if new])
                     table = signatures(h, at, bands * rows_per_band)
                     marks = pa.array([row.tobytes() for row in table.astype(np.uint8)], pa.binary())
                     table = band_keys(table, bands)
@@ -158,7 +157,7 @@ def _occurrences(texts: DataFrame) -> DataFrame:
         for batch in parts:
             for part in hashing.sliced(batch, 1):
                 for owners, places, lines in _found(part):
-                    keys = _line_key(*_grams(lines))
+                    keys = line_keys(lines)
                     yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(owners)), pa.array(places, pa.int32()),
                                                       pa.array(keys)], names=["id", "place", "node"])
 
@@ -177,7 +176,7 @@ def _line_texts(texts: DataFrame, nodes: DataFrame, bits: int = 1 << 20) -> Data
             for part in hashing.sliced(batch, 1):
                 for _, _, lines in _found(part):
                     lines = list(set(lines))
-                    keys = _line_key(*_grams(lines)).tolist()
+                    keys = line_keys(lines).tolist()
                     chosen = [(k, s) for k, s in zip(keys, lines) if sent.value[k % bits] and k not in known]
                     if len(known) > 1_000_000:
                         known.clear()
@@ -207,13 +206,20 @@ def gram_set(line: str) -> set[str]:
     return {line[i:i + GRAM] for i in range(max(1, len(line) - GRAM + 1))}
 
 
-def _verified(pairs: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, lines: DataFrame, percent: int, held: int = 1 << 20) -> DataFrame:
+    """Pairs whose gram sets are alike enough. Sets of about `held` characters are kept while lines come again."""
 
     def check(parts):
         for batch in parts:
-            keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                a, b = gram_set(x), gram_set(y)
+            keep, known, size = [], {}, 0
+            for pair in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                if size > held:
+                    known, size = {}, 0
+                for line in pair:
+                    if line not in known:
+                        known[line] = gram_set(line)
+                        size += len(line)
+                a, b = known[pair[0]], known[pair[1]]
                 both = len(a & b)
                 keep.append(100 * both >= percent * (len(a) + len(b) - both))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
