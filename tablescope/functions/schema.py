@@ -1,7 +1,7 @@
 """Which columns count as numeric, categorical, text or datetime.
 
-Schema order is kept everywhere, because the `max_columns` limits of several
-operators decide by it which features are looked at.
+Schema order is kept everywhere, because ties are settled by it and an
+optional `max_columns` argument takes the first features.
 """
 
 from pyspark.sql import DataFrame

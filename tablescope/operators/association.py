@@ -18,7 +18,6 @@ from tablescope.sources.sampling import deterministic_sample
 # The published limits of the audit.
 REDUNDANT, REDUNDANT_HIGH = 0.85, 0.95
 LEAK_WARNING, LEAK_CANDIDATE = 0.85, 0.95
-VIF_MAX_COLUMNS = 15
 LEAK_BANDS = ((0.85, "CRITICAL"), (0.70, "HIGH"), (0.50, "MODERATE"), (0.30, "LOW"))
 
 _PAIRS_PER_AGG = 12
@@ -143,8 +142,8 @@ def corr_pairs_gt(df: DataFrame, threshold: float = 0.9, target: str | None = No
                     rounded(F.abs("corr"), 4).alias("abs_corr")))
 
 
-def vif(df: DataFrame, target: str | None = None, max_columns: int = VIF_MAX_COLUMNS) -> DataFrame:
-    """Variance inflation of the first features, each regressed on all other numerics.
+def vif(df: DataFrame, target: str | None = None, max_columns: int | None = None) -> DataFrame:
+    """Variance inflation of the features (the first `max_columns`), each regressed on all other numerics.
 
     Runs Spark jobs for one correlation matrix; the regressions are solved from it
     on the driver (features squared in size, whatever the number of rows).
@@ -159,7 +158,7 @@ def vif(df: DataFrame, target: str | None = None, max_columns: int = VIF_MAX_COL
             r[full.index(row.feature_1), full.index(row.feature_2)] = row.corr or 0.0
         r = r + np.triu(r, 1).T
         constant = [j for j in range(p) if r[j, j] == 0]
-        for j in range(min(max_columns, p)):
+        for j in range(p)[:max_columns]:
             others = [k for k in range(p) if k != j and k not in constant]
             if j in constant:
                 r2 = 1.0
@@ -174,9 +173,9 @@ def vif(df: DataFrame, target: str | None = None, max_columns: int = VIF_MAX_COL
 
 
 def redundancy_summary(df: DataFrame, target: str | None = None) -> DataFrame:
-    """Pair count (as reported), features to drop, and features with inflation above 5."""
+    """Pair count, features to drop, and features with inflation above 5."""
     pairs = _redundant(df, target).agg(
-        F.least(F.count(F.lit(1)), F.lit(20)).alias("n_pairs"),
+        F.count(F.lit(1)).alias("n_pairs"),
         F.count_distinct(F.when(F.col("correlation") >= REDUNDANT_HIGH, F.col("feature_2")))
         .alias("n_drop"))
     inflated = vif(df, target).agg(F.count_if(F.col("vif") > 5).alias("n_vif_above_5"))

@@ -13,7 +13,6 @@ from tablescope.operators.ordering import SMALL_ROWS, split_at_fraction, with_bu
 from tablescope.operators.profile import duplicate_rows, missing_counts
 
 # The published limits of the audit.
-MAX_COLUMNS = 20
 MIN_ROWS = 50
 MIN_PER_HALF = 10
 MIN_TARGET_PER_HALF = 5
@@ -89,7 +88,7 @@ _DRIFT = ("feature string, ks_stat double, p_value double, drifted boolean, seve
 
 
 def drift_report(df: DataFrame, target: str | None, order_by: Sequence[str],
-                 max_columns: int | None = MAX_COLUMNS,
+                 max_columns: int | None = None,
                  rows_per_bucket: int = SMALL_ROWS) -> DataFrame:
     """First against second half by key order, per numeric feature. Runs jobs to find the cut."""
     names = numeric_columns(df, target)[:max_columns]
@@ -111,8 +110,8 @@ def halves_report(halves: DataFrame, names: Sequence[str],
 
 
 def drift_summary(df: DataFrame, target: str | None, order_by: Sequence[str],
-                  report: DataFrame | None = None) -> DataFrame:
-    """Share of drifted features (of all numeric features) and the resulting risk."""
+                  report: DataFrame | None = None, k: int | None = None) -> DataFrame:
+    """Share of drifted features (of all numeric features), the resulting risk, and the names of the first `k` (all)."""
     names = numeric_columns(df, target)
     report = drift_report(df, target, order_by) if report is None else report
     order = F.array(*[F.lit(c) for c in names]) if names else F.array(F.lit(""))
@@ -120,7 +119,7 @@ def drift_summary(df: DataFrame, target: str | None, order_by: Sequence[str],
                                             F.col("feature").alias("f")))
     one = report.agg(F.count_if(F.col("drifted")).alias("n_drifted"),
                      F.count(F.lit(1)).alias("n_tested"),
-                     F.slice(F.array_sort(F.collect_list(hit)), 1, 5).alias("_top"))
+                     F.slice(F.array_sort(F.collect_list(hit)), 1, k or max(len(names), 1)).alias("_top"))
     pct = rounded(F.col("n_drifted") / max(len(names), 1) * 100, 1)
     return (one.withColumn("drift_pct", pct)
             .withColumn("risk", label(F.col("drift_pct"), *DRIFT_BANDS, default="LOW"))
@@ -216,7 +215,7 @@ def _shift(old: DataFrame, new: DataFrame, names: Sequence[str], at_least: int,
         ks_severity(F.col("ks")).alias("severity"))
 
 
-def distribution_shift(old: DataFrame, new: DataFrame, max_columns: int | None = MAX_COLUMNS,
+def distribution_shift(old: DataFrame, new: DataFrame, max_columns: int | None = None,
                        rows_per_bucket: int = SMALL_ROWS) -> DataFrame:
     """Common numeric columns of two versions compared, in the order of the old schema."""
     return _shift(old, new, common_numeric(old, new)[:max_columns], MIN_PER_VERSION, rows_per_bucket)

@@ -10,7 +10,7 @@ from tablescope.functions.schema import (datetime_columns, missing, num, numeric
                                          text_columns)
 from tablescope.functions.stats import adjusted_skewness, rounded
 from tablescope.functions.wide import per_column
-from tablescope.operators.ordering import adjacent_gaps, weighted_median
+from tablescope.operators.ordering import adjacent_gaps, instant, weighted_median
 
 # Names, patterns, formats and limits.
 ID_NAMES = ("id", "index", "row_id", "uid", "uuid", "customer_id", "user_id", "order_id")
@@ -158,10 +158,10 @@ def find_time_column(df: DataFrame) -> str | None:
 
 def frequency_guess(df: DataFrame, column: str) -> DataFrame:
     """Median gap between neighbours in time, as whole days and as a name."""
-    c = F.col(quoted(column))
     if column in text_columns(df):
-        c = parse_date(c)
-    micros = F.unix_micros(c.cast("timestamp"))
+        micros = F.unix_micros(parse_date(F.col(quoted(column))).cast("timestamp"))
+    else:
+        micros = instant(df, column)
     gaps = adjacent_gaps(df.select(micros.alias("v")).filter("v is not null"))
     median = weighted_median(gaps)
     days = None if median is None else int(median // 86_400_000_000)

@@ -11,7 +11,6 @@ from tablescope.operators.profile import first_per, missing_counts
 
 # The published limits of the audit.
 CRITICAL_PCT, MODERATE_PCT = 30, 10
-SIGNAL_COLUMNS = 5
 SIGNAL_CORR = 0.2
 MCAR_PCT = 5
 
@@ -25,13 +24,13 @@ def missing_severity(df: DataFrame) -> DataFrame:
         .alias("severity"))
 
 
-def mar_signals(df: DataFrame) -> DataFrame:
+def mar_signals(df: DataFrame, max_columns: int | None = None) -> DataFrame:
     """First numeric column (schema order) that goes along with the gaps of a column.
 
-    Looks at the first five incomplete columns; finding them is one small job.
+    Looks at all incomplete columns, or the first `max_columns`; finding them is one small job.
     """
     incomplete = [r.column for r in missing_counts(df).filter("n_missing > 0")
-                  .orderBy("ordinal").limit(SIGNAL_COLUMNS).collect()]
+                  .orderBy("ordinal").collect()][:max_columns]
     parts = []
     for m in incomplete:
         flag = missing(df, m).cast("double")

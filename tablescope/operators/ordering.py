@@ -19,15 +19,33 @@ SMALL_ROWS = 1_000_000
 MAX_BUCKETS = 4_000
 
 
-def key_number(df: DataFrame, name: str) -> Column | None:
-    """An order-preserving number for a key column, None for types that have none."""
+def instant(df: DataFrame, name: str) -> Column:
+    """Microseconds of a timestamp or date; those without a zone are counted as they stand, whatever the session's zone."""
+    c, kind = F.col(quoted(name)), df.schema[name].dataType
+    if isinstance(kind, T.DateType):
+        return F.unix_date(c).cast("long") * 86_400_000_000
+    if not isinstance(kind, T.TimestampNTZType):
+        return F.unix_micros(c.cast("timestamp"))
+    seconds = F.unix_date(c.cast("date")).cast("long") * 86_400 + F.hour(c) * 3_600 + F.minute(c) * 60
+    return seconds * 1_000_000 + (F.date_part(F.lit("SECOND"), c) * 1_000_000).cast("long")
+
+
+def key_numbers(df: DataFrame, name: str) -> list[Column] | None:
+    """Doubles that order a key column exactly, the first before the next; None for types that have none.
+
+    A 64-bit number is two of 32 bits, as a double holds only 53; so is a decimal without a fraction
+    that fits into 64 bits.
+    """
+    c, kind = F.col(quoted(name)), df.schema[name].dataType
+    if isinstance(kind, T.LongType) or isinstance(kind, T.DecimalType) and kind.scale == 0 and kind.precision <= 18:
+        c = c.cast("long")
+        return [F.shiftright(c, 32).cast("double"), c.bitwiseAND(F.lit(0xFFFFFFFF)).cast("double")]
+    if isinstance(kind, T.DecimalType) and kind.precision > 15:
+        return None
     if name in numeric_columns(df):
-        return num(name)
-    c = F.col(quoted(name))
-    if isinstance(df.schema[name].dataType, T.DateType):
-        return F.unix_date(c).cast("double")
+        return [num(name)]
     if name in datetime_columns(df):
-        return F.unix_micros(c.cast("timestamp")).cast("double")
+        return [instant(df, name).cast("double")]
     return None
 
 
@@ -90,7 +108,7 @@ def split_at_fraction(df: DataFrame, order_by: Sequence[str], fraction: float =
     is neither sorted nor shuffled. Keys must be unique where the cut falls.
     Runs Spark jobs. Keys without a numeric order (text) take `global_position`.
     """
-    numbers = [key_number(df, c) for c in order_by]
+    by_key = [key_numbers(df, c) for c in order_by]
     nulls = F.count(F.when(sum((F.col(quoted(c)).isNull().cast("int") for c in order_by),
                                F.lit(0)) > 0, 1))
     n, n_null = df.agg(F.count(F.lit(1)), nulls).first()
@@ -101,19 +119,20 @@ def split_at_fraction(df: DataFrame, order_by: Sequence[str], fraction: float =
         return df.withColumn(flag, F.lit(first == 0 and n > 0))
     unclear = ValueError(f"{list(order_by)} is not unique; add a column that tells rows apart")
     if n <= small_rows:
-        numbers = [F.col(quoted(c)) if k is None else k for c, k in zip(order_by, numbers)]
+        numbers = [x for c, k in zip(order_by, by_key) for x in k or [F.col(quoted(c))]]
         before, cut = (df.select(*[k.alias(f"k{i}") for i, k in enumerate(numbers)])
                        .orderBy(*[f"k{i}" for i in range(len(numbers))])
                        .offset(first - 1).limit(2).collect())
         if before == cut:
             raise unclear
-    elif any(k is None for k in numbers):
+    elif any(k is None for k in by_key):
         placed = global_position(df, order_by, small_rows, n_rows=n)
         around = placed.filter(F.col("_pos").isin(first - 1, first)).select(*[F.col(quoted(c)) for c in order_by])
         if around.distinct().count() < 2:
             raise unclear
         return placed.withColumn(flag, F.col("_pos") >= first).drop("_pos")
     else:
+        numbers = [x for k in by_key for x in k]
         rows, rank, cut = df, first, []
         for k in numbers:
             v = value_at_rank(rows, k, rank)

@@ -20,7 +20,7 @@ from tablescope.operators.adequacy import MIN_PER_CLASS, MIN_ROWS, ROWS_PER_FEAT
 from tablescope.operators.association import LEAK_CANDIDATE, REDUNDANT
 from tablescope.operators.inference import (CURRENCY_MEAN, CURRENCY_SKEW, ID_NAMES, RSI_RANGE, SHARE,
                                             parse_date)
-from tablescope.operators.missingness import MCAR_PCT, SIGNAL_COLUMNS, SIGNAL_CORR
+from tablescope.operators.missingness import MCAR_PCT, SIGNAL_CORR
 from tablescope.operators.profile import (BINARY_CLASSES, FEW_CLASSES, FEW_CLASSES_RATIO,
                                           constant_flags)
 
@@ -28,7 +28,6 @@ from tablescope.operators.profile import (BINARY_CLASSES, FEW_CLASSES, FEW_CLASS
 SECTION_IMPACT = {"Data Completeness": "HIGH", "Data Integrity": "MEDIUM", "Feature Quality": "HIGH",
                   "Leakage Safety": "CRITICAL", "Sample Adequacy": "MEDIUM", "Missing Pattern": "MEDIUM"}
 PATTERN_SCORE = {"NONE": 100, "MCAR": 80, "MAR": 50, "MNAR": 30}
-MAX_PAIRS = 20
 
 _EXPRESSIONS_PER_PASS = AGGREGATES // 3     # a guarded correlation is three aggregates
 
@@ -113,11 +112,10 @@ def signals(df: DataFrame, target: str, by: Sequence[str] = (),
         found[i] = [f"_signal{i}_{j}" for j in range(len(others))]
     base = _aggregate(df, by, aggs)
 
-    before, used = F.lit(0), []
+    used = []
     for i in range(len(incomplete)):
         hit = reduce(or_, [F.coalesce(s, F.lit(False)) for s in found[i]], F.lit(False))
-        used.append(F.col(f"_gap{i}") & (before < SIGNAL_COLUMNS) & hit)
-        before = before + F.col(f"_gap{i}").cast("int")
+        used.append(F.col(f"_gap{i}") & hit)
     cells = F.col("rows") * n_cols
     missing_cells = F.col("_missing") if incomplete else F.lit(0).cast("bigint")
     raw_pct = missing_cells / F.greatest(cells, F.lit(1)) * 100
@@ -125,7 +123,7 @@ def signals(df: DataFrame, target: str, by: Sequence[str] = (),
         *by, "rows", missing_cells.alias("missing_total"), raw_pct.alias("_pct"),
         rounded(raw_pct, 2).alias("missing_pct"),
         _total(flags["constant"]).alias("n_constant"), _total(flags["leak"]).alias("n_leak"),
-        F.least(_total(flags["pair"]), F.lit(MAX_PAIRS)).alias("n_redundant"),
+        _total(flags["pair"]).alias("n_redundant"),
         _total(flags["warn"]).alias("n_type_warnings"), _total(used).alias("n_signals"))
 
     classes = (df.groupBy(*by, value(df, target).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))

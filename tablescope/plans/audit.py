@@ -26,7 +26,7 @@ def audit_summary(df: DataFrame, target: str, order_by: Sequence[str]) -> DataFr
     leaks = association.leakage_summary(df, target).select("n_critical", "n_high")
     moved = drift.drift_summary(df, target, order_by).select(F.col("risk").alias("drift_risk"), "drift_pct")
     odd = outliers.outlier_summary(df, target, robust=False).select("pct_outliers", "top_drivers")
-    skewed = _names(distribution.skewed_features(df, target, 1.5, k=5), "skewed")
+    skewed = _names(distribution.skewed_features(df, target, 1.5, k=len(df.columns)), "skewed")
     related = _names(profile.target_correlations(df, target, 5), "top_correlated")
     phases = features.recommendations(df, target).agg(
         *[F.count_if(F.col("phase") == p).alias(f"n_phase{p}") for p in (1, 2, 3)])

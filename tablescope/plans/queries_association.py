@@ -80,8 +80,8 @@ def _(spark, sf):
 
 
 @query("redundancy_summary", with_views("fx_leak") + f"""
-    select least((select count(*) from ({_pairs('fx_leak', _VIF, 'abs(round({0}, 4))')})
-                  where correlation >= 0.85), 20) as n_pairs,
+    select (select count(*) from ({_pairs('fx_leak', _VIF, 'abs(round({0}, 4))')})
+            where correlation >= 0.85) as n_pairs,
            (select count(distinct feature_2) from ({_pairs('fx_leak', _VIF, 'abs(round({0}, 4))')})
             where correlation >= 0.95) as n_drop,
            (select count(*) from ({union([_vif3(j, _VIF) for j in range(3)])}) where round(vif, 2) > 5)

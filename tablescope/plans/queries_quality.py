@@ -37,7 +37,7 @@ def _signals(by: str | None) -> str:
 base as (select {key}count(*) as rows, count(*) - count(l_discount) as miss,
     {_flags(f'count(distinct {c}) <= 1' for c in constant)} as n_constant,
     {_flags(f"abs({corr(c, 'l_extendedprice')}) > 0.95" for c in _SEG_FEATURES)} as n_leak,
-    least({_flags(pairs)}, 20) as n_redundant,
+    {_flags(pairs)} as n_redundant,
     {_flags(f"abs({corr('(case when l_discount is null then 1.0 else 0.0 end)', c)}) > 0.2"
             for c in _SEG_OTHERS)} as hits, count(distinct l_extendedprice) as n_unique
     from fx_seg {group}),
@@ -239,6 +239,25 @@ def _(spark, sf):
     return outliers.top_scores(outliers.mahalanobis_scores(table(spark, sf, "documents"), robust=False))
 
 
+# Closed form for three features: the adjugate of the covariance.
+_KEYS, _THREE = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"], ["l_quantity", "l_extendedprice", "l_discount"]
+
+
+@query("outliers_by_key", f"""
+    with m as (select avg(l_quantity) as ma, avg(l_extendedprice) as mb, avg(l_discount) as mc,
+        var_samp(l_quantity) as aa, var_samp(l_extendedprice) as bb, var_samp(l_discount) as cc,
+        covar_samp(l_quantity, l_extendedprice) as ab, covar_samp(l_quantity, l_discount) as ac,
+        covar_samp(l_extendedprice, l_discount) as bc from lineitem),
+    z as (select {', '.join(_KEYS)}, l_quantity - ma as a, l_extendedprice - mb as b, l_discount - mc as c, m.* from lineitem, m),
+    sc as (select {', '.join(_KEYS)}, (a * a * (bb * cc - bc * bc) + b * b * (aa * cc - ac * ac) + c * c * (aa * bb - ab * ab)
+        + 2 * a * b * (ac * bc - ab * cc) + 2 * a * c * (ab * bc - ac * bb) + 2 * b * c * (ab * ac - aa * bc))
+        / (aa * (bb * cc - bc * bc) - ab * (ab * cc - ac * bc) + ac * (ab * bc - ac * bb)) as d2 from z)
+    select {', '.join(_KEYS)}, {rnd('d2', 6)} as d2 from sc where sc.d2 > (select quantile_cont(d2, 0.95) from sc)""")
+def _(spark, sf):
+    flagged = outliers.outlier_rows(table(spark, sf, "lineitem"), robust=False, features=_THREE, keep=_KEYS)
+    return flagged.filter("is_outlier").select(*_KEYS, (F.round("d2", 6) + F.lit(0.0)).alias("d2"))
+
+
 @query("outlier_summary", f"""with {_TWO}, dr as (select feature,
         abs(o - n) / (abs(n) + 0.00000001::double) * 100 as s from ({_DR})),
     iq as (select quantile_cont(n_chars, 0.25) as a, quantile_cont(n_chars, 0.75) as b from documents)

@@ -199,6 +199,37 @@ def test_robust_scatter_ignores_far_rows(spark):
         outliers.mahalanobis_scores(df.select("a"))
 
 
+@pytest.mark.parametrize("share, away", [(0.3, 6), (0.4, 8)])
+def test_robust_scatter_with_a_far_cluster(spark, share, away):
+    x = RNG.normal(size=(1000, 4))
+    n = int(1000 * share)
+    x[:n] = x[:n] * 0.1 + away
+    df = spark.createDataFrame(pd.DataFrame(x, columns=list("abcd")).assign(key=np.arange(1000)))
+    flagged = outliers.outlier_rows(df, contamination=None, keep=["key"])
+    rows = flagged.toPandas()
+    far = rows["key"] < n
+    assert rows.columns.tolist() == ["key", "a", "b", "c", "d", "d2", "is_outlier"]
+    assert rows[far].is_outlier.all() and rows[~far].is_outlier.mean() < 0.08
+    top = outliers.top_scores(flagged, 3, keep=["key"]).toPandas()
+    assert top.columns.tolist() == ["key", "d2"] and (top["key"] < n).all()
+    assert [r.feature for r in outliers.outlier_drivers(flagged, keep=["key"]).collect()] == list("abcd")
+
+
+def test_all_columns_are_looked_at(spark):
+    x = pd.DataFrame(RNG.normal(size=(200, 25)), columns=[f"c{i:02}" for i in range(25)])
+    x["c24"] += np.where(np.arange(200) < 100, 0, 50)
+    for i in range(7):
+        x.loc[i, f"c{i:02}"] = np.nan
+    x.loc[x["c24"] > 25, "c06"] = np.nan
+    df = spark.createDataFrame(x.assign(key=np.arange(200)))
+    assert distribution.distributions(df).count() == 26
+    assert drift.drift_report(df, None, ["key"]).filter("drifted").filter("feature = 'c24'").count() == 1
+    assert {r.column for r in missingness.mar_signals(df).collect()} >= {"c06"}
+    assert association.vif(df).count() == 26 and association.vif(df, max_columns=3).count() == 3
+    flagged = outliers.outlier_rows(df, robust=False, keep=["key"])
+    assert outliers.outlier_drivers(flagged, keep=["key"]).count() == 25
+
+
 def test_histogram_of_a_constant(spark):
     df = spark.createDataFrame([(2.0,), (2.0,), (None,)], "x double")
     assert [(r.bin, r.n) for r in charts.histogram(df, "x").collect()] == [(0, 2)]

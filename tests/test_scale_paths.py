@@ -194,3 +194,30 @@ def test_fractions_of_seconds_survive(spark, tmp_path):
     df = spark.sql("select timestamp_ntz'2024-01-02 01:00:00.123456' as t")
     tables.write_cleaned(df, str(tmp_path / "out"))
     assert spark.read.text(str(tmp_path / "out")).filter("value like '%00.123456%'").count() == 1
+
+
+@pytest.mark.parametrize("small", [2, 1_000_000])
+def test_split_by_ids_beyond_doubles(spark, small):
+    for kind in ("bigint", "decimal(18,0)", "decimal(30,0)"):
+        ids = spark.range(2**53, 2**53 + 6).selectExpr(f"cast(id as {kind}) as id")
+        for half in (1, 2, 3, 4, 5):
+            got = ordering.split_at_fraction(ids, ["id"], half / 6 + 0.01, small_rows=small).filter("second").count()
+            assert got == 6 - half
+    signs = spark.createDataFrame([(-(2**62),), (-1,), (0,), (2**62,)], "id bigint")
+    got = ordering.split_at_fraction(signs, ["id"], small_rows=small).filter("second").collect()
+    assert sorted(r.id for r in got) == [0, 2**62]
+
+
+def test_times_without_zone_over_a_clock_change(spark):
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        df = spark.sql("select cast(s as timestamp_ntz) as t from values ('2024-03-10 01:30:00'), "
+                       "('2024-03-10 02:30:00.25'), ('2024-03-10 03:30:00.25'), ('2024-03-10 04:30:00') as v(s)")
+        for small in (2, 1_000_000):
+            assert ordering.split_at_fraction(df, ["t"], small_rows=small).filter("second").count() == 2
+        us = [r[0] for r in df.select(ordering.instant(df, "t")).collect()]
+        assert np.diff(us).tolist() == [3_600_250_000, 3_600_000_000, 3_599_750_000]
+        assert us[0] == 1_710_034_200_000_000
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
