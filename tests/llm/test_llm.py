@@ -1,5 +1,6 @@
 """The training-data operators against brute force, exact round trips and held-out rows, and on odd input."""
 
+import inspect
 import random
 import re
 import string
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from oracle import compare, connect
-from tablescope.llm import (bpe_automaton, class_lm, compact_windows, components, decontamination, html_blocks,
+from tablescope.llm import (bpe_automaton, class_lm, compact_windows, components, decontamination, hashing, html_blocks,
                             jaccard_join, language_id, line_dedup, queries, toxicity, vp_trees)
 from tablescope.llm.storage import ship
 
@@ -345,6 +346,35 @@ def test_passages(spark, odd, empty):
     assert compact_windows.repeated_passages(empty).count() == 0
 
 
+def keys_of(text):
+    given = inspect.signature(compact_windows.repeated_passages).parameters
+    h, _ = hashing.word_hashes([text.encode()], compact_windows.WORDS)
+    return set(compact_windows.passage_keys(hashing.shingles(h, 5), 46, given["hashes"].default, given["agree"].default)[0].tolist())
+
+
+def with_edits(words, *places):
+    return [f"{w}new" if i in places else w for i, w in enumerate(words)]
+
+
+def test_passages_that_differ_from_the_first_text(spark):
+    """All keys are shared with a text that is not alike; two later ones are, equal or in a chain."""
+    rng, rows, want = random.Random(3), [], set()
+    while len(want) < 60:
+        base = [f"v{rng.randrange(10**6)}" for _ in range(50)]
+        near, far = with_edits(base, 20), with_edits(base, 20, 33)
+        at = len(rows)
+        if len({frozenset(keys_of(" ".join(w))) for w in (base, near, far)}) > 1:
+            continue
+        if len(rows) % 2:
+            rows += [(at, far), (at + 1, base), (at + 2, base)]  # the last one equals the second only
+            want.add((at + 2, at + 1))
+        else:
+            rows += [(at, base), (at + 1, near), (at + 2, far)]  # the last one is near the second only
+            want |= {(at + 1, at), (at + 2, at + 1)}
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    assert {(r.id, r.rep_id) for r in compact_windows.repeated_passages(df).collect()} == want
+
+
 def test_compact_windows_hold_every_subsequence():
     rng = np.random.default_rng(1)
     h = rng.integers(0, 30, 40).astype(np.uint64)
