@@ -375,6 +375,24 @@ def test_passages_that_differ_from_the_first_text(spark):
     assert {(r.id, r.rep_id) for r in compact_windows.repeated_passages(df).collect()} == want
 
 
+def test_every_copy_of_a_passage(spark):
+    fresh = [f"u{i}" for i in range(2000)]
+    copied = [f"p{i}" for i in range(60)]
+    rows = [(1, fresh[:100] + copied), (2, fresh[200:250] + copied + fresh[300:700] + copied + fresh[800:900] + copied)]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    got = compact_windows.repeated_passages(df).collect()
+    assert {(r.id, r.start_word, r.end_word, r.rep_id, r.rep_start_word) for r in got} == {
+        (2, a, a + 60, 1, 100) for a in (50, 510, 670)}
+
+
+def test_near_passages_share_a_key():
+    rng, shared, tried = random.Random(9), 0, 1500
+    for _ in range(tried):
+        base = [f"v{rng.randrange(10**6)}" for _ in range(50)]
+        shared += bool(keys_of(" ".join(base)) & keys_of(" ".join(with_edits(base, rng.randrange(5, 45)))))
+    assert shared >= 0.985 * tried  # similarity 41/51
+
+
 def test_compact_windows_hold_every_subsequence():
     rng = np.random.default_rng(1)
     h = rng.integers(0, 30, 40).astype(np.uint64)
