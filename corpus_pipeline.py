@@ -4,7 +4,8 @@ Each stage works on all rows that the one before kept:
 language ID (documents without a recognised language go), line dedup (repeated lines go,
 and documents of which no line is left), n-gram Jaccard join (one document of each group
 stays), benchmark decontamination (documents that hold a benchmark passage go), and byte-pair
-encoding and decoding. All but the last return the columns of documents.
+encoding and decoding. All but the last return the columns of documents. Rows are separate
+documents, also where they share an id or have none: each stage decides for rows, not for ids.
 """
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tablescope.llm import bpe_automaton, decontamination, jaccard_join, language_id, line_dedup
 from tablescope.llm.queries import tokenizer_path
-from tablescope.llm.storage import ship, written
+from tablescope.llm.storage import keyed, ship, written
 
 LEAST_SHARE = 0.5
 
@@ -38,19 +39,22 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least id of each group; documents without words stay. Rows that repeat id and text are one."""
+    """The row of least id of each group, a null id only where all are null; documents without words stay."""
     ship(spark)
-    groups = jaccard_join.similar_components(docs)
-    stay = groups.where(F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("__id")).distinct()
-    return docs.join(stay, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi").dropDuplicates(["doc_id", "text"])
+    docs = keyed(docs, "__row")
+    groups = jaccard_join.similar_components(docs, "__row").select(F.col("id").alias("__row"), "component_id")
+    rank = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "__row")
+    stay = docs.select("doc_id", "__row").join(groups, "__row").groupBy("component_id").agg(F.min(rank).alias("first"))
+    return docs.join(stay.select("first.__row"), "__row", "left_semi").drop("__row")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark passage."""
     ship(spark)
-    hits = decontamination.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    bad = hits.where(F.size("starts") > 0).select(F.col("id").alias("__id")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti")
+    docs = keyed(docs, "__row")
+    hits = decontamination.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="__row")
+    bad = hits.where(F.size("starts") > 0).select(F.col("id").alias("__row"))
+    return docs.join(bad, "__row", "left_anti").drop("__row")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

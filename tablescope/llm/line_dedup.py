@@ -13,9 +13,9 @@ with odds above 0.9999.
 
 Defined cases: lines are separated by newlines and compared without white space at their
 ends. Blank lines are not compared and stay. A line shorter than a gram is one gram. A null
-text stays null. Rows that share an id count as one document: what is decided for a place holds
-in each of them. A null id comes first. Lines are identified by 64-bit hashes. Other
-columns of the table are kept as they are.
+text stays null. Every row is a document of its own, also where rows share an id or have none: rows of one
+id come in the order in which they are read. A null id comes first. Lines are identified by 64-bit hashes.
+Other columns of the table are kept as they are.
 """
 
 from hashlib import blake2b
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from tablescope.llm import hashing
 from tablescope.llm.pairs import link_buckets
-from tablescope.llm.storage import written
+from tablescope.llm.storage import keyed, written
 
 GRAM = 5
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
@@ -151,17 +151,19 @@ def _signed(texts: DataFrame, bands: int, rows_per_band: int) -> DataFrame:
 
 
 def _occurrences(texts: DataFrame) -> DataFrame:
-    """(id, place, node) of every line."""
+    """(id, row, place, node) of every line of (id, text, row)."""
 
     def rows(parts):
         for batch in parts:
             for part in hashing.sliced(batch, 1):
                 for owners, places, lines in _found(part):
                     keys = line_keys(lines)
-                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(owners)), pa.array(places, pa.int32()),
-                                                      pa.array(keys)], names=["id", "place", "node"])
+                    owners = pa.array(owners)
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(owners), part.column(2).take(owners),
+                                                      pa.array(places, pa.int32()), pa.array(keys)],
+                                                     names=["id", "row", "place", "node"])
 
-    return texts.mapInArrow(rows, "id long, place int, node long")
+    return texts.mapInArrow(rows, "id long, row long, place int, node long")
 
 
 def _line_texts(texts: DataFrame, nodes: DataFrame, bits: int = 1 << 20) -> DataFrame:
@@ -244,14 +246,14 @@ def line_components(texts: DataFrame, percent: int = 80, bands: int = 12, rows_p
 
 
 def repeated_places(texts: DataFrame, parts: DataFrame) -> DataFrame:
-    """(id, places): the lines of (id, text) that are not the first of their component."""
+    """(row, places): the lines of (id, text, row) that are not the first of their component."""
     seen = _occurrences(texts).join(parts, "node", "left") \
-        .select("id", "place", F.coalesce("component", "node").alias("component"))
+        .select("id", "row", "place", F.coalesce("component", "node").alias("component"))
     seen = written(seen, "occurrences")
-    first = seen.groupBy("component").agg(F.min(F.struct("id", "place")).alias("first"), F.count(F.lit(1)).alias("times")) \
-        .where("times > 1").select("component", F.col("first.id").alias("first_id"), F.col("first.place").alias("first_place"))
-    late = seen.join(first, "component").where(~(F.col("id").eqNullSafe(F.col("first_id")) & (F.col("place") == F.col("first_place"))))
-    return late.groupBy("id").agg(F.collect_set("place").alias("places"))
+    first = seen.groupBy("component").agg(F.min(F.struct("id", "row", "place")).alias("first"), F.count(F.lit(1)).alias("times")) \
+        .where("times > 1").select("component", F.col("first.row").alias("first_row"), F.col("first.place").alias("first_place"))
+    late = seen.join(first, "component").where("row <> first_row or place <> first_place")
+    return late.groupBy("row").agg(F.collect_set("place").alias("places"))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80,
@@ -260,9 +262,11 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Existing columns with the names of the two numbers are replaced.
     """
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    places = repeated_places(texts, line_components(texts, percent))
     kept = [c for c in docs.columns if c not in (lines_col, kept_col)]
+    rows = keyed(docs.select([F.col(f"`{c}`") for c in kept]), "__row")
+    texts = rows.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"),
+                        F.col("__row").alias("row"))
+    places = repeated_places(texts, line_components(texts.select("id", "text"), percent))
 
     @F.pandas_udf("text string, n int, kept int")
     def cut(text: pd.Series, drop: pd.Series) -> pd.DataFrame:
@@ -275,8 +279,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             out.append((new, n, n - len(gone)))
         return pd.DataFrame(out, columns=["text", "n", "kept"])
 
-    d, p = docs.select([F.col(f"`{c}`") for c in kept]).alias("d"), places.alias("p")
-    done = d.join(p, F.col(f"d.`{id_col}`").cast("long").eqNullSafe(F.col("p.id")), "left") \
+    d, p = rows.alias("d"), places.alias("p")
+    done = d.join(p, F.col("d.__row") == F.col("p.row"), "left") \
         .withColumn("__cut", cut(F.col(f"d.`{text_col}`").cast("string"), F.col("p.places")))
     return done.select(*[F.col("__cut.text").alias(c) if c == text_col else F.col(f"d.`{c}`") for c in kept],
                        F.col("__cut.n").alias(lines_col), F.col("__cut.kept").alias(kept_col))

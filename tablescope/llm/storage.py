@@ -6,6 +6,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
 
@@ -28,6 +29,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def keyed(df: DataFrame, name: str) -> DataFrame:
+    """The frame, written with a number of its own for each row."""
+    return written(df.withColumn(name, F.monotonically_increasing_id()), "keyed-rows")
+
+
 def release(spark: SparkSession) -> None:
     """Delete every table that `written` made in this application; call it when the results are stored."""
     jvm = spark.sparkContext._jvm

@@ -415,3 +415,43 @@ def test_pipeline(spark, odd, real):
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, odd, FOLDER).count() <= 14
         assert stage(spark, odd.limit(0), FOLDER).count() == 0
+
+
+def test_stages_decide_for_rows(spark):
+    """Null and repeated ids over different texts, against plain Python."""
+    rng = random.Random(11)
+    some_id = lambda: rng.choice([None, None, 1, 2, 3, rng.randrange(4, 400)])
+    word = lambda: f"w{rng.randrange(10**9)}"
+    schema = "doc_id long, text string, tag long"
+
+    pool = [" ".join(word() for _ in range(6)) for _ in range(150)]
+    docs = {t: (some_id(), [rng.choice(pool) for _ in range(2)] + [" ".join(word() for _ in range(6))]) for t in range(200)}
+    df = spark.createDataFrame([(i, "\n".join(x), t) for t, (i, x) in docs.items()], schema)
+    left = {r.tag: r.text.split("\n") for r in corpus_pipeline.drop_repeated_lines(spark, df, FOLDER).collect()}
+    assert Counter(x for lines in left.values() for x in lines) == Counter({x for _, lines in docs.values() for x in lines})
+    least = {}
+    for i, lines in docs.values():
+        for x in lines:
+            least[x] = min(least.get(x, 1000), -1 if i is None else i)
+    assert all(x in docs[t][1] and least[x] == (-1 if docs[t][0] is None else docs[t][0]) for t, y in left.items() for x in y)
+    numbers = {r.tag: r.n_kept for r in line_dedup.dedup_lines(df).collect()}
+    assert numbers == {t: len(left.get(t, [])) for t in docs}
+
+    item = max((r.text for r in spark.read.parquet(f"{FOLDER}/benchmark.parquet").collect()), key=len)
+    bad = {t for t in range(200) if rng.random() < 0.2}
+    df = spark.createDataFrame([(some_id(), " ".join(word() for _ in range(20)) + (" " + item if t in bad else ""), t)
+                                for t in range(200)], schema)
+    assert {r.tag for r in corpus_pipeline.drop_contaminated(spark, df, FOLDER).collect()} == set(range(200)) - bad
+
+    rows, groups = [], []
+    for _ in range(60):
+        base, ids = [word() for _ in range(120)], [some_id() for _ in range(rng.randrange(1, 5))]
+        groups.append({len(rows) + k: i for k, i in enumerate(ids)})
+        rows += [(i, " ".join(with_edits(base, 10 * k)), len(rows) + k) for k, i in enumerate(ids)]
+    blank = {len(rows) + k for k in range(6)}
+    rows += [(None, " " if t % 2 else None, t) for t in blank]
+    got = {r.tag for r in corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, schema), FOLDER).collect()}
+    assert blank <= got
+    for g in groups:
+        stay = [i for t, i in g.items() if t in got]
+        assert stay == [min((i for i in g.values() if i is not None), default=None)]
