@@ -122,10 +122,12 @@ def _redundant(df: DataFrame, target: str | None) -> DataFrame:
         "severity", F.when(F.col("correlation") >= REDUNDANT_HIGH, "HIGH").otherwise("MODERATE"))
 
 
-def redundant_pairs(df: DataFrame, target: str | None = None, k: int = 20) -> DataFrame:
-    """The `k` strongest feature pairs at or above 0.85 (compared after rounding)."""
-    return (_redundant(df, target).orderBy(F.col("correlation").desc(), "i", "j").limit(k)
-            .select("feature_1", "feature_2", "correlation", "severity"))
+def redundant_pairs(df: DataFrame, target: str | None = None, k: int | None = 20) -> DataFrame:
+    """The `k` strongest feature pairs, all for None, at or above 0.85 (compared after rounding)."""
+    pairs = _redundant(df, target)
+    if k is not None:
+        pairs = pairs.orderBy(F.col("correlation").desc(), "i", "j").limit(k)
+    return pairs.select("feature_1", "feature_2", "correlation", "severity")
 
 
 def drop_suggestions(df: DataFrame, target: str | None = None) -> DataFrame:

@@ -56,14 +56,13 @@ def findings(df: DataFrame, target: str, order_by: Sequence[str] | None = None,
                                 ["n_missing", "pct"], severity=F.col("severity")),
         "pattern": lambda: long(missingness.missing_pattern(df), "pattern", table,
                                 ["total_missing_pct"], ["pattern"]),
-        "redundancy": lambda: long(association.redundant_pairs(df, target, 10), "redundancy",
+        "redundancy": lambda: long(association.redundant_pairs(df, target, None), "redundancy",
                                    F.concat_ws(" / ", "feature_1", "feature_2"), ["correlation"],
                                    severity=F.col("severity")),
         "leakage": lambda: long(association.leakage_by_correlation(df, target), "leakage",
                                 F.col("feature"), ["abs_corr"], severity=F.col("level")),
         "leakage_probability": lambda: long(
-            association.leakage_probability(df, target).orderBy(F.col("leakage_prob").desc(), "feature")
-            .limit(12), "leakage_probability", F.col("feature"),
+            association.leakage_probability(df, target), "leakage_probability", F.col("feature"),
             ["mi_score", "correlation", "leakage_prob"], severity=F.col("risk_level")),
         "types": lambda: long(inference.infer_types(df), "types", F.col("column"), [],
                               ["inferred", "recommendation"],

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tablescope.functions import stats
 from tablescope.operators import (adequacy, association, charts, cleaning, distribution, drift, features,
                                   inference, missingness, modeling, outliers, profile, scoring)
+from tablescope.plans import audit
 from tablescope.sources import tables
 
 RNG = np.random.default_rng(3)
@@ -288,3 +289,12 @@ def test_write_and_read_back(spark, tmp_path):
     df = spark.createDataFrame([(1, "a,b"), (2, None)], "x int, s string")
     path = tables.write_cleaned(df, str(tmp_path / "out"))
     assert sorted(map(tuple, tables.read_table(spark, path, "csv").collect())) == [(1, "a,b"), (2, None)]
+
+
+def test_findings_of_wide_tables(spark):
+    names = [f"c{k}" for k in range(14)]
+    df = spark.range(60).select(F.col("id").cast("double").alias("y"), *[
+        (F.col("id") + F.pmod(F.xxhash64("id", F.lit(k)), F.lit(5))).cast("double").alias(c) for k, c in enumerate(names)])
+    rows = audit.findings(df, "y", sections=["redundancy", "leakage_probability"]).collect()
+    assert sum(r.section == "redundancy" for r in rows) == 14 * 13 // 2
+    assert {r.subject for r in rows if r.section == "leakage_probability"} == set(names)
