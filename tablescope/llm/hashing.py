@@ -154,3 +154,19 @@ def raw_texts(column) -> list[bytes | None]:
     """The values of an Arrow string column as bytes."""
     import pyarrow as pa
     return column.cast(pa.binary() if pa.types.is_string(column.type) else pa.large_binary()).to_pylist()
+
+
+def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of every span of a buffer of at most a few megabytes."""
+    up, down = _powers(len(buf))
+    total = np.zeros(len(buf) + 1, np.uint64)
+    np.cumsum(_BYTE[buf] * up, out=total[1:])
+    return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+
+
+def run_hashes(words: np.ndarray, at: np.ndarray, size: int, salt: np.ndarray) -> np.ndarray:
+    """Hashes of the runs of exactly `size` words that start at `at`, salted run by run."""
+    h = salt + np.uint64(size)
+    for k in range(size):
+        h = h * np.uint64(_BASE) + words[at + k]
+    return mix(h)

@@ -3,8 +3,8 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablescope.llm import (bpe_automaton, class_lm, compact_windows, decontamination, html_blocks, jaccard_join,
-                            language_id, line_dedup, toxicity, vp_trees)
+from tablescope.llm import (bpe_automaton, class_lm, collocations, compact_windows, decontamination, html_blocks,
+                            jaccard_join, language_id, license_rules, licenses, line_dedup, resampling, toxicity, vp_trees)
 from tablescope.llm.storage import ship
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -86,6 +86,27 @@ def op10_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
         .withColumnRenamed("id", "doc_id").withColumnRenamed("rep_id", "rep_doc_id")
 
 
+def op11_license_scans(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.scan(_table(spark, folder, "documents").select("doc_id", "text")).select(
+        "doc_id", *[f"licenses.{c}" for c in ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")])
+
+
+def op12_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.mine(_table(spark, folder, "documents")).withColumnRenamed("grp", "lang")
+
+
+def op13_importance_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    return resampling.resample(_table(spark, folder, "documents"), _table(spark, folder, "benchmark")) \
+        .withColumnRenamed("id", "doc_id")
+
+
+def _rule_rows() -> str:
+    """The license rules as rows of a SQL VALUES list."""
+    text = lambda s: "'" + s.replace("'", "''") + "'"
+    return ", ".join(f"({i}, {text(r.keyword)}, {text(license_rules.pattern(r.words))}, {text(r.label)}, {r.priority}, {r.confidence}, {r.base})"
+                     for i, r in enumerate(license_rules.rules()))
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline
     return corpus_pipeline.run(spark, folder)
@@ -93,7 +114,8 @@ def pipeline(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_language_id, op2_decontamination, op3_ngram_jaccard_join, op4_bpe, op5_html_extraction, op6_nearest_neighbours,
-    op7_class_lm, op8_toxicity, op9_line_dedup, op10_substring_dedup, pipeline)}
+    op7_class_lm, op8_toxicity, op9_line_dedup, op10_substring_dedup,
+    op11_license_scans, op12_collocations, op13_importance_resampling, pipeline)}
 
 ORACLE = {
     "op2_decontamination": rf"""
@@ -132,4 +154,68 @@ p as (select q.vec_id as query_id, c.vec_id as vec_id, list_inner_product(q.v, c
       from v q join v c on q.vec_id <> c.vec_id and len(q.v) = len(c.v) where q.vec_id % 20 = 0),
 r as (select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank from p)
 select query_id, rank, vec_id, score from r where rank <= 20""",
+    "op11_license_scans": rf"""
+with d as (select row_number() over () as rid, doc_id,
+       regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+t as (select rid, ' ' || array_to_string(w, ' ') || ' ' as plain,
+             array_to_string([' ' || w[i] || '#' || (i - 1) || ' ' for i in range(1, len(w) + 1)], '') as words from d),
+rule(ord, keyword, pattern, label, priority, confidence, base) as (values {_rule_rows()}),
+m as (select rid, ord, label, priority, confidence, base, unnest(regexp_extract_all(words, pattern)) as s
+      from t join rule on contains(plain, keyword)),
+h as (select rid, ord, label, priority, confidence, base, cast(regexp_extract(s, '#([0-9]+)', 1) as bigint) as a,
+             cast(regexp_extract(s, '#([0-9]+) $', 1) as bigint) as b from m),
+told as (select * from h x where base or not exists (select 1 from h y where y.rid = x.rid and y.a <= x.a and y.b >= x.b
+           and (y.priority < x.priority or y.priority = x.priority and (y.b - y.a > x.b - x.a or y.ord < x.ord)))),
+doc as (select rid, count(*) filter (base) as n_base, min(a) filter (base) as first_word, max(a) filter (base) as last_word,
+               string_agg(distinct label, ',' order by label) filter (base) as base_labels,
+               string_agg(distinct label, ',' order by label) as labels, max(confidence) as score from told group by rid)
+select doc_id, cast(len(w) as bigint) as n_words, coalesce(n_base, 0) as n_base, first_word, last_word,
+       coalesce(base_labels, '') as base_labels, coalesce(labels, '') as labels, cast(coalesce(score, 0) as double) as score
+from d left join doc using (rid)""",
+    "op12_collocations": rf"""
+with p as (select coalesce(lang, 'und') as lang,
+                  unnest(string_split_regex(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[.,;:!?\x0A-\x0D]')) as piece
+           from documents),
+w as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as w from p),
+n as (select lang, cast(sum(len(w)) as bigint) as n from w group by lang),
+g as (select lang, k, array_to_string(w[i:i + k - 1], ' ') as phrase
+      from (select lang, w, k, unnest(range(1, len(w) - k + 2)) as i from w join (values (1), (2), (3), (4), (5)) s(k) on len(w) >= k)),
+f as (select lang, k, phrase, count(*) as a from g group by all having count(*) >= 100),
+c as (select lang, f.k as size, phrase, a, unnest(range(1, f.k)) as k from f where f.k > 1),
+cut as (select c.*, array_to_string(string_split(phrase, ' ')[:k], ' ') as head, array_to_string(string_split(phrase, ' ')[k + 1:], ' ') as tail
+        from c),
+s as (select cut.lang, cut.phrase, cut.a, cut.k, x.a as l, y.a as r, n.n, cast((1000::hugeint * cut.a * n.n) // (x.a::hugeint * y.a) as bigint) as score
+      from cut join f x on x.lang = cut.lang and x.phrase = head join f y on y.lang = cut.lang and y.phrase = tail
+      join n on n.lang = cut.lang),
+best as (select * from s qualify row_number() over (partition by lang, phrase order by score, k) = 1),
+kept as (select * from best b where not exists (select 1 from f where f.lang = b.lang and len(f.phrase) > len(b.phrase) and f.a >= b.a
+           and contains(' ' || f.phrase || ' ', ' ' || b.phrase || ' ')))
+select lang, row_number() over (partition by lang order by score desc, a desc, phrase) as rank, phrase, a, l, r, n, score
+from kept qualify rank <= 2000""",
+    "op13_importance_resampling": rf"""
+with recursive step(i, b, c) as (select 0, range, range from range(256) union all
+       select i + 1, b, case when c % 2 = 1 then xor(c >> 1, 3988292384) else c >> 1 end from step where i < 8),
+crc as (select list(c order by b) as t from step where i = 8),
+d as (select row_number() over () as rid, doc_id,
+       regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+b as (select regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark),
+df as (select rid, unnest(w || [w[i] || ' ' || w[i + 1] for i in range(1, len(w))]) as f from d),
+bf as (select unnest(w || [w[i] || ' ' || w[i + 1] for i in range(1, len(w))]) as f from b),
+x as (select f, hex(encode(f)) as h from (select f from df union select f from bf)),
+y as (select f, [4294967295::bigint] || [(instr('0123456789ABCDEF', h[2 * i - 1]) - 1) * 16 + instr('0123456789ABCDEF', h[2 * i]) - 1
+             for i in range(1, len(h) // 2 + 1)] as bytes from x),
+bucket as (select f, xor(list_reduce(bytes, lambda s, v: xor(s >> 8, t[(xor(s, v) & 255) + 1])), 4294967295) % 10000 as k from y, crc),
+s as (select k, count(*) as s from df join bucket using (f) group by k),
+t as (select k, count(*) as t from bf join bucket using (f) group by k),
+g as (select k, cast(floor(1000 * ln((coalesce(t, 0) + 1)::double * ((select count(*) from df) + 10000)
+             / ((coalesce(s, 0) + 1)::double * ((select count(*) from bf) + 10000)))) as bigint) as gain
+      from range(10000) r(k) left join s using (k) left join t using (k)),
+n as (select rid, count(*) as n_features, cast(floor(sum(gain) / count(*)) as bigint) as weight
+      from df join bucket using (f) join g using (k) group by rid),
+e as (select doc_id, len(w) >= 20 as able, coalesce(n_features, 0) as n_features, coalesce(weight, 0) as weight,
+             ('0x' || sha256('7:' || coalesce(cast(doc_id as varchar), ''))[:8])::bigint as h from d left join n using (rid)),
+z as (select *, weight + cast(floor(-1000 * ln(-ln((h + 0.5) / 4294967296))) as bigint) as score from e),
+r as (select *, case when able then row_number() over (partition by able order by score desc, doc_id, n_features) end as place from z)
+select doc_id, n_features, weight, score,
+       case when place <= (select 25 * count(*) // 100 from z where able) then place end as rank from r""",
 }
