@@ -11,21 +11,15 @@ def rounded(c: Column, digits: int) -> Column:
     return F.round(c, digits) + F.lit(0.0)
 
 
-def guarded_corr(a: Column, b: Column) -> Column:
-    """Pearson correlation over rows where both sides exist; NULL when a side is constant."""
-    both = a.isNotNull() & b.isNotNull()
-    spread = F.stddev_pop(F.when(both, a)) * F.stddev_pop(F.when(both, b))
-    return F.covar_pop(a, b) / F.nullif(spread, F.lit(0.0))
-
-
 def corr_parts(a: Column, b: Column) -> dict[str, Column]:
-    """The aggregates behind `guarded_corr`, for `corr_of_parts` on the aggregated rows."""
+    """The aggregates behind a correlation over rows where both sides exist, for `corr_of_parts` on the aggregated rows."""
     both = a.isNotNull() & b.isNotNull()
     return {"_cov": F.covar_pop(a, b), "_sa": F.stddev_pop(F.when(both, a)),
             "_sb": F.stddev_pop(F.when(both, b))}
 
 
 def corr_of_parts() -> Column:
+    """NULL when a side is constant."""
     return F.expr("_cov / nullif(_sa * _sb, 0.0D)")
 
 

@@ -12,6 +12,7 @@ from tablescope.functions.schema import is_numeric, num, numeric_columns
 from tablescope.functions.stats import (EPS, corr_of_parts, corr_parts, correlation_label, label, rounded,
                                         vif_label)
 from tablescope.functions.wide import long_form, per_column
+from tablescope.operators.comoments import comoments, correlation_of
 from tablescope.operators.quantiles import quantiles
 from tablescope.sources.sampling import deterministic_sample
 
@@ -20,45 +21,23 @@ REDUNDANT, REDUNDANT_HIGH = 0.85, 0.95
 LEAK_WARNING, LEAK_CANDIDATE = 0.85, 0.95
 LEAK_BANDS = ((0.85, "CRITICAL"), (0.70, "HIGH"), (0.50, "MODERATE"), (0.30, "LOW"))
 
-_PAIRS_PER_AGG = 12
-_WIDE_TABLE = 10
-
-
 def correlation_pairs(df: DataFrame, names: Sequence[str], listwise: bool = True) -> DataFrame:
     """`(i, j, feature_1, feature_2, corr)` for i <= j, unrounded.
 
     `listwise` uses only rows complete over all `names` (all-missing columns set
-    aside); otherwise each pair uses its own complete rows. One small job looks for gaps.
+    aside, which one small job finds); otherwise each pair uses its own complete rows. One pass
+    for all pairs. A table without rows has no pairs.
     """
     if listwise:
         df, names, _ = _complete_rows(df, names)
-    if len(names) > _WIDE_TABLE:
-        return _gram_correlation(df, names)
-    gaps: set[str] = set()
-    if not listwise and names:
-        has_gaps = df.agg(*[F.coalesce(F.max(num(c).isNull()), F.lit(False)).alias(f"g{i}")
-                            for i, c in enumerate(names)]).first()
-        gaps = {c for c, g in zip(names, has_gaps) if g}
-    pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
-
-    def corr(a: str, b: str) -> dict[str, Column]:
-        if a in gaps or b in gaps:
-            return corr_parts(num(a), num(b))
-        a, b = num(a), num(b)                               # complete, so each spread is shared
-        return {"_cov": F.covar_pop(a, b), "_sa": F.stddev_pop(a), "_sb": F.stddev_pop(b)}
-    parts = []
-    for at in range(0, len(pairs), _PAIRS_PER_AGG):
-        rows = [F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"),
-                         *[e.alias(k) for k, e in corr(names[i], names[j]).items()])
-                for i, j in pairs[at:at + _PAIRS_PER_AGG]]
-        parts.append(df.agg(F.array(*rows).alias("_rows")).select(F.inline_outer("_rows")))
-    if not parts:
+    if not names:
         return df.sparkSession.createDataFrame(
             [], "i int, j int, feature_1 string, feature_2 string, corr double")
     all_names = F.array(*[F.lit(c) for c in names])
-    return reduce(DataFrame.unionByName, parts).select(
-        "i", "j", F.element_at(all_names, F.col("i") + 1).alias("feature_1"),
-        F.element_at(all_names, F.col("j") + 1).alias("feature_2"), corr_of_parts().alias("corr"))
+    pairs = comoments(df, {c: num(c) for c in names}, [names])
+    return pairs.select(F.explode("pairs").alias("p")).select(
+        "p.i", "p.j", F.element_at(all_names, F.col("p.i") + 1).alias("feature_1"),
+        F.element_at(all_names, F.col("p.j") + 1).alias("feature_2"), correlation_of(F.col("p")).alias("corr"))
 
 
 def _complete_rows(df: DataFrame, names: Sequence[str]) -> tuple[DataFrame, list[str], list[str]]:
@@ -71,40 +50,6 @@ def _complete_rows(df: DataFrame, names: Sequence[str]) -> tuple[DataFrame, list
     return rows.dropna(), full, [c for c in names if c not in full]
 
 
-def _gram_correlation(df: DataFrame, names: Sequence[str]) -> DataFrame:
-    """Pairwise-complete correlations of a wide table from one distributed Gram matrix.
-
-    With present flags m, values x (0 where absent) and squares q, the products
-    m'm, x'm, q'm and x'x hold the count, sums and cross sums of every pair. Values
-    are first shifted by the mean, so the sums stay small. One pass, and
-    (3 * features) squared numbers on the driver.
-    """
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.mllib.linalg.distributed import RowMatrix
-    from pyspark.mllib.util import MLUtils
-    p = len(names)
-    means = df.agg(*[F.avg(num(c)).alias(f"a{i}") for i, c in enumerate(names)]).first()
-    wide = df.select(*[(num(c) - F.lit(means[i] or 0.0)).alias(f"v{i}") for i, c in enumerate(names)])
-    cols = [F.col(f"v{i}").isNotNull().cast("double").alias(f"m{i}") for i in range(p)]
-    cols += [F.coalesce(f"v{i}", F.lit(0.0)).alias(f"x{i}") for i in range(p)]
-    cols += [F.coalesce(F.col(f"v{i}") * F.col(f"v{i}"), F.lit(0.0)).alias(f"q{i}") for i in range(p)]
-    inputs = [f"{k}{i}" for k in "mxq" for i in range(p)]
-    rows = VectorAssembler(inputCols=inputs, outputCol="z").transform(wide.select(cols)).select("z")
-    rows = MLUtils.convertVectorColumnsFromML(rows, "z")
-    g = RowMatrix(rows, numCols=3 * p).computeGramianMatrix().toArray()
-    n, sx, sq, sxx = (g[:p, :p], g[p:2 * p, :p], g[2 * p:, :p], g[p:2 * p, p:2 * p])
-    with np.errstate(divide="ignore", invalid="ignore"):
-        cov = sxx / n - (sx / n) * (sx.T / n)
-        var = sq / n - (sx / n) ** 2                        # of the row feature, where the other exists
-        tiny = 1e-13 * np.abs(sq / n)                       # a constant column, up to rounding
-        spread = np.where((var <= tiny) | (var.T <= tiny.T), np.nan, np.sqrt(var * var.T))
-        corr = cov / spread
-    found = [(i, j, names[i], names[j], None if np.isnan(corr[i, j]) else float(corr[i, j]))
-             for i in range(p) for j in range(i, p)]
-    return df.sparkSession.createDataFrame(
-        found, "i int, j int, feature_1 string, feature_2 string, corr double")
-
-
 def correlation_matrix(df: DataFrame, target: str | None = None, listwise: bool = True) -> DataFrame:
     """All ordered feature pairs with their correlation, rounded to 4 digits."""
     pairs = correlation_pairs(df, numeric_columns(df, target), listwise)
@@ -266,7 +211,8 @@ def leakage_probability(df: DataFrame, target: str, bins: int = 10) -> DataFrame
     mi = _normalised(_mutual_information(df, target, bins))
     corr = per_column(df, numeric_columns(df, target), lambda c: corr_parts(num(c), num(target)))
     corr = corr.withColumn("_c", F.coalesce(F.abs(corr_of_parts()), F.lit(0.0)))
-    both = mi.join(corr, "feature").withColumn(             # one row per feature on both sides
+    both = corr.join(mi, "feature", "left").withColumn(     # one row per feature on both sides
+        "mi", F.coalesce("mi", F.lit(0.0))).withColumn("mi_norm", F.coalesce("mi_norm", F.lit(0.0))).withColumn(
         "leakage_prob", rounded(0.5 * F.col("mi_norm") + 0.5 * F.col("_c"), 4))
     return both.select("feature", rounded(F.col("mi"), 5).alias("mi_score"),
                        rounded(F.col("mi_norm"), 4).alias("mi_normalized"),

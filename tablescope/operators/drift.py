@@ -3,13 +3,14 @@
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablescope.functions.schema import is_numeric, num, numeric_columns
 from tablescope.functions.stats import (ks_p_value, ks_severity, label, relative_shift_pct, rounded)
-from tablescope.functions.wide import per_column
-from tablescope.operators.ordering import SMALL_ROWS, split_at_fraction, with_buckets
+from tablescope.operators.comoments import comoments
+from tablescope.operators.ks import ks_statistic
+from tablescope.operators.ordering import SMALL_ROWS, split_at_fraction
 from tablescope.operators.profile import duplicate_rows, missing_counts
 
 # The published limits of the audit.
@@ -23,56 +24,22 @@ MISSING_POINTS = 1
 SHIFTED_SHARE = 0.3
 
 
-def ks_statistic(df: DataFrame, names: Sequence[str], second: Column,
-                 rows_per_bucket: int = SMALL_ROWS) -> DataFrame:
-    """`(feature, n_first, n_second, ks)`: largest gap of the two cumulative distributions.
-
-    Exact over all values. Equal values are counted together before the shuffle;
-    the running counts are taken inside value ranges of bounded size, whose offsets
-    come from one short row per feature and range.
-    """
-    wide = df.select(second.alias("_second"), *[num(c).alias(f"v{i}") for i, c in enumerate(names)])
-    cols = [f"v{i}" for i in range(len(names))]
-    wide = with_buckets(wide, cols, df.count(), rows_per_bucket)
-    items = [F.struct(F.lit(i).alias("i"), F.col(v).alias("v"), F.col(f"{v}__bucket").alias("b"))
-             for i, v in enumerate(cols)]
-    long = wide.select("_second", F.inline(F.array(*items))).filter("v is not null")
-    first, later = F.count_if(~F.col("_second")), F.count_if(F.col("_second"))
-    counted = long.groupBy("i", "b", "v").agg(first.alias("n1"), later.alias("n2"))
-    whole, upto = Window.partitionBy("i"), Window.partitionBy("i").orderBy("b")
-    # At most one row per feature and bucket, so the broadcast stays within
-    # len(names) * MAX_BUCKETS short rows whatever the size of the table. They are
-    # counted from the rows, which shuffles a few numbers per task and no values.
-    offsets = (long.groupBy("i", "b").agg(first.alias("s1"), later.alias("s2"))
-               .select("i", "b", F.sum("s1").over(whole).alias("n_first"),
-                       F.sum("s2").over(whole).alias("n_second"),
-                       (F.sum("s1").over(upto) - F.col("s1")).alias("o1"),
-                       (F.sum("s2").over(upto) - F.col("s2")).alias("o2")))
-    running = Window.partitionBy("i", "b").orderBy("v")
-    steps = (counted.select("i", "b", F.sum("n1").over(running).alias("c1"),
-                            F.sum("n2").over(running).alias("c2"))
-             .join(F.broadcast(offsets), ["i", "b"]))
-    gap = F.abs((F.col("c1") + F.col("o1")) / F.nullif("n_first", F.lit(0).cast("bigint"))
-                - (F.col("c2") + F.col("o2")) / F.nullif("n_second", F.lit(0).cast("bigint")))
-    ks = steps.groupBy("i").agg(F.max("n_first").alias("n_first"),
-                                F.max("n_second").alias("n_second"), F.max(gap).alias("ks"))
-    names_of = F.array(*[F.lit(c) for c in names])
-    return ks.select(F.col("i").alias("ordinal"), F.element_at(names_of, F.col("i") + 1).alias("feature"),
-                     "n_first", "n_second", "ks")
-
-
 def _moments(df: DataFrame, names: Sequence[str], second: Column) -> DataFrame:
-    def build(c: str) -> dict[str, Column]:
-        a, b = F.when(~second, num(c)), F.when(second, num(c))
-        return {"mean1": F.avg(a), "mean2": F.avg(b), "std1": F.stddev(a), "std2": F.stddev(b)}
-    return per_column(df, names, build).drop("ordinal")
-
-
-def _compared(df: DataFrame, names: Sequence[str], second: Column, at_least: int,
-              rows_per_bucket: int) -> DataFrame:
+    """`(ordinal, mean1, mean2, std1, std2)` of both sides, in one pass."""
+    sides = df.select(second.alias("_second"), *[num(c).alias(f"v{i}") for i, c in enumerate(names)])
+    values = [f"v{i}" for i in range(len(names))]
+    rows = comoments(sides, {v: F.col(v) for v in values}, [], values, ["_second"]).select("_second", F.posexplode("singles"))
+    spread = F.when(F.col("col.n") > 1, F.sqrt(F.col("col.m2") / (F.col("col.n") - 1)))
+    mean = F.when(F.col("col.n") > 0, F.col("col.mean"))
+    side = [~F.col("_second"), F.col("_second")]
+    return rows.groupBy(F.col("pos").alias("ordinal")).agg(
+        *[F.max(F.when(s, mean)).alias(f"mean{k}") for k, s in enumerate(side, 1)],
+        *[F.max(F.when(s, spread)).alias(f"std{k}") for k, s in enumerate(side, 1)])
+
+
+def _compared(df: DataFrame, names: Sequence[str], second: Column, at_least: int) -> DataFrame:
     """Unrounded comparison per feature that has enough values on both sides."""
-    ks = ks_statistic(df, names, second, rows_per_bucket)
-    both = ks.join(_moments(df, names, second), "feature")  # one row per feature on both sides
+    both = ks_statistic(df, names, second).join(_moments(df, names, second), "ordinal")  # one row per feature on both sides
     both = both.filter((F.col("n_first") >= at_least) & (F.col("n_second") >= at_least))
     return both.withColumn("p", ks_p_value(F.col("ks"), F.col("n_first"), F.col("n_second")))
 
@@ -88,19 +55,17 @@ _DRIFT = ("feature string, ks_stat double, p_value double, drifted boolean, seve
 
 
 def drift_report(df: DataFrame, target: str | None, order_by: Sequence[str],
-                 max_columns: int | None = None,
-                 rows_per_bucket: int = SMALL_ROWS) -> DataFrame:
+                 max_columns: int | None = None) -> DataFrame:
     """First against second half by key order, per numeric feature. Runs jobs to find the cut."""
     names = numeric_columns(df, target)[:max_columns]
     if not names or len(df.select(F.lit(1)).take(MIN_ROWS)) < MIN_ROWS:
         return df.sparkSession.createDataFrame([], _DRIFT)
-    return halves_report(split_halves(df, order_by, rows_per_bucket), names, rows_per_bucket)
+    return halves_report(split_halves(df, order_by), names)
 
 
-def halves_report(halves: DataFrame, names: Sequence[str],
-                  rows_per_bucket: int = SMALL_ROWS) -> DataFrame:
+def halves_report(halves: DataFrame, names: Sequence[str]) -> DataFrame:
     """The drift of the named features between the halves of a frame from `split_halves`."""
-    both = _compared(halves, names, F.col("half") == 2, MIN_PER_HALF, rows_per_bucket)
+    both = _compared(halves, names, F.col("half") == 2, MIN_PER_HALF)
     return both.select(
         "feature", rounded(F.col("ks"), 4).alias("ks_stat"), rounded(F.col("p"), 4).alias("p_value"),
         (F.col("p") < P_DRIFT).alias("drifted"), ks_severity(F.col("ks")).alias("severity"),
@@ -126,14 +91,13 @@ def drift_summary(df: DataFrame, target: str | None, order_by: Sequence[str],
             .withColumn("top_drifted", F.array_join(F.col("_top.f"), ",")).drop("_top"))
 
 
-def target_drift(df: DataFrame, target: str, order_by: Sequence[str],
-                 rows_per_bucket: int = SMALL_ROWS) -> DataFrame:
+def target_drift(df: DataFrame, target: str, order_by: Sequence[str]) -> DataFrame:
     """Halves compared on a numeric target with more than 5 values in each."""
     if not is_numeric(df, target):
         return df.sparkSession.createDataFrame(
             [], "ks_stat double, p_value double, drifted boolean, mean_first double, mean_second double")
-    halves = split_halves(df, order_by, rows_per_bucket)
-    both = _compared(halves, [target], F.col("half") == 2, MIN_TARGET_PER_HALF + 1, rows_per_bucket)
+    halves = split_halves(df, order_by)
+    both = _compared(halves, [target], F.col("half") == 2, MIN_TARGET_PER_HALF + 1)
     return both.select(rounded(F.col("ks"), 4).alias("ks_stat"), rounded(F.col("p"), 4).alias("p_value"),
                        (F.col("p") < P_DRIFT).alias("drifted"),
                        rounded(F.col("mean1"), 4).alias("mean_first"),
@@ -202,11 +166,10 @@ _SHIFT = ("column string, ks_stat double, p_value double, shifted boolean, mean_
           "mean_new double, mean_shift double, severity string")
 
 
-def _shift(old: DataFrame, new: DataFrame, names: Sequence[str], at_least: int,
-           rows_per_bucket: int) -> DataFrame:
+def _shift(old: DataFrame, new: DataFrame, names: Sequence[str], at_least: int) -> DataFrame:
     if not names:
         return old.sparkSession.createDataFrame([], _SHIFT)
-    both = _compared(_versions(old, new, names), names, F.col("_new"), at_least, rows_per_bucket)
+    both = _compared(_versions(old, new, names), names, F.col("_new"), at_least)
     return both.select(
         F.col("feature").alias("column"), rounded(F.col("ks"), 4).alias("ks_stat"),
         rounded(F.col("p"), 4).alias("p_value"), (F.col("p") < P_DRIFT).alias("shifted"),
@@ -215,16 +178,14 @@ def _shift(old: DataFrame, new: DataFrame, names: Sequence[str], at_least: int,
         ks_severity(F.col("ks")).alias("severity"))
 
 
-def distribution_shift(old: DataFrame, new: DataFrame, max_columns: int | None = None,
-                       rows_per_bucket: int = SMALL_ROWS) -> DataFrame:
+def distribution_shift(old: DataFrame, new: DataFrame, max_columns: int | None = None) -> DataFrame:
     """Common numeric columns of two versions compared, in the order of the old schema."""
-    return _shift(old, new, common_numeric(old, new)[:max_columns], MIN_PER_VERSION, rows_per_bucket)
+    return _shift(old, new, common_numeric(old, new)[:max_columns], MIN_PER_VERSION)
 
 
-def target_shift(old: DataFrame, new: DataFrame, target: str,
-                 rows_per_bucket: int = SMALL_ROWS) -> DataFrame:
+def target_shift(old: DataFrame, new: DataFrame, target: str) -> DataFrame:
     names = [target] if target in common_numeric(old, new) else []
-    return _shift(old, new, names, 1, rows_per_bucket).drop("mean_shift")
+    return _shift(old, new, names, 1).drop("mean_shift")
 
 
 def comparison_verdict(old: DataFrame, new: DataFrame, target: str) -> DataFrame:

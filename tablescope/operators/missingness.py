@@ -1,12 +1,11 @@
 """How much is missing, where, and whether other columns explain it."""
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablescope.functions.schema import missing, num, numeric_columns
-from tablescope.functions.stats import corr_of_parts, corr_parts, label, rounded
+from tablescope.functions.stats import label, rounded
+from tablescope.operators.comoments import comoments, correlation_of
 from tablescope.operators.profile import first_per, missing_counts
 
 # The published limits of the audit.
@@ -27,24 +26,22 @@ def missing_severity(df: DataFrame) -> DataFrame:
 def mar_signals(df: DataFrame, max_columns: int | None = None) -> DataFrame:
     """First numeric column (schema order) that goes along with the gaps of a column.
 
-    Looks at all incomplete columns, or the first `max_columns`; finding them is one small job.
+    Looks at all incomplete columns, or the first `max_columns`; finding them is one small job. All pairs
+    come from one more pass.
     """
     incomplete = [r.column for r in missing_counts(df).filter("n_missing > 0")
                   .orderBy("ordinal").collect()][:max_columns]
-    parts = []
-    for m in incomplete:
-        flag = missing(df, m).cast("double")
-        others = [c for c in numeric_columns(df) if c != m]
-        for at in range(0, len(others), 8):
-            rows = [F.struct(F.lit(at + i).alias("ordinal"), F.lit(m).alias("column"),
-                             F.lit(c).alias("related_to"),
-                             *[e.alias(k) for k, e in corr_parts(flag, num(c)).items()])
-                    for i, c in enumerate(others[at:at + 8])]
-            parts.append(df.agg(F.array(*rows).alias("_rows")).select(F.inline_outer("_rows")))
-    if not parts:
+    numeric = numeric_columns(df)
+    if not incomplete or not numeric:
         return df.sparkSession.createDataFrame([], "column string, related_to string, corr double")
-    hits = (reduce(DataFrame.unionByName, parts).withColumn("corr", corr_of_parts())
-            .filter(F.abs("corr") > SIGNAL_CORR))
+    # flags first: the pair (flag i, number j) has i < j
+    columns = {f"gap {c}": missing(df, c).cast("double") for c in incomplete} | {f"num {c}": num(c) for c in numeric}
+    names = F.array(*[F.lit(c) for c in [*incomplete, *numeric]])
+    pairs = comoments(df, columns, [list(columns)]).select(F.explode("pairs").alias("p")).filter(
+        (F.col("p.i") < len(incomplete)) & (F.col("p.j") >= len(incomplete)))
+    hits = pairs.select(F.element_at(names, F.col("p.i") + 1).alias("column"), F.element_at(names, F.col("p.j") + 1).alias("related_to"),
+                        F.col("p.j").alias("ordinal"), correlation_of(F.col("p")).alias("corr")) \
+        .filter((F.abs("corr") > SIGNAL_CORR) & (F.col("column") != F.col("related_to")))
     return first_per(hits, "column", [F.col("ordinal")]).select(
         "column", "related_to", rounded(F.abs("corr"), 2).alias("corr"))
 

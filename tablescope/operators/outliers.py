@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tablescope.functions.schema import num, numeric_columns, quoted
 from tablescope.functions.stats import relative_shift_pct, rounded
 from tablescope.functions.wide import per_column
+from tablescope.operators.comoments import matrix
 from tablescope.operators.profile import iqr_outliers
 from tablescope.operators.quantiles import quantiles
 
@@ -38,20 +39,14 @@ def median_filled(df: DataFrame, names: Sequence[str], keep: Sequence[str] = ())
 
 
 def _location_scatter(df: DataFrame, keep: Column | None = None) -> tuple[np.ndarray, np.ndarray, int]:
-    """Mean vector, sample covariance and number of the kept rows, in one pass."""
+    """Mean vector, sample covariance and number of the kept rows, in one pass whatever the number of features."""
     names = df.columns
-    rows = df if keep is None else df.filter(keep)
-    pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
-    found: dict = {}
-    for at in range(0, len(pairs), 20):
-        aggs = [F.covar_samp(names[i], names[j]).alias(f"s{i}_{j}") for i, j in pairs[at:at + 20]]
-        if at == 0:
-            aggs += [F.avg(c).alias(f"m{i}") for i, c in enumerate(names)] + [F.count(F.lit(1)).alias("n")]
-        found.update(rows.agg(*aggs).first().asDict())
-    cov = np.zeros((len(names), len(names)))
-    for i, j in pairs:
-        cov[i, j] = cov[j, i] = found[f"s{i}_{j}"] or 0.0
-    return np.array([found[f"m{i}"] or 0.0 for i in range(len(names))]), cov, found["n"]
+    found = matrix(df if keep is None else df.filter(keep), names, {c: F.col(quoted(c)) for c in names})
+    if found is None:
+        return np.zeros(len(names)), np.zeros((len(names), len(names))), 0
+    n, mean, _, cm = found
+    rows = int(n[0, 0])
+    return np.diag(mean).copy(), cm / max(rows - 1, 1), rows
 
 
 def _correlation(cov: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

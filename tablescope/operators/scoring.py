@@ -6,7 +6,7 @@ expression over these rows, so a million segments are scored as one projection.
 
 from collections.abc import Sequence
 from functools import reduce
-from operator import add, or_
+from operator import add, and_, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,10 +14,10 @@ from pyspark.sql import types as T
 
 from tablescope.functions.schema import (groupable, is_numeric, missing, num, numeric_columns, quoted,
                                          text_columns, value)
-from tablescope.functions.stats import adjusted_skewness, grade, guarded_corr, rounded
-from tablescope.functions.wide import AGGREGATES
+from tablescope.functions.stats import adjusted_skewness, grade, rounded
 from tablescope.operators.adequacy import MIN_PER_CLASS, MIN_ROWS, ROWS_PER_FEATURE
 from tablescope.operators.association import LEAK_CANDIDATE, REDUNDANT
+from tablescope.operators.comoments import comoments, correlation_of
 from tablescope.operators.inference import (CURRENCY_MEAN, CURRENCY_SKEW, ID_NAMES, RSI_RANGE, SHARE,
                                             parse_date)
 from tablescope.operators.missingness import MCAR_PCT, SIGNAL_CORR
@@ -29,8 +29,6 @@ SECTION_IMPACT = {"Data Completeness": "HIGH", "Data Integrity": "MEDIUM", "Feat
                   "Leakage Safety": "CRITICAL", "Sample Adequacy": "MEDIUM", "Missing Pattern": "MEDIUM"}
 PATTERN_SCORE = {"NONE": 100, "MCAR": 80, "MAR": 50, "MNAR": 30}
 
-_EXPRESSIONS_PER_PASS = AGGREGATES // 3     # a guarded correlation is three aggregates
-
 
 def _total(flags: Sequence[Column]) -> Column:
     """How many of the conditions hold (a NULL condition does not)."""
@@ -48,20 +46,15 @@ def _join_by(a: DataFrame, b: DataFrame, by: Sequence[str]) -> DataFrame:
     return a.join(renamed, same).drop(*[f"_k{i}" for i in range(len(by))])
 
 
-def _aggregate(df: DataFrame, by: Sequence[str], aggs: dict[str, Column]) -> DataFrame:
-    """Group once per bunch of aggregates, so that generated code stays compilable."""
-    items = list(aggs.items())
-    parts = [df.groupBy(*by).agg(*[e.alias(a) for a, e in items[at:at + _EXPRESSIONS_PER_PASS]])
-             for at in range(0, len(items), _EXPRESSIONS_PER_PASS)]
-    return reduce(lambda x, y: _join_by(x, y, by), parts)
-
-
 def signals(df: DataFrame, target: str, by: Sequence[str] = (),
             id_names: Sequence[str] = ID_NAMES) -> DataFrame:
     """One row per segment with everything the scores need (one row with `by=()`).
 
     The columns in `by` name the segment and are not audited themselves. One small
-    job finds the columns that have gaps at all.
+    job finds the columns that have gaps at all. All moments, correlations, extremes and shares
+    come from one pass; classes, repeated rows and (where an id is claimed) repeated ids from
+    one more each, whatever the number of columns and segments. Two values count as equal where
+    their 64-bit hashes agree, read as doubles.
     """
     by = list(by)
     df = df.select(*[F.col(quoted(c)) for c in df.columns])
@@ -71,60 +64,51 @@ def signals(df: DataFrame, target: str, by: Sequence[str] = (),
     text = [c for c in text_columns(df) if c in names]
     n_cols = len(names)
 
-    gaps = df.agg(*[F.count(F.when(missing(df, c), 1)).alias(f"m{i}") for i, c in enumerate(names)],
-                  F.count(F.lit(1)).alias("n")).first()
+    gaps = df.agg(F.count(F.lit(1)).alias("n"), *[F.count(F.when(missing(df, c), 1)).alias(f"m{i}") for i, c in enumerate(names)]).first()
     incomplete = [c for i, c in enumerate(names) if gaps[f"m{i}"] > 0]
     listwise = [c for i, c in enumerate(names) if c in numeric and gaps[f"m{i}"] < max(gaps["n"], 1)]
 
-    aggs: dict[str, Column] = {"rows": F.count(F.lit(1))}
-    if incomplete:
-        aggs["_missing"] = F.sum(reduce(add, [missing(df, c).cast("bigint") for c in incomplete]))
-    flags = {"constant": [], "leak": [], "pair": [], "warn": []}
-
-    def need(group: str, name: str, agg: Column):
-        aggs[name] = agg
-        flags[group].append(F.col(name))
-    for i, c in enumerate(features):
-        v = value(df, c)
-        if not isinstance(df.schema[c].dataType, (T.MapType,)):
-            need("constant", f"_constant{i}", F.min(v).eqNullSafe(F.max(v)))
-    if is_numeric(df, target):
-        for i, c in enumerate(numeric):
-            need("leak", f"_leak{i}", F.abs(guarded_corr(num(c), num(target))) > LEAK_CANDIDATE)
-    if len(listwise) >= 2:
-        complete = reduce(lambda a, b: a & b, [num(c).isNotNull() for c in listwise])
-        whole = {c: F.when(complete, num(c)) for c in listwise}
-        for i, a in enumerate(listwise):
-            for j, b in list(enumerate(listwise))[i + 1:]:
-                spread = F.nullif(F.stddev_pop(whole[a]) * F.stddev_pop(whole[b]), F.lit(0.0))
-                corr = F.covar_pop(whole[a], whole[b]) / spread
-                need("pair", f"_pair{i}_{j}", F.abs(F.round(corr, 4)) >= REDUNDANT)
-    for i, c in enumerate(names):
-        for rule in _warning_rules(df, c, c in text, id_names):
-            need("warn", f"_warn{i}", rule)
-    found: dict[int, list[str]] = {}
-    for i, c in enumerate(incomplete):
-        mask = missing(df, c).cast("double")
-        others = [x for x in numeric_columns(df) if x in names and x != c]
-        aggs[f"_gap{i}"] = F.max(mask) > 0
-        for j, x in enumerate(others):
-            aggs[f"_signal{i}_{j}"] = F.abs(guarded_corr(mask, num(x))) > SIGNAL_CORR
-        found[i] = [f"_signal{i}_{j}" for j in range(len(others))]
-    base = _aggregate(df, by, aggs)
-
-    used = []
-    for i in range(len(incomplete)):
-        hit = reduce(or_, [F.coalesce(s, F.lit(False)) for s in found[i]], F.lit(False))
-        used.append(F.col(f"_gap{i}") & hit)
-    cells = F.col("rows") * n_cols
-    missing_cells = F.col("_missing") if incomplete else F.lit(0).cast("bigint")
-    raw_pct = missing_cells / F.greatest(cells, F.lit(1)) * 100
-    base = base.select(
-        *by, "rows", missing_cells.alias("missing_total"), raw_pct.alias("_pct"),
-        rounded(raw_pct, 2).alias("missing_pct"),
-        _total(flags["constant"]).alias("n_constant"), _total(flags["leak"]).alias("n_leak"),
-        _total(flags["pair"]).alias("n_redundant"),
-        _total(flags["warn"]).alias("n_type_warnings"), _total(used).alias("n_signals"))
+    plain = [c for c in numeric_columns(df) if c in names]
+    hashed = [c for c in features if not isinstance(df.schema[c].dataType, T.MapType)]
+    whole = reduce(and_, [num(c).isNotNull() for c in listwise], F.lit(True))
+    evidence = {k: e for c in names for k, e in _evidence(df, c, c in text, id_names).items()}
+    columns = {"row": F.lit(1.0)} | {f"num {c}": num(c) for c in numeric_columns(df, loose=True) if c in names} \
+        | {f"gap {c}": missing(df, c).cast("double") for c in incomplete} \
+        | {f"hash {c}": F.when(value(df, c).isNotNull(), F.xxhash64(_unsigned_zero(df, c))) for c in hashed} \
+        | {f"whole {c}": F.when(whole, num(c)) for c in listwise} | evidence
+    related = plain + [target] * (is_numeric(df, target) and target not in plain)
+    pair_names = [f"gap {c}" for c in incomplete] + [f"num {c}" for c in related]
+    single_names = ["row"] + [f"gap {c}" for c in incomplete] + [f"hash {c}" for c in hashed] + list(evidence)
+    moments = comoments(df, columns, [pair_names, [f"whole {c}" for c in listwise]], single_names, by)
+    if not by and not gaps["n"]:                            # one row also for a table without rows
+        moments = df.sparkSession.createDataFrame([([], [])], moments.schema)
+
+    def single(c: str) -> Column:
+        return F.get("singles", F.lit(single_names.index(c)))
+
+    def corr(a: str, b: str) -> Column:
+        i, j = sorted((pair_names.index(a), pair_names.index(b)))
+        at = i * len(pair_names) - i * (i - 1) // 2 + j - i  # its place in the upper triangle
+        return F.abs(correlation_of(F.get("pairs", F.lit(at))))
+    constant = [single(f"hash {c}")["low"].eqNullSafe(single(f"hash {c}")["high"]) for c in hashed]
+    leak = [corr(f"num {c}", f"num {target}") > LEAK_CANDIDATE for c in numeric] if is_numeric(df, target) else []
+    redundant = F.filter("pairs", lambda p: (p["list"] == 1) & (p["i"] < p["j"])
+                         & (F.abs(F.round(correlation_of(p), 4)) >= REDUNDANT))
+    used = [(single(f"gap {c}")["high"] > 0)
+            & reduce(or_, [F.coalesce(corr(f"gap {c}", f"num {x}") > SIGNAL_CORR, F.lit(False)) for x in plain if x != c], F.lit(False))
+            for c in incomplete]
+    claims = [c for c in names if c not in text and f"bit {c}" in evidence]
+    if claims:
+        moments = _join_by(moments, _most_repeated(df, claims, by), by)
+    warn = [_warning(c, single, claims, evidence) for c in names]
+    cells = reduce(add, [F.round(single(f"gap {c}")["mean"] * single(f"gap {c}")["n"]).cast("bigint") for c in incomplete],
+                   F.lit(0).cast("bigint"))
+    base = moments.select(
+        *by, F.coalesce(single("row")["n"], F.lit(0).cast("bigint")).alias("rows"), F.coalesce(cells, F.lit(0)).alias("missing_total"),
+        _total(constant).alias("n_constant"), _total(leak).alias("n_leak"), F.size(redundant).alias("n_redundant"),
+        _total(warn).alias("n_type_warnings"), _total(used).alias("n_signals"))
+    raw_pct = F.col("missing_total") / F.greatest(F.col("rows") * n_cols, F.lit(1)) * 100
+    base = base.withColumn("_pct", raw_pct).withColumn("missing_pct", rounded(raw_pct, 2))
 
     classes = (df.groupBy(*by, value(df, target).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
                .groupBy(*by).agg(F.count("_v").alias("_unique"),
@@ -149,23 +133,46 @@ def signals(df: DataFrame, target: str, by: Sequence[str] = (),
         F.when(is_class, "classification").otherwise("regression").alias("task_type"))
 
 
-def _warning_rules(df: DataFrame, c: str, is_text: bool, id_names: Sequence[str]) -> list[Column]:
-    """Aggregate conditions under which a column gets a type warning."""
+def _unsigned_zero(df: DataFrame, c: str) -> Column:
+    floating = isinstance(df.schema[c].dataType, (T.FloatType, T.DoubleType))
+    return value(df, c) + F.lit(0.0) if floating else value(df, c)
+
+
+def _evidence(df: DataFrame, c: str, is_text: bool, id_names: Sequence[str]) -> dict[str, Column]:
+    """Row by row what a type warning of a column is decided from."""
     v, s = num(c), F.col(quoted(c))
     if is_text:
-        dates = F.coalesce(F.bool_and(F.when(s.isNotNull(), parse_date(s).isNotNull())), F.lit(False))
-        odd = ((F.avg(s.contains("@").cast("double")) > SHARE)
-               | (F.avg(s.startswith("http").cast("double")) > SHARE))
-        return [~dates & odd]
+        return {f"date {c}": F.when(s.isNotNull(), parse_date(s).isNotNull().cast("double")),
+                f"at {c}": s.contains("@").cast("double"), f"http {c}": s.startswith("http").cast("double")}
     if c not in numeric_columns(df, loose=True):
-        return []
+        return {}
     if c.lower() in id_names:
-        flag01 = F.bool_and(v.isin(0.0, 1.0)) & (F.min(v) < F.max(v))
-        return [~flag01 & (F.count_distinct(value(df, c)) == F.count(v)) & (F.count(v) > 0)]
-    if c.upper().endswith("RSI"):
-        money = F.coalesce((F.avg(v) > CURRENCY_MEAN) & (adjusted_skewness(F.count(v), F.skewness(v)) > CURRENCY_SKEW), F.lit(False))
-        return [~money & ((F.min(v) < RSI_RANGE[0]) | (F.max(v) > RSI_RANGE[1]))]
-    return []
+        return {f"id {c}": v, f"bit {c}": F.when(v.isNotNull(), v.isin(0.0, 1.0).cast("double"))}
+    return {f"rsi {c}": v} if c.upper().endswith("RSI") else {}
+
+
+def _most_repeated(df: DataFrame, claims: Sequence[str], by: Sequence[str]) -> DataFrame:
+    """Per segment and column that claims to be an id: how often its most frequent value occurs."""
+    items = F.array(*[F.struct(F.lit(i).alias("_i"), value(df, c).cast("string").alias("_v")) for i, c in enumerate(claims)])
+    counts = df.select(*[F.col(quoted(c)) for c in by], F.inline(items)).groupBy(*[quoted(c) for c in by], "_i", "_v").agg(
+        F.count("_v").alias("_n"))
+    return counts.groupBy(*[quoted(c) for c in by]).agg(*[F.max(F.when(F.col("_i") == i, F.col("_n"))).alias(f"_most {c}") for i, c in enumerate(claims)])
+
+
+def _warning(c: str, single, claims: Sequence[str], evidence: dict[str, Column]) -> Column:
+    """Whether a column gets a type warning, from the moments of its evidence."""
+    if f"date {c}" in evidence:
+        dates = F.coalesce(single(f"date {c}")["low"] == 1, F.lit(False))
+        return ~dates & ((single(f"at {c}")["mean"] > SHARE) | (single(f"http {c}")["mean"] > SHARE))
+    if c in claims:
+        flag01 = (single(f"bit {c}")["low"] == 1) & (single(f"id {c}")["low"] < single(f"id {c}")["high"])
+        return ~flag01 & (F.col(quoted(f"_most {c}")) == 1) & (single(f"id {c}")["n"] > 0)
+    if f"rsi {c}" in evidence:
+        m = single(f"rsi {c}")
+        skew = F.sqrt(m["n"].cast("double")) * m["m3"] / F.nullif(F.pow(m["m2"], F.lit(1.5)), F.lit(0.0))
+        money = F.coalesce((m["mean"] > CURRENCY_MEAN) & (adjusted_skewness(m["n"], skew) > CURRENCY_SKEW), F.lit(False))
+        return ~money & ((m["low"] < RSI_RANGE[0]) | (m["high"] > RSI_RANGE[1]))
+    return F.lit(False)
 
 
 def health_score(of: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tablescope.operators import association, drift, features, inference, ordering
+from tablescope.operators import association, comoments, drift, features, inference, ks, missingness, ordering, scoring
 from tablescope.operators.quantiles import quantiles, value_at_rank
 from tablescope.sources import sampling, tables
 
@@ -43,21 +43,54 @@ def test_value_at_rank_with_weights(spark):
     assert [value_at_rank(df, F.col("x"), r, F.col("w")) for r in (0, 1, 4, 5, 9)] == [1, 2, 2, 3, 3]
 
 
-@pytest.mark.parametrize("per_bucket", [7, 100, 10**6])
-def test_ks_in_value_ranges(spark, per_bucket):
-    a = np.round(RNG.normal(0, 1, 400), 1)
-    b = np.concatenate([np.round(RNG.normal(0.4, 1, 300), 1), np.full(200, 0.5)])
-    df = frame(spark, v=np.concatenate([a, b]), side=[False] * len(a) + [True] * len(b))
+def brute_ks(a, b):
     grid = np.unique(np.concatenate([a, b]))
-    brute = max(abs((a <= g).mean() - (b <= g).mean()) for g in grid)
-    row = drift.ks_statistic(df, ["v"], F.col("side"), rows_per_bucket=per_bucket).first()
-    assert row.ks == pytest.approx(brute, abs=1e-12) and (row.n_first, row.n_second) == (400, 500)
+    one, two = np.searchsorted(np.sort(a), grid, "right"), np.searchsorted(np.sort(b), grid, "right")
+    return np.abs(one / len(a) - two / len(b)).max()
 
 
-def test_ks_of_equal_samples_is_zero(spark):
-    x = RNG.normal(size=100)
-    df = frame(spark, v=np.concatenate([x, x]), side=[False] * 100 + [True] * 100)
-    assert drift.ks_statistic(df, ["v"], F.col("side")).first().ks == 0
+def sides(spark, a, b):
+    return frame(spark, v=np.concatenate([a, b]), side=[False] * len(a) + [True] * len(b)).repartition(4)
+
+
+@pytest.mark.parametrize("first_cells", [1, 7, 256])
+def test_ks_by_branch_and_bound(spark, first_cells):
+    ties = np.round(RNG.normal(0, 1, 400), 1), np.concatenate([np.round(RNG.normal(0.4, 1, 300), 1), np.full(200, 0.5)])
+    wide = RNG.lognormal(0, 40, 700) * RNG.choice([-1, 1], 700), np.concatenate([RNG.lognormal(0, 39, 500), [0.0, 1e300, -1e300]])
+    for a, b in (ties, wide, (RNG.normal(size=900), RNG.normal(size=700)), (np.zeros(5), np.ones(3)), (np.array([2.0]), np.array([2.0]))):
+        row = ks.ks_statistic(sides(spark, a, b), ["v"], F.col("side"), first_cells=first_cells).first()
+        assert row.ks == brute_ks(a, b) and (row.n_first, row.n_second) == (len(a), len(b))
+
+
+@settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(a=st.lists(st.one_of(st.integers(-3, 3).map(float), st.floats(-1e12, 1e12)), min_size=1, max_size=40),
+       b=st.lists(st.one_of(st.integers(-3, 3).map(float), st.floats(-1e12, 1e12)), min_size=1, max_size=40))
+def test_ks_of_any_values(spark, a, b):
+    a, b = np.array(a) + 0.0, np.array(b) + 0.0
+    assert ks.ks_statistic(sides(spark, a, b), ["v"], F.col("side"), first_cells=2).first().ks == brute_ks(a, b)
+
+
+def test_ks_of_equal_samples_is_zero_after_one_round(spark, monkeypatch):
+    x = RNG.normal(size=5000)
+    rounds, count = [], ks._count
+    monkeypatch.setattr(ks, "_count", lambda *a: rounds.append(1) or count(*a))
+    for times in (1, 3):                                    # also where one side is a multiple of the other
+        assert ks.ks_statistic(sides(spark, x, np.tile(x, times)), ["v"], F.col("side")).first().ks == 0
+    assert len(rounds) == 2
+
+
+def test_ks_counts_few_cells_of_many_values(spark, monkeypatch):
+    live, count = [], ks._count
+    monkeypatch.setattr(ks, "_count", lambda wide, cells: live.append(sum(len(e) for e, _ in cells.values())) or count(wide, cells))
+    a, b = RNG.normal(size=40_000), RNG.normal(0.2, 1, 40_000)
+    assert ks.ks_statistic(sides(spark, a, b), ["v"], F.col("side")).first().ks == brute_ks(a, b)
+    assert sum(live) < 20_000 and len(live) < 6
+
+
+def test_ks_without_values_on_a_side(spark):
+    df = spark.createDataFrame([(1.0, None, None), (2.0, None, None), (None, 3.0, None)], "a double, b double, c double")
+    got = {r.feature: r for r in ks.ks_statistic(df, ["a", "b", "c"], F.col("a").isNull()).collect()}
+    assert set(got) == {"a", "b"} and got["a"].ks is None and (got["b"].n_first, got["b"].n_second) == (0, 1)
 
 
 @pytest.mark.parametrize("small_rows", [10, 10**6])
@@ -122,7 +155,7 @@ def test_sample_larger_than_table(spark):
     assert sampling.deterministic_sample(frame(spark, k=[1, 2, 3]), 10, "k").count() == 3
 
 
-def test_gram_correlation_of_a_wide_table_with_gaps(spark):
+def test_correlation_of_a_wide_table_with_gaps(spark):
     m = RNG.normal(size=(300, 14)) * 10 + 1e4
     m[:, 3], m[:, 5] = m[:, 2] * 2 + 1, 7.0
     m[RNG.random(m.shape) < 0.1] = np.nan
@@ -221,3 +254,78 @@ def test_times_without_zone_over_a_clock_change(spark):
         assert us[0] == 1_710_034_200_000_000
     finally:
         spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+# --- moments of all columns in one pass ------------------------------------------------------
+
+def scans(df):
+    return df._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") \
+        + df._jdf.queryExecution().optimizedPlan().toString().count("Relation")
+
+
+def test_comoments_by_segment(spark):
+    m = RNG.normal(size=(900, 5)) * [1, 10, 1e-3, 5, 1] + [0, 1e6, 1, -5, 3]
+    m[RNG.random(m.shape) < 0.2] = np.nan
+    m[:, 4] = 0.1
+    seg = [None if i % 7 == 0 else "hot" if i % 7 < 5 else f"s{i % 40}" for i in range(900)]
+    pdf = pd.DataFrame(m, columns=list("abcde")).assign(seg=seg)
+    names = list("abcde")
+    df = spark.createDataFrame(pdf).repartition(6)
+    got = comoments.comoments(df, {c: F.col(c) for c in names}, [names], names, ["seg"]).collect()
+    assert len(got) == pdf.seg.nunique(dropna=False)
+    for r in got:
+        part = pdf[pdf.seg.isna() if r.seg is None else pdf.seg == r.seg][names]
+        for k, c in enumerate(names):
+            x, s = part[c].dropna(), r.singles[k]
+            assert s.n == len(x)
+            if len(x):
+                assert (s.low, s.high) == (x.min(), x.max()) and s["mean"] == pytest.approx(x.mean(), rel=1e-12)
+                assert s.m2 == pytest.approx(((x - x.mean()) ** 2).sum(), rel=1e-8, abs=1e-20)
+                assert s.m3 == pytest.approx(((x - x.mean()) ** 3).sum(), rel=1e-6, abs=1e-6 * (1 + x.std(ddof=0) ** 3))
+        for p in r.pairs:
+            both = part[[names[p.i], names[p.j]]].dropna().to_numpy()
+            both = both[:, [0, -1]]
+            assert p.n == len(both)
+            if len(both):
+                d = both - both.mean(axis=0)
+                assert p.cm == pytest.approx((d[:, 0] * d[:, 1]).sum(), rel=1e-7, abs=1e-9)
+                assert (p.m2_i == 0) == (p.i == 4 or len(both) == 1) and p.m2_j == pytest.approx((d[:, 1] ** 2).sum(), rel=1e-7, abs=1e-20)
+
+
+def test_comoments_of_nothing(spark):
+    df = spark.createDataFrame([], "a double, g string")
+    assert comoments.comoments(df, {"a": F.col("a")}, [["a"]], ["a"]).count() == 0
+    none = spark.createDataFrame([(None, "x"), (float("nan"), "x")], "a double, g string")
+    row = comoments.comoments(none, {"a": F.col("a")}, [["a"]], ["a"], ["g"]).first()
+    assert (row.g, row.singles[0].n, row.singles[0].low, row.pairs[0].n, row.pairs[0].m2_i) == ("x", 0, None, 0, 0)
+
+
+def test_scans_do_not_grow_with_columns_or_segments(spark, tmp_path):
+    def of(n, segments):
+        pdf = pd.DataFrame(RNG.normal(size=(80, n)), columns=[f"c{i}" for i in range(n)]).assign(
+            g=[i % segments for i in range(80)], t=[f"u{i}@x" for i in range(80)])
+        pdf[pdf.columns[:-2]] = pdf[pdf.columns[:-2]].mask(RNG.random((80, n)) < 0.1)
+        path = f"{tmp_path}/{n}-{segments}"
+        spark.createDataFrame(pdf).write.parquet(path)
+        df = spark.read.parquet(path)
+        return [scans(f) for f in (scoring.signals(df, "c0", ["g"]), scoring.signals(df, "c0"), missingness.mar_signals(df),
+                                   association.correlation_matrix(df), association.correlation_matrix(df, listwise=False))]
+    few = of(6, 2)
+    assert of(24, 9) == few and of(60, 40) == few and few[2:] == [1, 1, 1] and few[0] <= 3
+
+
+def test_signals_of_many_columns_equal_pandas(spark):
+    m = RNG.normal(size=(300, 12))
+    m[:, 1], m[:, 2], m[:, 3] = m[:, 0] * 2 + 1, m[:, 0] + 0.01 * m[:, 2], 5.0
+    pdf = pd.DataFrame(m, columns=[f"c{i}" for i in range(12)]).assign(user_id=np.arange(300), email=[f"u{i}@x" for i in range(300)])
+    pdf.loc[pdf.c5 > 0.8, "c6"] = np.nan
+    row = scoring.signals(spark.createDataFrame(pdf), "c0").first()
+    assert (row.rows, row.n_constant, row.n_leak, row.n_redundant, row.n_type_warnings, row.pattern) == (300, 1, 2, 1, 2, "MAR")
+    again = pdf.assign(user_id=[0, *range(299)], seg=["x"] * 150 + ["y"] * 150)     # the id repeats in one segment
+    by = {r.seg: r.n_type_warnings for r in scoring.signals(spark.createDataFrame(again), "c0", ["seg"]).collect()}
+    assert by == {"x": 1, "y": 2}
+
+
+def test_signals_of_an_empty_table(spark):
+    row = scoring.signals(spark.createDataFrame([], "a double, b string, y double"), "y").first()
+    assert (row.rows, row.missing_pct, row.n_leak, row.n_redundant, row.pattern, row.adequate) == (0, 0, 0, 0, "NONE", False)
