@@ -17,11 +17,12 @@ broken as `mine` says. Other columns are not read.
 """
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tablescope.llm import hashing, word_runs
@@ -33,7 +34,8 @@ CAPACITY = 1 << 20
 FILTER_BITS = 1 << 27
 #: Keys that a task gathers before it passes them on.
 GATHERED = 1 << 22
-_SCHEMA = "part int, gram long, n long"
+#: Hash partitions for each shuffle partition, so that these are about even.
+PARTS = 8
 
 
 def _pieces_table() -> bytes:
@@ -171,7 +173,7 @@ def survivors(texts: DataFrame, sizes: range, mass: np.ndarray, threshold: int,
               pairs: Filter | None = None) -> DataFrame:
     """Hashes (gram) of all runs of these sizes that may occur `threshold` times, and of few others."""
     spark = texts.sparkSession
-    n_parts = int(min(CELLS, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(mass.sum()) // (threshold * CAPACITY)))))
+    n_parts = _parts(spark, -(-int(mass.sum()) // threshold))
     part_mass = np.bincount(np.arange(CELLS) * n_parts // CELLS, weights=mass, minlength=n_parts).astype(np.int64)
     known = spark.sparkContext.broadcast(pairs)
 
@@ -181,9 +183,8 @@ def survivors(texts: DataFrame, sizes: range, mass: np.ndarray, threshold: int,
         def batches():
             keys, counts = _summed(waiting)
             part = (keys.view(np.uint64) & np.uint64(CELLS - 1)).astype(np.int64) * n_parts // CELLS
-            for i in range(0, len(keys), 1 << 16):
-                s = slice(i, i + (1 << 16))
-                yield pa.record_batch([pa.array(part[s].astype(np.int32)), pa.array(keys[s]), pa.array(counts[s])], names=["part", "gram", "n"])
+            order = np.argsort(part, kind="stable")
+            yield _packed(part[order], [(keys[order], pa.int64()), (counts[order], pa.int64())], ["gram", "n"])
 
         for _, w, hashes, salts in _buffers(parts, longest):
             for k in sizes:
@@ -199,22 +200,21 @@ def survivors(texts: DataFrame, sizes: range, mass: np.ndarray, threshold: int,
     def summarise(parts):
         found: dict[int, Summary] = {}
         for batch in parts:
-            part, keys, counts = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-            for p in np.unique(part):
+            for p, keys, counts in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
                 if p not in found:
                     found[p] = Summary(int(part_mass[p]) // threshold + 1)
-                here = part == p
-                found[p].add(keys[here], counts[here])
+                found[p].add(keys.values.to_numpy(), counts.values.to_numpy())
         for s in found.values():
             yield pa.record_batch([pa.array(s.may_reach(threshold))], names=["gram"])
 
-    dealt = texts.mapInArrow(partial, _SCHEMA).repartition(n_parts, "part")
+    dealt = texts.mapInArrow(partial, "part int, gram array<long>, n array<long>").repartition("part")
     return written(dealt.mapInArrow(summarise, "gram long"), "surviving-phrases")
 
 
-def exact_counts(texts: DataFrame, short: Filter, long: Filter, threshold: int, longest: int) -> DataFrame:
+def exact_counts(texts: DataFrame, short: Filter, long: Filter, n_survivors: int, threshold: int, longest: int) -> DataFrame:
     """grp, phrase, size, a of every run of 1 to `longest` words that occurs `threshold` times."""
-    known = texts.sparkSession.sparkContext.broadcast((short, long))
+    spark = texts.sparkSession
+    known, n_parts = spark.sparkContext.broadcast((short, long)), _parts(spark, n_survivors)
 
     def count(parts):
         short, long = known.value
@@ -222,9 +222,11 @@ def exact_counts(texts: DataFrame, short: Filter, long: Filter, threshold: int,
 
         def batch():
             keys = list(found)
-            return pa.record_batch([pa.array([g for g, _, _ in keys], pa.string()), pa.array([p for _, p, _ in keys], pa.binary()),
-                                    pa.array([s for _, _, s in keys], pa.int32()), pa.array(list(found.values()), pa.int64())],
-                                   names=["grp", "phrase", "size", "n"])
+            part = np.array([zlib.crc32(p) % n_parts for _, p, _ in keys], np.int64)
+            order = np.argsort(part, kind="stable")
+            keys, n = [keys[i] for i in order], [found[keys[i]] for i in order]
+            return _packed(part[order], [([g for g, _, _ in keys], pa.string()), ([p for _, p, _ in keys], pa.binary()),
+                                         ([s for _, _, s in keys], pa.int32()), (n, pa.int64())], ["grp", "phrase", "size", "n"])
 
         for groups, w, hashes, salts in _buffers(parts, longest):
             raw = w.bytes.tobytes()
@@ -232,7 +234,7 @@ def exact_counts(texts: DataFrame, short: Filter, long: Filter, threshold: int,
                 at, keys = _grams(w, hashes, salts, size, short if size > 2 else None)
                 passed = (long if size > 2 else short).holds(keys)
                 _, first, n = np.unique(keys[passed], return_index=True, return_counts=True)
-                for i, k in zip(at[passed][first], n.tolist()):
+                for i, k in zip(at[passed][first].tolist(), n.tolist()):
                     phrase = b" ".join([raw[w.starts[j]:w.ends[j]] for j in range(i, i + size)])
                     key = (groups[w.owner[i]], phrase, size)
                     found[key] = found.get(key, 0) + k
@@ -242,8 +244,33 @@ def exact_counts(texts: DataFrame, short: Filter, long: Filter, threshold: int,
         if found:
             yield batch()
 
-    rows = texts.mapInArrow(count, "grp string, phrase binary, size int, n long")
-    return rows.groupBy("grp", F.col("phrase").cast("string").alias("phrase"), "size").agg(F.sum("n").alias("a")).where(F.col("a") >= threshold)
+    def total(parts):
+        found: dict[tuple, int] = {}
+        for batch in parts:
+            for row in range(batch.num_rows):
+                for *key, n in zip(*(batch.column(c)[row].as_py() for c in range(1, 5))):
+                    key = tuple(key)
+                    found[key] = found.get(key, 0) + n
+        kept = [(*k, n) for k, n in found.items() if n >= threshold]
+        yield pa.record_batch([pa.array([r[c] for r in kept], t) for c, t in enumerate((pa.string(), pa.binary(), pa.int32(), pa.int64()))],
+                              names=["grp", "phrase", "size", "a"])
+
+    partial = texts.mapInArrow(count, "part int, grp array<string>, phrase array<binary>, size array<int>, n array<long>")
+    return partial.repartition("part").mapInArrow(total, "grp string, phrase binary, size int, a long") \
+        .withColumn("phrase", F.col("phrase").cast("string"))
+
+
+def _parts(spark: SparkSession, keys: int) -> int:
+    """How many hash partitions, so that none holds more than about CAPACITY keys."""
+    return int(min(CELLS, max(PARTS * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-keys // CAPACITY))))
+
+
+def _packed(part: np.ndarray, columns: list[tuple], names: list[str]) -> pa.RecordBatch:
+    """One row for each hash partition, with lists of its entries; `part` is in order."""
+    parts, at = np.unique(part, return_index=True)
+    offsets = pa.array(np.append(at, len(part)).astype(np.int32))
+    return pa.record_batch([pa.array(parts.astype(np.int32)), *[pa.ListArray.from_arrays(offsets, pa.array(v, t)) for v, t in columns]],
+                           names=["part", *names])
 
 
 def scored(frequent: DataFrame, words: DataFrame) -> DataFrame:
@@ -273,9 +300,12 @@ def mine(docs: DataFrame, group_col: str = "lang", text_col: str = "text", thres
                         F.col(f"`{text_col}`").cast("string").alias("text"))
     words, short_mass, long_mass = masses(texts, longest)
     found = survivors(texts, range(1, 3), short_mass, threshold, longest)
-    short = _filter(found, found.count(), FILTER_BITS)
+    n_short = found.count()
+    short = _filter(found, n_short, FILTER_BITS)
     found = survivors(texts, range(3, longest + 1), long_mass, threshold, longest, short)
-    frequent = written(exact_counts(texts, short, _filter(found, found.count(), FILTER_BITS), threshold, longest), "frequent-phrases")
+    n_long = found.count()
+    long = _filter(found, n_long, FILTER_BITS)
+    frequent = written(exact_counts(texts, short, long, n_short + n_long, threshold, longest), "frequent-phrases")
     # A part is as frequent as the whole only if every run between them is: one word more is enough to look at.
     part = F.split("phrase", " ")
     inside = frequent.where("size > 2").select("grp", "a", F.explode(F.array(
