@@ -6,7 +6,7 @@ expression over these rows, so a million segments are scored as one projection.
 
 from collections.abc import Sequence
 from functools import reduce
-from operator import add, and_, or_
+from operator import add, and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -86,27 +86,32 @@ def signals(df: DataFrame, target: str, by: Sequence[str] = (),
     def single(c: str) -> Column:
         return F.get("singles", F.lit(single_names.index(c)))
 
-    def corr(a: str, b: str) -> Column:
-        i, j = sorted((pair_names.index(a), pair_names.index(b)))
-        at = i * len(pair_names) - i * (i - 1) // 2 + j - i  # its place in the upper triangle
-        return F.abs(correlation_of(F.get("pairs", F.lit(at))))
-    constant = [single(f"hash {c}")["low"].eqNullSafe(single(f"hash {c}")["high"]) for c in hashed]
-    leak = [corr(f"num {c}", f"num {target}") > LEAK_CANDIDATE for c in numeric] if is_numeric(df, target) else []
+    # Every count is a filter over the two arrays, so the expressions do not grow with the columns either.
+    n_gaps, n_plain = len(incomplete), len(plain)
+    of_gaps, of_hashes = F.slice("singles", 2, n_gaps), F.slice("singles", 2 + n_gaps, len(hashed))
+    constant = F.filter(of_hashes, lambda s: s["low"].eqNullSafe(s["high"]))
+    strong = lambda p, limit: F.abs(correlation_of(p)) > limit
+    leak = F.array()
+    if is_numeric(df, target):
+        t = F.lit(pair_names.index(f"num {target}"))
+        feature = lambda k: (k >= n_gaps) & (k < n_gaps + n_plain) & (k != t)
+        leak = F.filter("pairs", lambda p: (p["list"] == 0) & (((p["i"] == t) & feature(p["j"])) | ((p["j"] == t) & feature(p["i"])))
+                        & strong(p, LEAK_CANDIDATE))
     redundant = F.filter("pairs", lambda p: (p["list"] == 1) & (p["i"] < p["j"])
                          & (F.abs(F.round(correlation_of(p), 4)) >= REDUNDANT))
-    used = [(single(f"gap {c}")["high"] > 0)
-            & reduce(or_, [F.coalesce(corr(f"gap {c}", f"num {x}") > SIGNAL_CORR, F.lit(False)) for x in plain if x != c], F.lit(False))
-            for c in incomplete]
+    # a gap is explained by another column than its own; without gaps in the segment there is no correlation
+    itself = F.array(*[F.lit(n_gaps + plain.index(c) if c in plain else -1) for c in incomplete]) if incomplete else F.array(F.lit(-1))
+    used = F.array_distinct(F.transform(F.filter("pairs", lambda p: (p["list"] == 0) & (p["i"] < n_gaps) & (p["j"] >= n_gaps) & (
+        p["j"] < n_gaps + n_plain) & (p["j"] != F.get(itself, p["i"])) & strong(p, SIGNAL_CORR)), lambda p: p["i"]))
     claims = [c for c in names if c not in text and f"bit {c}" in evidence]
     if claims:
         moments = _join_by(moments, _most_repeated(df, claims, by), by)
     warn = [_warning(c, single, claims, evidence) for c in names]
-    cells = reduce(add, [F.round(single(f"gap {c}")["mean"] * single(f"gap {c}")["n"]).cast("bigint") for c in incomplete],
-                   F.lit(0).cast("bigint"))
+    cells = F.aggregate(of_gaps, F.lit(0).cast("bigint"), lambda total, s: total + F.round(F.coalesce(s["mean"], F.lit(0.0)) * s["n"]).cast("bigint"))
     base = moments.select(
-        *by, F.coalesce(single("row")["n"], F.lit(0).cast("bigint")).alias("rows"), F.coalesce(cells, F.lit(0)).alias("missing_total"),
-        _total(constant).alias("n_constant"), _total(leak).alias("n_leak"), F.size(redundant).alias("n_redundant"),
-        _total(warn).alias("n_type_warnings"), _total(used).alias("n_signals"))
+        *by, F.coalesce(single("row")["n"], F.lit(0).cast("bigint")).alias("rows"), cells.alias("missing_total"),
+        F.size(constant).alias("n_constant"), F.size(leak).alias("n_leak"), F.size(redundant).alias("n_redundant"),
+        _total(warn).alias("n_type_warnings"), F.size(used).alias("n_signals"))
     raw_pct = F.col("missing_total") / F.greatest(F.col("rows") * n_cols, F.lit(1)) * 100
     base = base.withColumn("_pct", raw_pct).withColumn("missing_pct", rounded(raw_pct, 2))
 
