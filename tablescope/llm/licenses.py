@@ -11,6 +11,8 @@ Null and empty texts have no words: counts 0, no places, empty labels, score 0.
 at together: repeated rows, null ids and ids that rows share give one row each. No row is shuffled.
 """
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,14 +28,17 @@ def plain_words(text: Column) -> Column:
     return F.regexp_replace(F.concat(F.lit(" "), lower, F.lit(" ")), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " ")
 
 
+_RULES = ("array<struct<keyword string, rules array<struct<order int, pattern string, label string, priority int, "
+          "confidence double, base boolean>>>>")
+
+
 def _rule_table(found: list[Rule]) -> Column:
-    """The rules as a constant: an array of (keyword, array of rules), in order."""
+    """The rules as a constant, which the optimiser folds: an array of (keyword, array of rules), in order."""
     groups: dict[str, list] = {}
     for order, r in enumerate(found):
-        groups.setdefault(r.keyword, []).append(F.struct(
-            F.lit(order).alias("order"), F.lit(pattern(r.words)).alias("pattern"), F.lit(r.label).alias("label"),
-            F.lit(r.priority).alias("priority"), F.lit(r.confidence).alias("confidence"), F.lit(r.base).alias("base")))
-    return F.array(*[F.struct(F.lit(k).alias("keyword"), F.array(*v).alias("rules")) for k, v in groups.items()])
+        groups.setdefault(r.keyword, []).append({"order": order, "pattern": pattern(r.words), "label": r.label, "priority": r.priority,
+                                                 "confidence": r.confidence, "base": r.base})
+    return F.from_json(F.lit(json.dumps([{"keyword": k, "rules": v} for k, v in groups.items()])), _RULES)
 
 
 def _stretches(words: Column) -> Column:
