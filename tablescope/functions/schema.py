@@ -86,10 +86,3 @@ def nan_to_null(df: DataFrame) -> DataFrame:
 
 def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
-
-
-def groupable(df: DataFrame) -> DataFrame:
-    """NaN as NULL, and map columns as JSON text so that rows can be grouped."""
-    cols = [F.to_json(F.col(quoted(f.name))).alias(f.name) if isinstance(f.dataType, T.MapType)
-            else value(df, f.name).alias(f.name) for f in df.schema.fields]
-    return df.select(cols)

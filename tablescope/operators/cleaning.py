@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from tablescope.functions.schema import (categorical_columns, missing, nan_to_null, num,
                                          numeric_columns, quoted, value)
 from tablescope.operators.association import drop_suggestions
+from tablescope.operators.duplicates import drop_duplicate_rows, duplicate_rows, repeated_digests
 from tablescope.operators.inference import ID_NAMES, infer_types
 from tablescope.operators.profile import constant_features, iqr_bounds
 from tablescope.operators.quantiles import quantiles
@@ -40,12 +41,6 @@ def id_columns(df: DataFrame, target: str | None, id_names=ID_NAMES) -> list[str
     return [r.column for r in found.filter("inferred = 'ID Column'").collect()]
 
 
-def drop_duplicate_rows(df: DataFrame) -> DataFrame:
-    """One row of each set of equal rows; equal rows are merged before the shuffle."""
-    names = [f.name for f in df.schema.fields if not isinstance(f.dataType, T.MapType)]
-    return nan_to_null(df).dropDuplicates(names)
-
-
 def modes(df: DataFrame, names: list[str]) -> dict[str, object]:
     """Most frequent value per column, the smallest one on ties, None for no values.
 
@@ -118,8 +113,8 @@ def clean(df: DataFrame, target: str, options: CleanOptions = CleanOptions(),
           id_names=ID_NAMES) -> tuple[DataFrame, DataFrame]:
     """The fixed table and a log of the steps taken: `(step, action, n, columns)`.
 
-    Runs Spark jobs. Duplicate removal changes what later steps see, so its result
-    is written once to the shared folder and read back column by column.
+    Runs Spark jobs. Duplicate removal changes what later steps see, so where rows repeat its
+    result is written once to the shared folder and read back column by column.
     """
     actions = []
     # Ids and redundant features are judged on the table as it came in.
@@ -141,10 +136,10 @@ def clean(df: DataFrame, target: str, options: CleanOptions = CleanOptions(),
         fixed = fixed.drop(*redundant)
         actions.append(("drop_redundant", len(redundant), redundant))
     if options.drop_duplicates:
-        before = fixed.count()
-        stored = materialise(drop_duplicate_rows(fixed), "deduplicated")
-        removed = before - stored.count()
-        fixed = stored if removed else fixed
+        removed, repeated = 0, repeated_digests(fixed)
+        if repeated is not None:                            # nothing is written where nothing repeats
+            removed = duplicate_rows(fixed).first()[0]
+            fixed = materialise(drop_duplicate_rows(fixed, repeated), "deduplicated") if removed else fixed
         actions.append(("drop_duplicates", removed, []))
     if options.impute_missing:
         fixed, n = _impute(fixed, set() if options.impute_target else {target})

@@ -7,11 +7,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablescope.functions.schema import (categorical_columns, groupable, is_numeric, missing, num,
+from tablescope.functions.schema import (categorical_columns, is_numeric, missing, num,
                                          numeric_columns, quoted, value)
 from tablescope.functions.stats import (adjusted_kurtosis, adjusted_skewness, corr_of_parts, corr_parts,
                                         rounded)
 from tablescope.functions.wide import AGGREGATES, per_column
+from tablescope.operators.duplicates import duplicate_rows
 from tablescope.operators.quantiles import quantiles
 
 # The published limits of the audit.
@@ -49,17 +50,6 @@ def missing_total(df: DataFrame) -> DataFrame:
         rounded(total / F.greatest(cells, F.lit(1)) * 100, 2).alias("missing_pct"))
 
 
-def duplicate_rows(df: DataFrame) -> DataFrame:
-    """Rows beyond the first of each set of equal rows (missing values are equal).
-
-    Equal rows are counted together before the shuffle, so a row that occurs a
-    billion times travels once per task.
-    """
-    rows = groupable(df)
-    sets = rows.groupBy(*[F.col(quoted(c)) for c in rows.columns]).agg(F.count(F.lit(1)).alias("_n"))
-    return sets.agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("duplicate_rows"))
-
-
 def _family(t: T.DataType) -> str:
     if isinstance(t, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
         return "bigint"

@@ -12,11 +12,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablescope.functions.schema import (groupable, is_numeric, missing, num, numeric_columns, quoted,
+from tablescope.functions.schema import (is_numeric, missing, num, numeric_columns, quoted,
                                          text_columns, value)
 from tablescope.functions.stats import adjusted_skewness, grade, rounded
 from tablescope.operators.adequacy import MIN_PER_CLASS, MIN_ROWS, ROWS_PER_FEATURE
 from tablescope.operators.association import LEAK_CANDIDATE, REDUNDANT
+from tablescope.operators.duplicates import copies_by
 from tablescope.operators.comoments import comoments, correlation_of
 from tablescope.operators.inference import (CURRENCY_MEAN, CURRENCY_SKEW, ID_NAMES, RSI_RANGE, SHARE,
                                             parse_date)
@@ -118,9 +119,7 @@ def signals(df: DataFrame, target: str, by: Sequence[str] = (),
     classes = (df.groupBy(*by, value(df, target).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
                .groupBy(*by).agg(F.count("_v").alias("_unique"),
                                  F.min(F.when(F.col("_v").isNotNull(), F.col("_n"))).alias("_min_class")))
-    rows = groupable(df)
-    copies = (rows.groupBy(*[F.col(quoted(c)) for c in rows.columns]).agg(F.count(F.lit(1)).alias("_n"))
-              .groupBy(*by).agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("duplicate_rows")))
+    copies = copies_by(df, by)
     joined = _join_by(_join_by(base, classes, by), copies, by)
 
     needed = (n_cols - 1) * ROWS_PER_FEATURE

@@ -7,7 +7,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tablescope.operators import association, comoments, drift, features, inference, ks, missingness, ordering, scoring
+from tablescope.operators import association, comoments, drift, duplicates, features, inference, ks, missingness, ordering, scoring
 from tablescope.operators.quantiles import quantiles, value_at_rank
 from tablescope.sources import sampling, tables
 
@@ -329,3 +329,59 @@ def test_signals_of_many_columns_equal_pandas(spark):
 def test_signals_of_an_empty_table(spark):
     row = scoring.signals(spark.createDataFrame([], "a double, b string, y double"), "y").first()
     assert (row.rows, row.missing_pct, row.n_leak, row.n_redundant, row.pattern, row.adequate) == (0, 0, 0, 0, "NONE", False)
+
+
+# --- equal rows by digests --------------------------------------------------------------------
+
+def odd_rows(spark):
+    rows = [(1, "a", None, 0.0, [1]), (1, "a", None, -0.0, [1]), (1, None, "a", 0.0, [1]), (1, "ab", "c", float("nan"), None),
+            (1, "ab", "c", None, None), (1, "a", "bc", None, None), (None, None, None, None, None), (None, None, None, None, None),
+            (2, "", None, 1.0, []), (2, None, "", 1.0, []), (1, "a", None, 0.0, [1])]
+    return spark.createDataFrame(rows, "k int, a string, b string, x double, l array<int>")
+
+
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_duplicates_by_digest(spark, monkeypatch, broadcast):
+    if not broadcast:
+        monkeypatch.setattr(duplicates, "MAX_BROADCAST", 0)
+    df = odd_rows(spark)
+    assert duplicates.duplicate_rows(df).first()[0] == 4
+    kept = [(r.k, r.a, r.b, None if r.x is None else r.x + 0.0, r.l) for r in duplicates.drop_duplicate_rows(df).collect()]
+    assert len(kept) == 7 and len({repr(r) for r in kept}) == 7
+    by = {r.k: r.duplicate_rows for r in duplicates.copies_by(df, ["k"]).collect()}
+    assert by == {1: 3, None: 1, 2: 0}
+    mapped = df.withColumn("m", F.when(F.col("k") == 1, F.create_map(F.lit("q"), F.col("a"))))
+    assert duplicates.duplicate_rows(mapped).first()[0] == 4 and duplicates.drop_duplicate_rows(mapped).count() == 7
+
+
+def test_duplicates_of_nothing(spark):
+    none = spark.createDataFrame([], "a string, b double")
+    assert duplicates.duplicate_rows(none).first()[0] == 0 and duplicates.drop_duplicate_rows(none).count() == 0
+    assert duplicates.copies_by(none, []).first()[0] == 0
+
+
+def test_rows_that_share_a_digest_are_compared(spark, monkeypatch):
+    df = frame(spark, a=["x", "y", "y", "z"])
+    same = lambda d: d.select("*", F.lit(1).cast("long").alias("_d1"), F.lit(1).cast("long").alias("_d2"), F.lit(1).cast("long").alias("_size"))
+    monkeypatch.setattr(duplicates, "with_digest", same)
+    assert duplicates.duplicate_rows(df).first()[0] == 1
+    assert sorted(r.a for r in duplicates.drop_duplicate_rows(df).collect()) == ["x", "y", "z"]
+
+
+def test_counting_duplicates_shuffles_no_text(spark):
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").drop("doc_id")
+    plan = duplicates.duplicate_rows(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [_d1" in plan and "_sha" in plan
+    shuffled = duplicates.with_digest(df).groupBy("_d1", "_d2", "_size").count()._jdf.queryExecution().executedPlan().toString()
+    exchange = shuffled[shuffled.index("Exchange"):].split("\n")[1]
+    assert "text" not in exchange.split("Scan")[0]
+
+
+def test_clean_writes_nothing_where_nothing_repeats(spark, monkeypatch):
+    written = []
+    from tablescope.operators import cleaning as c
+    monkeypatch.setattr(c, "materialise", lambda df, name: written.append(name) or df)
+    c.clean(frame(spark, a=[1.0, 2.0, 3.0], y=[1.0, 5.0, 2.0]), "y")
+    assert written == []
+    fixed, _ = c.clean(frame(spark, a=[1.0, 1.0, 3.0], y=[1.0, 1.0, 2.0]), "y")
+    assert written == ["deduplicated"] and fixed.count() == 2
