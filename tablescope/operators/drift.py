@@ -10,7 +10,7 @@ from tablescope.functions.schema import is_numeric, num, numeric_columns
 from tablescope.functions.stats import (ks_p_value, ks_severity, label, relative_shift_pct, rounded)
 from tablescope.operators.comoments import comoments
 from tablescope.operators.ks import ks_statistic
-from tablescope.operators.ordering import SMALL_ROWS, split_at_fraction
+from tablescope.operators.ordering import split_at_fraction
 from tablescope.operators.profile import duplicate_rows, missing_counts
 
 # The published limits of the audit.
@@ -44,9 +44,9 @@ def _compared(df: DataFrame, names: Sequence[str], second: Column, at_least: int
     return both.withColumn("p", ks_p_value(F.col("ks"), F.col("n_first"), F.col("n_second")))
 
 
-def split_halves(df: DataFrame, order_by: Sequence[str], small_rows: int = SMALL_ROWS) -> DataFrame:
+def split_halves(df: DataFrame, order_by: Sequence[str]) -> DataFrame:
     """Add `half`: 1 for the first floor(n / 2) rows in key order, 2 for the rest."""
-    cut = split_at_fraction(df, order_by, 0.5, "_second", small_rows)
+    cut = split_at_fraction(df, order_by, 0.5, "_second")
     return cut.withColumn("half", F.when(F.col("_second"), 2).otherwise(1)).drop("_second")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tablescope.functions.schema import num, quoted
 from tablescope.functions.stats import rounded
-from tablescope.operators.ordering import SMALL_ROWS, split_at_fraction
+from tablescope.operators.ordering import split_at_fraction
 from tablescope.sources.sampling import hash_key
 
 # The published limits of the diagnosis.
@@ -139,8 +139,7 @@ def learning_curve(df: DataFrame, features: Sequence[str], target: str, key: str
         rounded(F.avg("validation"), 4).alias("validation_accuracy"))
 
 
-def chronological_split(df: DataFrame, order_by: Sequence[str], train: float = 0.8,
-                        small_rows: int = SMALL_ROWS) -> DataFrame:
+def chronological_split(df: DataFrame, order_by: Sequence[str], train: float = 0.8) -> DataFrame:
     """The table with a column `split`: the first rows in time train, the rest validate."""
-    cut = split_at_fraction(df, order_by, train, "_later", small_rows)
+    cut = split_at_fraction(df, order_by, train, "_later")
     return cut.withColumn("split", F.when(F.col("_later"), "validation").otherwise("train")).drop("_later")

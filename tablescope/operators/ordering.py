@@ -34,14 +34,22 @@ def key_numbers(df: DataFrame, name: str) -> list[Column] | None:
     """Doubles that order a key column exactly, the first before the next; None for types that have none.
 
     A 64-bit number is two of 32 bits, as a double holds only 53; so is a decimal without a fraction
-    that fits into 64 bits.
+    that fits into 64 bits. Text has no such numbers; see `text_at_rank`.
     """
     c, kind = F.col(quoted(name)), df.schema[name].dataType
     if isinstance(kind, T.LongType) or isinstance(kind, T.DecimalType) and kind.scale == 0 and kind.precision <= 18:
         c = c.cast("long")
         return [F.shiftright(c, 32).cast("double"), c.bitwiseAND(F.lit(0xFFFFFFFF)).cast("double")]
     if isinstance(kind, T.DecimalType) and kind.precision > 15:
-        return None
+        if kind.precision > 37:
+            raise ValueError(f"{name}: order keys hold at most 37 digits, cast it to fewer")
+        # the nearest double, then what it leaves over, twice: three doubles hold 37 digits
+        same = kind.simpleString()
+        out = [c.cast("double")]
+        for _ in range(2):
+            c = (c - out[-1].cast(same)).cast(same)
+            out.append(c.cast("double"))
+        return out
     if name in numeric_columns(df):
         return [num(name)]
     if name in datetime_columns(df):
@@ -100,15 +108,34 @@ def global_position(df: DataFrame, order_by: Sequence[str], small_rows: int = SM
             .drop("_part", "_offset", "_id"))
 
 
+def text_at_rank(df: DataFrame, c: Column, rank: int) -> bytes:
+    """The UTF-8 bytes at 0-based `rank` of a text expression without nulls, in order of bytes.
+
+    Byte by byte: the rows that are left agree up to the first byte in which their least and greatest
+    text differ; they are counted by that byte, at most 257 counts, and the byte that holds the rank is followed.
+    """
+    rows = df.select(c.cast("binary").alias("t"))
+    while True:
+        low, high = (bytes(x) for x in rows.agg(F.min("t"), F.max("t")).first())
+        if low == high:
+            return low
+        same = next((i for i, (a, b) in enumerate(zip(low, high)) if a != b), len(low))
+        at = F.hex(F.substring("t", same + 1, 1))
+        for byte, n in sorted(rows.groupBy(at.alias("b")).count().collect()):
+            if rank < n:
+                break
+            rank -= n
+        rows = rows.filter(at == byte)
+
+
 def split_at_fraction(df: DataFrame, order_by: Sequence[str], fraction: float = 0.5,
-                      flag: str = "second", small_rows: int = SMALL_ROWS) -> DataFrame:
+                      flag: str = "second") -> DataFrame:
     """Add a boolean: does the row come after the first floor(n * fraction) rows?
 
-    The cut is the key at one rank, found by counting histograms; the table itself
-    is neither sorted nor shuffled. Keys must be unique where the cut falls.
-    Runs Spark jobs. Keys without a numeric order (text) take `global_position`.
+    The cut is the key at one rank, found by counting histograms that descend into the part with the rank,
+    column by column; the table itself is neither sorted nor shuffled, and every type of key and size of
+    table goes the same way. Keys must be unique where the cut falls. Runs Spark jobs.
     """
-    by_key = [key_numbers(df, c) for c in order_by]
     nulls = F.count(F.when(sum((F.col(quoted(c)).isNull().cast("int") for c in order_by),
                                F.lit(0)) > 0, 1))
     n, n_null = df.agg(F.count(F.lit(1)), nulls).first()
@@ -117,32 +144,20 @@ def split_at_fraction(df: DataFrame, order_by: Sequence[str], fraction: float =
     first = math.floor(n * fraction)
     if n == 0 or first >= n or first == 0:
         return df.withColumn(flag, F.lit(first == 0 and n > 0))
-    unclear = ValueError(f"{list(order_by)} is not unique; add a column that tells rows apart")
-    if n <= small_rows:
-        numbers = [x for c, k in zip(order_by, by_key) for x in k or [F.col(quoted(c))]]
-        before, cut = (df.select(*[k.alias(f"k{i}") for i, k in enumerate(numbers)])
-                       .orderBy(*[f"k{i}" for i in range(len(numbers))])
-                       .offset(first - 1).limit(2).collect())
-        if before == cut:
-            raise unclear
-    elif any(k is None for k in by_key):
-        placed = global_position(df, order_by, small_rows, n_rows=n)
-        around = placed.filter(F.col("_pos").isin(first - 1, first)).select(*[F.col(quoted(c)) for c in order_by])
-        if around.distinct().count() < 2:
-            raise unclear
-        return placed.withColumn(flag, F.col("_pos") >= first).drop("_pos")
-    else:
-        numbers = [x for k in by_key for x in k]
-        rows, rank, cut = df, first, []
-        for k in numbers:
-            v = value_at_rank(rows, k, rank)
-            rank -= rows.filter(k < v).count()
-            rows = rows.filter(k == v)
-            cut.append(v)
-        if rank > 0:    # rows that equal the first of the second part come before it
-            raise unclear
+    rows, rank, cut = df, first, []
+    for c in order_by:
+        for k in key_numbers(df, c) or [F.col(quoted(c)).cast("binary")]:
+            if key_numbers(df, c) is None:
+                v = F.lit(text_at_rank(rows, k, rank))
+            else:
+                v = F.lit(value_at_rank(rows, k, rank))
+            before, rows = rows.filter(k < v).count(), rows.filter(k == v)
+            rank -= before
+            cut.append((k, v))
+    if rank > 0:                                            # rows that equal the first of the second part come before it
+        raise ValueError(f"{list(order_by)} is not unique; add a column that tells rows apart")
     later = F.lit(True)
-    for k, v in reversed(list(zip(numbers, cut))):
+    for k, v in reversed(cut):
         later = (k > v) | ((k == v) & later)
     return df.withColumn(flag, later)
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tablescope.functions.schema import num, numeric_columns, quoted
 from tablescope.functions.stats import relative_shift_pct, rounded
 from tablescope.functions.wide import per_column
-from tablescope.operators.comoments import matrix
+from tablescope.operators.comoments import comoments, matrix
 from tablescope.operators.profile import iqr_outliers
 from tablescope.operators.quantiles import quantiles
 
@@ -75,38 +75,110 @@ def _squared_distance(names: Sequence[str], mean: np.ndarray, cov: np.ndarray) -
     return F.aggregate(F.transform(lines, dot), F.lit(0.0), lambda s, x: s + x * x)
 
 
-def _medians(filled: DataFrame, cov: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Medians, and squared median deviations (the variance where that is zero) as a diagonal scatter."""
-    names = filled.columns
-    mid = quantiles(filled, names, [0.5])
-    off = quantiles(filled, names, [0.5], columns={c: F.abs(num(c) - F.lit(mid[c][0])) for c in names})
-    spread = [(1.4826 * off[c][0]) ** 2 or cov[i, i] for i, c in enumerate(names)]
-    return np.array([mid[c][0] for c in names]), np.diag(spread)
+def _robust_scales(filled: DataFrame, cov: np.ndarray, columns: dict[str, Column] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Medians, and median deviations scaled to the normal law (the deviation where that is zero)."""
+    names = list(columns) if columns else filled.columns
+    columns = columns or {c: num(c) for c in names}
+    mid = quantiles(filled, names, [0.5], columns=columns)
+    off = quantiles(filled, names, [0.5], columns={c: F.abs(columns[c] - F.lit(mid[c][0])) for c in names})
+    spread = [1.4826 * off[c][0] or math.sqrt(max(cov[i, i], 0.0)) or 1.0 for i, c in enumerate(names)]
+    return np.array([mid[c][0] for c in names]), np.array(spread)
+
 
+RANK_CUTS = 64
 
-def robust_location_scatter(filled: DataFrame, steps: int = 10) -> tuple[np.ndarray, np.ndarray]:
-    """Minimum covariance determinant by concentration steps over all rows.
 
-    Each step scores every row, keeps the closer half (by a sketched median, as any
-    half near it leads on) and estimates again; only the p * p moments come to the
-    driver. The start is the medians and median deviations of the features, which a
-    far cluster of nearly half the rows does not hold. Ends with the usual consistency factor and
-    one reweighting at the 97.5 % chi-square point.
+def _starts(filled: DataFrame, cov: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Centre and scatter of five deterministic starts (after Hubert, Rousseeuw and Verdonck 2012).
+
+    The features are centred at their medians and scaled by their median deviations. Their correlations are then
+    taken after a transformation that far rows cannot dominate: hyperbolic tangent, ranks, normal scores of the ranks, and
+    spatial signs; the fifth start has none. Scales along the eigenvectors are median deviations again. Ranks
+    are those among `RANK_CUTS` quantiles. One pass for the quantiles, one for all moments, two for the scales.
+    """
+    from statistics import NormalDist
+    names, p = filled.columns, len(filled.columns)
+    mid, spread = _robust_scales(filled, cov)
+    z = {c: (num(c) - F.lit(float(m))) / F.lit(float(s)) for c, m, s in zip(names, mid, spread)}
+    probs = [(k + 1) / (RANK_CUTS + 1) for k in range(RANK_CUTS)]
+    rough = filled.agg(*[F.percentile_approx(quoted(c), probs, 20 * RANK_CUTS).alias(f"q{i}") for i, c in enumerate(names)]).first()
+    normal = F.array(*[F.lit(NormalDist().inv_cdf((k + 0.5) / (RANK_CUTS + 1))) for k in range(RANK_CUTS + 1)])
+    length = F.sqrt(reduce(add, [v * v for v in z.values()]))
+    columns, lists = {}, [[], [], [], []]
+    for i, c in enumerate(names):
+        cuts = F.array(*[F.lit(float(x)) for x in rough[f"q{i}"]])
+        rank = F.size(F.filter(cuts, lambda q: q < num(c)))  # noqa: B023
+        for k, e in enumerate((F.tanh(z[c]), rank.cast("double"), F.get(normal, rank), z[c] / F.when(length == 0, F.lit(1.0)).otherwise(length))):
+            columns[f"{k} {c}"] = e
+            lists[k].append(f"{k} {c}")
+    row = comoments(filled, columns, lists).first()
+    found = [(mid, np.diag(spread ** 2))]
+    axes, turned = [], {}
+    for k in range(4):
+        cm = np.zeros((p, p))
+        for e in row.pairs:
+            if e.list == k:
+                cm[e.i, e.j] = cm[e.j, e.i] = e.cm
+        unit, _ = _correlation(cm)
+        vectors = np.linalg.eigh(unit)[1]
+        axes.append(vectors)
+        for j in range(p):
+            turned[f"{k} {j}"] = reduce(add, [F.lit(float(vectors[i, j])) * z[c] for i, c in enumerate(names)])
+    centre, scale = _robust_scales(filled, np.eye(4 * p), turned)
+    for k, vectors in enumerate(axes):
+        at, by = centre[k * p:(k + 1) * p], scale[k * p:(k + 1) * p]
+        found.append((mid + spread * (vectors @ at), np.outer(spread, spread) * (vectors * by ** 2 @ vectors.T)))
+    return found
+
+
+def _concentrate(filled: DataFrame, fits: list[tuple[np.ndarray, np.ndarray]], share: float) -> list[tuple[np.ndarray, np.ndarray]]:
+    """One concentration step of every fit at once: two passes, whatever the number of fits and features."""
+    names = filled.columns
+    scored = filled.select("*", *[_squared_distance(names, *f).alias(f"_d{k}") for k, f in enumerate(fits)])
+    cut = scored.agg(*[F.percentile_approx(f"_d{k}", share, 100_000) for k in range(len(fits))]).first()
+    columns = {f"{k} {c}": F.when(F.col(f"_d{k}") <= F.lit(cut[k]), F.col(quoted(c))) for k in range(len(fits)) for c in names}
+    row = comoments(scored, columns, [[f"{k} {c}" for c in names] for k in range(len(fits))]).first()
+    means, scatters = np.zeros((len(fits), len(names))), np.zeros((len(fits), len(names), len(names)))
+    for e in row.pairs:
+        scatters[e.list, e.i, e.j] = scatters[e.list, e.j, e.i] = e.cm / max(e.n - 1, 1)
+        if e.i == e.j:
+            means[e.list, e.i] = e.mean_i
+    return list(zip(means, scatters))
+
+
+def _size(cov: np.ndarray) -> float:
+    """Logarithm of the determinant; minus infinity for a degenerate scatter."""
+    full = np.linalg.matrix_rank(_correlation(cov)[0]) == len(cov)
+    return np.linalg.slogdet(cov)[1] if full else -math.inf
+
+
+def robust_location_scatter(filled: DataFrame, steps: int = 10, together: int = 2) -> tuple[np.ndarray, np.ndarray]:
+    """Minimum covariance determinant by concentration steps over all rows, from several deterministic starts.
+
+    Each step scores every row, keeps the closer half (by a sketched median, as any half near it leads on) and
+    estimates again; only the p * p moments come to the driver. The starts share each pass; after `together`
+    steps the one of least determinant goes on alone. Ends with the usual consistency factor and
+    one reweighting at the 97.5 % chi-square point. Rows that lie in less than half the table, however
+    far and in whatever directions, do not hold all the starts.
     """
     names = filled.columns
     p = len(names)
     mean, cov, n = _location_scatter(filled)
     if not n:
         return mean, cov
-    half = (n + p + 1) // 2
-    mean, cov = _medians(filled, cov)
-    last = math.inf
-    for _ in range(steps):
-        d2 = _squared_distance(names, mean, cov)
-        cutoff = filled.agg(F.percentile_approx(d2, half / n, 100_000)).first()[0]
-        mean, cov, _ = _location_scatter(filled, d2 <= cutoff)
-        size = np.linalg.slogdet(cov)[1] if np.linalg.matrix_rank(_correlation(cov)[0]) == p else -math.inf
-        if size >= last - 1e-3 or size == -math.inf:
+    share = ((n + p + 1) // 2) / n
+    fits = _starts(filled, cov)
+    for _ in range(together):
+        fits = _concentrate(filled, fits, share)
+    sizes = [_size(c) for _, c in fits]
+    mean, cov = fits[int(np.argmin(sizes))]
+    last = min(sizes)
+    for _ in range(steps - together):
+        if last == -math.inf:
+            break
+        ((mean, cov),) = _concentrate(filled, [(mean, cov)], share)
+        size = _size(cov)
+        if size >= last - 1e-3:
             break
         last = size
     d2 = _squared_distance(names, mean, cov)

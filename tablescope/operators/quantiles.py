@@ -174,6 +174,8 @@ def value_at_rank(df: DataFrame, c: Column, rank: int, weight: Column | None = N
     wide = df.select(c.cast("double").alias("q0"), *weights)
     bounds = wide.agg(F.min("q0"), F.max("q0")).first()
     bracket = (bounds[0], bounds[1])
+    if bounds[0] == bounds[1]:
+        return bounds[0]
     while True:
         below, buckets = _bracket_counts(wide, [(0, bracket)])[0, bracket]
         for n, lowest, highest in buckets:

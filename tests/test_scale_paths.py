@@ -93,29 +93,39 @@ def test_ks_without_values_on_a_side(spark):
     assert set(got) == {"a", "b"} and got["a"].ks is None and (got["b"].n_first, got["b"].n_second) == (0, 1)
 
 
-@pytest.mark.parametrize("small_rows", [10, 10**6])
-def test_split_at_fraction_by_composite_key(spark, small_rows):
+def test_split_at_fraction_by_composite_key(spark):
     # Half the table shares the first key, so the second one decides.
     a = np.concatenate([np.full(60, 5), np.arange(61) % 9])
     df = frame(spark, a=a, b=RNG.permutation(121))
-    got = ordering.split_at_fraction(df, ["a", "b"], 0.5, small_rows=small_rows).toPandas()
+    got = ordering.split_at_fraction(df, ["a", "b"], 0.5).toPandas()
     got = got.sort_values(["a", "b"])
     assert list(got["second"]) == [False] * 60 + [True] * 61
 
 
-@pytest.mark.parametrize("small_rows", [3, 10**6])
-def test_split_rejects_ambiguous_and_missing_keys(spark, small_rows):
+def test_split_rejects_ambiguous_and_missing_keys(spark):
     with pytest.raises(ValueError, match="unique"):
-        ordering.split_at_fraction(frame(spark, a=[1, 2, 2, 3]), ["a"], 0.5, small_rows=small_rows)
+        ordering.split_at_fraction(frame(spark, a=[1, 2, 2, 3]), ["a"], 0.5)
     with pytest.raises(ValueError, match="no value"):
-        ordering.split_at_fraction(spark.createDataFrame([(1,), (None,)], "a int"), ["a"], small_rows=small_rows)
+        ordering.split_at_fraction(spark.createDataFrame([(1,), (None,)], "a int"), ["a"])
 
 
 def test_split_by_text_key(spark):
-    names = [f"k{i:03d}" for i in RNG.permutation(101)]
-    for small in (10, 10**6):
-        got = ordering.split_at_fraction(frame(spark, k=names), ["k"], 0.3, small_rows=small).toPandas()
-        assert sorted(got.k[~got.second]) == sorted(names)[:30]
+    names = [f"k{i:03d}" for i in RNG.permutation(90)] + ["", "k", "k0", "ü", "üb", "漢字", "z" * 300, "z" * 300 + "a", "k\0", "A", "z"]
+    for fraction in (0.02, 0.3, 0.93, 0.97):
+        got = ordering.split_at_fraction(frame(spark, k=names), ["k"], fraction).toPandas()
+        assert sorted(got.k[~got.second], key=str.encode) == sorted(names, key=str.encode)[:int(101 * fraction)]
+    both = frame(spark, a=["x"] * 60 + ["y"] * 41, b=names)
+    got = ordering.split_at_fraction(both, ["a", "b"], 0.5).toPandas()
+    assert sorted(zip(got.a[~got.second], got.b[~got.second])) == sorted(zip(["x"] * 60, names[:60]), key=lambda r: (r[0], r[1].encode()))[:50]
+
+
+def test_split_by_long_decimals(spark):
+    from decimal import Decimal, localcontext
+    with localcontext(prec=50):
+        values = [Decimal(10) ** 27 * (i % 3) + Decimal(i).scaleb(-8) for i in range(-30, 31)]
+    df = spark.createDataFrame([(v,) for v in values], "d decimal(37,8)")
+    got = [r.d for r in ordering.split_at_fraction(df, ["d"], 0.4).filter("not second").collect()]
+    assert sorted(got) == sorted(values)[:24]
 
 
 @pytest.mark.parametrize("small_rows", [16, 10**6])
@@ -202,18 +212,16 @@ def test_date_formats(spark):
 def test_cut_before_equal_keys(spark):
     """Equal keys are unclear only where the cut divides them, whatever the size of the table."""
     df = spark.createDataFrame([(1,), (2,), (3,), (3,)], "k long")
-    for small in (100, 1):
-        parts = ordering.split_at_fraction(df, ["k"], small_rows=small).collect()
-        assert sorted((r.k, r.second) for r in parts) == [(1, False), (2, False), (3, True), (3, True)]
-        with pytest.raises(ValueError):
-            ordering.split_at_fraction(df, ["k"], 0.75, small_rows=small).collect()
+    parts = ordering.split_at_fraction(df, ["k"]).collect()
+    assert sorted((r.k, r.second) for r in parts) == [(1, False), (2, False), (3, True), (3, True)]
+    with pytest.raises(ValueError):
+        ordering.split_at_fraction(df, ["k"], 0.75).collect()
 
 
 def test_cut_inside_equal_text(spark):
     df = spark.createDataFrame([("a",), ("b",), ("b",), ("c",)], "k string")
-    for small in (100, 1):
-        with pytest.raises(ValueError):
-            ordering.split_at_fraction(df, ["k"], small_rows=small).collect()
+    with pytest.raises(ValueError):
+        ordering.split_at_fraction(df, ["k"]).collect()
 
 
 def test_lag_longer_than_block(spark):
@@ -229,15 +237,14 @@ def test_fractions_of_seconds_survive(spark, tmp_path):
     assert spark.read.text(str(tmp_path / "out")).filter("value like '%00.123456%'").count() == 1
 
 
-@pytest.mark.parametrize("small", [2, 1_000_000])
-def test_split_by_ids_beyond_doubles(spark, small):
+def test_split_by_ids_beyond_doubles(spark):
     for kind in ("bigint", "decimal(18,0)", "decimal(30,0)"):
         ids = spark.range(2**53, 2**53 + 6).selectExpr(f"cast(id as {kind}) as id")
         for half in (1, 2, 3, 4, 5):
-            got = ordering.split_at_fraction(ids, ["id"], half / 6 + 0.01, small_rows=small).filter("second").count()
+            got = ordering.split_at_fraction(ids, ["id"], half / 6 + 0.01).filter("second").count()
             assert got == 6 - half
     signs = spark.createDataFrame([(-(2**62),), (-1,), (0,), (2**62,)], "id bigint")
-    got = ordering.split_at_fraction(signs, ["id"], small_rows=small).filter("second").collect()
+    got = ordering.split_at_fraction(signs, ["id"]).filter("second").collect()
     assert sorted(r.id for r in got) == [0, 2**62]
 
 
@@ -247,8 +254,7 @@ def test_times_without_zone_over_a_clock_change(spark):
     try:
         df = spark.sql("select cast(s as timestamp_ntz) as t from values ('2024-03-10 01:30:00'), "
                        "('2024-03-10 02:30:00.25'), ('2024-03-10 03:30:00.25'), ('2024-03-10 04:30:00') as v(s)")
-        for small in (2, 1_000_000):
-            assert ordering.split_at_fraction(df, ["t"], small_rows=small).filter("second").count() == 2
+        assert ordering.split_at_fraction(df, ["t"]).filter("second").count() == 2
         us = [r[0] for r in df.select(ordering.instant(df, "t")).collect()]
         assert np.diff(us).tolist() == [3_600_250_000, 3_600_000_000, 3_599_750_000]
         assert us[0] == 1_710_034_200_000_000
