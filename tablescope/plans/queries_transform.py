@@ -155,9 +155,9 @@ def _(spark, sf):
                  row_number() over (partition by event_type
                      order by md5(concat(cast(event_id as varchar), '|42')), event_id) as r from events)""")
 def _(spark, sf):
-    # Few rows per hash prefix: always the way that large tables take.
+    # Short digits, so that several passes are needed.
     return sampling.stratified_split(table(spark, sf, "events").select("event_id", "event_type"),
-                                     "event_type", "event_id", rows_per_prefix=100)
+                                     "event_type", "event_id", digit_bits=2)
 
 
 @query("chronological_split", """

@@ -1,20 +1,24 @@
 """Deterministic draws: rows ranked by the MD5 of a unique key and a seed.
 
-The rank needs no global sort. Hash prefixes are counted first (partial
-aggregation, a short prefix histogram per group); rows whose prefix lies below
-the cut-off prefix are in, and only the few rows that share the cut-off prefix
-are ordered against each other.
+The rank needs no sort. The first 60 bits of the hash are a number, and the number at the cut-off rank of each
+group is found by descending digit by digit: rows are counted by their next digit, at most 2**bits counts for each group
+and pass, and only the digit that holds the cut-off is followed. It is one way for all sizes: a few passes
+over key and group, and then every row is decided where it is.
 """
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablescope.functions.schema import quoted
+from tablescope.sources.tables import materialise
 
 SEED = 42
-_ROWS_PER_PREFIX = 50_000
+HASH_BITS = 60
+DIGIT_BITS = 10
+_SALTS = 16
 
 
 def hash_key(key: str, seed: int = SEED) -> Column:
@@ -22,49 +26,65 @@ def hash_key(key: str, seed: int = SEED) -> Column:
 
 
 def flag_first_by_hash(df: DataFrame, key: str, take: Column, by: Sequence[str] = (),
-                       seed: int = SEED, flag: str = "selected",
-                       rows_per_prefix: int = _ROWS_PER_PREFIX) -> DataFrame:
+                       seed: int = SEED, flag: str = "selected", digit_bits: int = DIGIT_BITS) -> DataFrame:
     """Add a boolean column: is the row among the first `take` of its group in hash order?
 
-    `take` is an expression over `_n`, the number of rows in the group. `key` must
-    be unique. One count decides the prefix length (a driver action).
+    `take` is an expression over `_n`, the number of rows in the group. `key` must be unique. Missing
+    group keys are a group of their own. Runs Spark jobs: one for each digit that is needed.
     """
-    n = df.count()
-    width = 0
-    while n > rows_per_prefix * 16 ** width:
-        width += 1
-    group = [F.col(quoted(c)) for c in by]
-    rows = df.withColumn("_h", hash_key(key, seed))
-    rows = rows.withColumn("_p", F.substring("_h", 1, width))
-    upto = Window.partitionBy(*by, F.lit(0)).orderBy("_p")
-    whole = Window.partitionBy(*by, F.lit(0))
-    histogram = (rows.groupBy(*group, "_p").agg(F.count(F.lit(1)).alias("_c"))
-                 .withColumn("_n", F.sum("_c").over(whole))
-                 .withColumn("_before", F.sum("_c").over(upto) - F.col("_c"))
-                 .withColumn("_left", take.cast("bigint") - F.col("_before"))
-                 .withColumn("_state", F.when(F.col("_left") >= F.col("_c"), 1)
-                             .when(F.col("_left") <= 0, -1).otherwise(0)))
-    cut = histogram.groupBy(*group).agg(
-        F.coalesce(F.max(F.when(F.col("_state") == 1, F.col("_p"))), F.lit("")).alias("_last_in"),
-        F.sum((F.col("_state") == 1).cast("bigint")).alias("_n_in"),
-        F.max(F.when(F.col("_state") == 0, F.col("_p"))).alias("_edge"),
-        F.max(F.when(F.col("_state") == 0, F.col("_left"))).alias("_left"))
-    names = [F.col(quoted(c)).alias(f"_by{i}") for i, c in enumerate(by)]
-    cut = bounded_broadcast(cut.select(*names, "_last_in", "_n_in", "_edge", "_left"))
-    same = F.lit(True)
-    for i, c in enumerate(by):
-        same = same & F.col(quoted(c)).eqNullSafe(F.col(f"_by{i}"))
-    joined = rows.join(cut, same) if by else rows.crossJoin(cut)        # one row without groups
     own = [F.col(quoted(c)) for c in df.columns]
-    # Most rows are decided by their prefix alone and never move; only the rows on
-    # the cut-off prefix of their group are shuffled and ordered.
-    edge = F.coalesce(F.col("_p") == F.col("_edge"), F.lit(False))
-    decided = (F.col("_n_in") > 0) & (F.col("_p") <= F.col("_last_in"))
-    order = Window.partitionBy(*by, F.lit(0)).orderBy("_h", F.col(quoted(key)))
-    clear = joined.filter(~edge).select(*own, decided.alias(flag))
-    close = (joined.filter(edge).withColumn("_r", F.row_number().over(order))
-             .select(*own, (F.col("_r") <= F.col("_left")).alias(flag)))
-    return clear.unionByName(close)
+    rows = df.withColumn("_h", F.conv(F.substring(hash_key(key, seed), 1, HASH_BITS // 4), 16, 10).cast("bigint"))
+    names = [f"_by{i}" for i in range(len(by))]
+    plain = rows.select(*[F.col(quoted(c)).alias(n) for c, n in zip(by, names)], "_h")
+    shift, known, known_shift, settled = HASH_BITS, None, HASH_BITS, []
+    whole, upto = Window.partitionBy(*names, F.lit(0)), Window.partitionBy(*names, F.lit(0)).orderBy("_p")
+    while True:
+        shift = max(0, shift - digit_bits)
+        inside = plain if known is None else _with_state(plain, known.filter("_left < _c and _left > 0"), names) \
+            .filter(F.shiftright("_h", known_shift) == F.col("_prefix")).select(*names, "_h", F.col("_left").alias("_want"))
+        want = [] if known is None else ["_want"]
+        # at most 2 ** digit_bits rows of counts for each group
+        cells = inside.groupBy(*names, *want, F.shiftright("_h", shift).alias("_p")).agg(F.count(F.lit(1)).alias("_c"))
+        cells = cells.withColumn("_n", F.sum("_c").over(whole)).withColumn("_before", F.sum("_c").over(upto) - F.col("_c"))
+        cells = cells.withColumn("_want", F.least(take.cast("bigint"), F.col("_n")) if known is None else F.col("_want"))
+        none = F.col("_want") <= 0
+        at = (F.col("_before") < F.col("_want")) & (F.col("_want") <= F.col("_before") + F.col("_c"))
+        cut = cells.filter(at | (none & (F.col("_before") == 0))).select(
+            *names, F.when(none, -1).otherwise(F.col("_p")).alias("_prefix"), F.greatest(F.col("_want") - F.col("_before"), F.lit(0)).alias("_left"),
+            F.when(none, 0).otherwise(F.col("_c")).alias("_c"), F.lit(shift).alias("_shift"))
+        known, known_shift = materialise(cut, "cut-off-digits"), shift
+        settled.append(known.filter("_left = _c or _left = 0"))
+        if shift == 0 or known.filter("_left < _c and _left > 0").isEmpty():
+            break
+    bound = F.when(F.col("_prefix") < 0, F.lit(-1)).otherwise(F.expr("shiftleft(_prefix + 1, _shift) - 1"))
+    resolved = reduce(DataFrame.unionByName, settled).select(*names, bound.alias("_bound"), F.lit(0).cast("bigint").alias("_left"))
+    ties = known.filter("_left < _c and _left > 0")
+    state = materialise(resolved.unionByName(ties.select(*names, F.col("_prefix").alias("_bound"), "_left")), "cut-offs")
+    joined = _with_state(rows.select("*", *[F.col(quoted(c)).alias(n) for c, n in zip(by, names)]), state, names)
+    clear = (F.col("_left") == 0) | (F.col("_h") != F.col("_bound"))
+    if shift > 0 or ties.isEmpty():
+        return joined.select(*own, (F.col("_h") <= F.col("_bound")).alias(flag))
+    # rows whose first 60 bits are those of the cut-off: the whole hash and the key decide
+    order = Window.partitionBy(*names, F.lit(0)).orderBy(hash_key(key, seed), F.col(quoted(key)))
+    close = joined.filter(~clear).withColumn("_r", F.row_number().over(order))
+    return joined.filter(clear).select(*own, (F.col("_h") <= F.col("_bound")).alias(flag)) \
+        .unionByName(close.select(*own, (F.col("_r") <= F.col("_left")).alias(flag)))
+
+
+def _with_state(rows: DataFrame, state: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Rows with the state of their group: broadcast where it is small, else joined by group and salt."""
+    if not names:
+        return rows.crossJoin(bounded_broadcast(state))     # one row
+    renamed = state.select(*[F.col(n).alias(f"{n}_") for n in names], *[c for c in state.columns if c not in names])
+    same = F.lit(True)
+    for n in names:
+        same = same & F.col(n).eqNullSafe(F.col(f"{n}_"))
+    small = bounded_broadcast(renamed)
+    if small is renamed:                                    # a hot group is spread over the salts
+        rows = rows.withColumn("_salt", F.pmod("_h", F.lit(_SALTS)))
+        small = renamed.withColumn("_salt_", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(_SALTS - 1).cast("bigint"))))
+        same = same & (F.col("_salt") == F.col("_salt_"))
+    return rows.join(small, same).drop("_salt", "_salt_", *[f"{n}_" for n in names])
 
 
 def bounded_broadcast(small: DataFrame, max_rows: int = 10_000) -> DataFrame:
@@ -79,10 +99,10 @@ def bounded_broadcast(small: DataFrame, max_rows: int = 10_000) -> DataFrame:
 
 
 def deterministic_sample(df: DataFrame, n: int, key: str, seed: int = SEED,
-                         rows_per_prefix: int = _ROWS_PER_PREFIX) -> DataFrame:
+                         digit_bits: int = DIGIT_BITS) -> DataFrame:
     """Exactly min(n, rows) rows without replacement, the same on every run."""
     take = F.least(F.lit(n).cast("bigint"), F.col("_n"))
-    flagged = flag_first_by_hash(df, key, take, seed=seed, rows_per_prefix=rows_per_prefix)
+    flagged = flag_first_by_hash(df, key, take, seed=seed, digit_bits=digit_bits)
     return flagged.filter("selected").drop("selected")
 
 
@@ -92,10 +112,10 @@ def fraction_sample(df: DataFrame, fraction: float, seed: int = SEED) -> DataFra
 
 
 def stratified_split(df: DataFrame, target: str, key: str, validation: float = 0.2,
-                     seed: int = SEED, rows_per_prefix: int = _ROWS_PER_PREFIX) -> DataFrame:
+                     seed: int = SEED, digit_bits: int = DIGIT_BITS) -> DataFrame:
     """The table with a column `split`: every class gives the same share to validation."""
     take = F.floor(F.lit(validation) * F.col("_n") + 0.5)
     flagged = flag_first_by_hash(df, key, take, by=[target], seed=seed,
-                                 rows_per_prefix=rows_per_prefix)
+                                 digit_bits=digit_bits)
     return flagged.withColumn("split", F.when(F.col("selected"), "validation")
                               .otherwise("train")).drop("selected")

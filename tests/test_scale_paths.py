@@ -7,7 +7,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tablescope.operators import association, comoments, drift, duplicates, features, inference, ks, missingness, ordering, scoring
+from tablescope.operators import association, comoments, drift, duplicates, features, inference, ks, missingness, ordering, outliers, scoring
 from tablescope.operators.quantiles import quantiles, value_at_rank
 from tablescope.sources import sampling, tables
 
@@ -150,15 +150,24 @@ def test_adjacent_gaps(spark, per_bucket):
     assert ordering.weighted_median(gaps, small_rows=0) == want
 
 
-@pytest.mark.parametrize("per_prefix", [3, 50, 10**6])
-def test_sample_and_split_by_hash(spark, per_prefix):
-    df = frame(spark, k=np.arange(300), c=np.where(np.arange(300) % 3 == 0, "a", "b"))
-    want = {r.k for r in df.orderBy(sampling.hash_key("k")).limit(77).collect()}
-    got = {r.k for r in sampling.deterministic_sample(df, 77, "k", rows_per_prefix=per_prefix).collect()}
-    assert got == want
-    split = sampling.stratified_split(df, "c", "k", rows_per_prefix=per_prefix).toPandas()
-    assert split[split.split == "validation"].c.value_counts().to_dict() == {"a": 20, "b": 40}
-    assert len(split) == 300
+@pytest.mark.parametrize("digit_bits, hash_bits, groups", [(2, 60, 10_000), (10, 60, 10_000), (4, 8, 10_000), (10, 60, 0)])
+def test_sample_and_split_by_hash(spark, monkeypatch, digit_bits, hash_bits, groups):
+    monkeypatch.setattr(sampling, "HASH_BITS", hash_bits)       # 8 bits leave ties, which the whole hash settles
+    monkeypatch.setattr(sampling.bounded_broadcast, "__defaults__", (groups,))
+    df = frame(spark, k=np.arange(300), c=np.where(np.arange(300) % 3 == 0, "a", np.where(np.arange(300) == 7, None, "b")))
+    order = [r.k for r in df.orderBy(sampling.hash_key("k")).collect()]
+    if groups:
+        assert {r.k for r in sampling.deterministic_sample(df, 77, "k", digit_bits=digit_bits).collect()} == set(order[:77])
+    split = sampling.stratified_split(df, "c", "k", digit_bits=digit_bits).toPandas()
+    kind = {k: c for k, c in zip(range(300), df.toPandas().c)}
+    want = set([k for k in order if kind[k] == "a"][:20] + [k for k in order if kind[k] == "b"][:40])
+    assert set(split.k[split.split == "validation"]) == want and len(split) == 300
+
+
+def test_sample_of_nothing(spark):
+    none = spark.createDataFrame([], "k int, c string")
+    assert sampling.deterministic_sample(none, 5, "k").count() == 0 and sampling.stratified_split(none, "c", "k").count() == 0
+    assert sampling.deterministic_sample(frame(spark, k=[1, 2]), 0, "k").count() == 0
 
 
 def test_sample_larger_than_table(spark):
@@ -391,3 +400,25 @@ def test_clean_writes_nothing_where_nothing_repeats(spark, monkeypatch):
     assert written == []
     fixed, _ = c.clean(frame(spark, a=[1.0, 1.0, 3.0], y=[1.0, 1.0, 2.0]), "y")
     assert written == ["deduplicated"] and fixed.count() == 2
+
+
+def test_sample_counts_few_digits_whatever_the_rows(spark, monkeypatch):
+    seen, write = [], sampling.materialise
+    monkeypatch.setattr(sampling, "materialise", lambda df, name: seen.append(df.count()) or write(df, name))
+    df = spark.range(20_000).withColumn("g", F.col("id") % 7)
+    split = sampling.stratified_split(df, "g", "id", 0.3)
+    assert split.filter("split = 'validation'").count() == sum(int(0.3 * n + 0.5) for n in [2858] + [2857] * 6)
+    assert len(seen) <= 4 and max(seen) == 7
+
+
+@pytest.mark.parametrize("share, p, ways", [(0.45, 6, 1), (0.4, 4, 3)])
+def test_robust_scatter_with_far_rows_in_several_directions(spark, share, p, ways):
+    rng = np.random.default_rng(8)
+    n, far = 1500, int(1500 * share)
+    good = rng.normal(size=(n - far, p)) @ rng.normal(size=(p, p))
+    centres = rng.normal(size=(ways, p))
+    bad = [c / np.linalg.norm(c) * 60 + rng.normal(size=(len(k), p)) * 0.5 for c, k in zip(centres, np.array_split(np.arange(far), ways))]
+    names = [f"c{i}" for i in range(p)]
+    pdf = pd.DataFrame(np.concatenate([good, *bad]), columns=names).assign(bad=[False] * (n - far) + [True] * far)
+    rows = outliers.outlier_rows(spark.createDataFrame(pdf), contamination=None, features=names, keep=["bad"]).toPandas()
+    assert rows[rows.bad].is_outlier.all() and rows[~rows.bad].is_outlier.mean() < 0.08
