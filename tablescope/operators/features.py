@@ -17,6 +17,7 @@ from tablescope.operators.ordering import SMALL_ROWS, lagged
 from tablescope.operators.profile import (constant_flags, distinct_count, high_cardinality,
                                           target_correlations)
 from tablescope.operators.quantiles import quantiles
+from tablescope.sources.tables import materialise
 
 # The published limits of the audit.
 LOG_SKEW = 1.5
@@ -26,6 +27,7 @@ BINS = 5
 MAX_POLYNOMIAL = 10
 
 _MAX_BROADCAST_BYTES = 64 << 20
+HOT_SHARE = 1000
 
 
 def log1p_transform(df: DataFrame, names: Sequence[str] | None = None,
@@ -58,28 +60,27 @@ def one_hot(df: DataFrame, names: Sequence[str], drop_first: bool = True) -> Dat
     return df.select(out)
 
 
-def target_encode(df: DataFrame, column: str, target: str, salts: int = 16) -> DataFrame:
-    """Add `<column>_encoded`: the mean target of the row's category; a gap stays a gap.
+def target_encode(df: DataFrame, column: str, target: str) -> DataFrame:
+    """Add `<column>_encoded`: the mean target of the row's category; a gap stays a gap. Runs Spark jobs.
 
-    The category table is broadcast only after its size has been measured. A larger
-    one is joined by category and salt, so a hot category is spread over `salts` tasks.
+    The category table is written once with its counts. It is broadcast if its measured size allows. If not, only the
+    categories with more than one row in HOT_SHARE are (fewer than HOT_SHARE rows by definition); their
+    rows, and those without a category, stay where they are, and all others, of which none is hot, are joined by
+    category.
     """
-    key = value(df, column)
-    means = (df.groupBy(key.alias("_k")).agg(F.avg(num(target)).alias(f"{column}_encoded"))
-             .filter("_k is not null"))
-    size = means.agg(F.sum(F.lit(24) + F.coalesce(F.octet_length(F.col("_k").cast("string")),
-                                                  F.lit(0)))).first()[0] or 0
-    if size <= _MAX_BROADCAST_BYTES:
-        joined = df.join(F.broadcast(means), key == F.col("_k"), "left")
-    else:
-        # The salt is made of the other columns, so it is the same when a task is run again.
-        rest = [value(df, c) for c in df.columns if c != column
-                and not isinstance(df.schema[c].dataType, T.MapType)]
-        salted = df.withColumn("_salt", F.pmod(F.xxhash64(*rest), F.lit(salts)).cast("int"))
-        spread = means.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        joined = salted.join(spread.hint("merge"), (key == F.col("_k")) & (F.col("_salt") == F.col("_s")),
-                             "left").drop("_salt", "_s")
-    return joined.drop("_k")
+    key, name = value(df, column), f"{column}_encoded"
+    means = materialise(df.groupBy(key.alias("_k")).agg(F.avg(num(target)).alias(name), F.count(F.lit(1)).alias("_n")), "category-means")
+    total, size = means.agg(F.sum("_n"), F.sum(F.lit(24) + F.coalesce(F.octet_length(F.col("_k").cast("string")), F.lit(0)))).first()
+    own = [F.col(quoted(c)) for c in df.columns]
+    known = means.filter("_k is not null")
+    if (size or 0) <= _MAX_BROADCAST_BYTES:
+        return df.join(F.broadcast(known), key == F.col("_k"), "left").select(*own, name)
+    hot = F.broadcast(known.filter(F.col("_n") * HOT_SHARE > total))
+    none = df.filter(key.isNull()).select(*own, F.lit(None).cast("double").alias(name))
+    rows = df.filter(key.isNotNull())
+    busy = rows.join(hot, key == F.col("_k")).select(*own, name)
+    rest = rows.join(hot.select("_k"), key == F.col("_k"), "left_anti")
+    return none.unionByName(busy).unionByName(rest.join(known.hint("merge"), key == F.col("_k")).select(*own, name))
 
 
 def interaction(df: DataFrame, a: str, b: str) -> DataFrame:

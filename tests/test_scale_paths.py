@@ -187,11 +187,19 @@ def test_correlation_of_a_wide_table_with_gaps(spark):
             assert r["corr"] == pytest.approx(want[r.i, r.j], abs=1e-10)
 
 
-def test_target_encode_with_salted_join(spark, monkeypatch):
-    df = frame(spark, c=["a"] * 50 + ["b", "d"] + [None], y=np.arange(53.0), z=np.arange(53))
-    plain = features.target_encode(df, "c", "y").orderBy("z").collect()
+def test_target_encode_with_hot_categories(spark, monkeypatch):
+    many = [f"k{i}" for i in range(3000)]
+    df = frame(spark, c=["a"] * 4000 + many + [None] * 900, y=np.arange(7900.0), z=[1] * 4000 + [2] * 3900)    # rows of the hot key alike
+    plain = sorted(map(repr, features.target_encode(df, "c", "y").collect()))
     monkeypatch.setattr(features, "_MAX_BROADCAST_BYTES", 0)
-    assert features.target_encode(df, "c", "y").orderBy("z").collect() == plain
+    got = features.target_encode(df, "c", "y")
+    assert sorted(map(repr, got.collect())) == plain
+    # neither the hot category nor the gaps are among the rows that are shuffled
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LeftAnti") == 1 and "broadcast" in plan.lower()
+    monkeypatch.setattr(features, "HOT_SHARE", 1)
+    assert sorted(map(repr, features.target_encode(df, "c", "y").collect())) == plain
+    assert features.target_encode(spark.createDataFrame([], "c string, y double"), "c", "y").count() == 0
 
 
 @pytest.mark.parametrize("partitions", ["1", "8"])
