@@ -4,7 +4,10 @@ All sets are ordered by one global order of the n-grams, rare before frequent. T
 of similarity t or more share an n-gram within their prefixes of n - ceil(t n) + 1 members.
 Documents with the same prefix and size form one group; groups, not documents, are
 paired, and pairs of groups are filtered by size and by what is left of both sets
-after the shared n-gram. Members are expanded and verified on their whole sets.
+after the shared n-gram. Only the members of pairs that pass are expanded, and of these only the ones that
+no links so far have brought together. A pair of members is first held against the parity bits of both sets (about one bit a
+member): as many bits as differ, as many members are in one set only, at least. So no link is lost, and few
+other pairs are left to be verified on their whole sets.
 
 The order comes from a count sketch over all documents: n-grams fall into 2**18
 counters, a fixed size that is sent to every task. Any function of the n-gram is a
@@ -24,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablescope.llm import hashing
-from tablescope.llm.pairs import link_buckets
+from tablescope.llm.components import connected_components
 from tablescope.llm.storage import written
 
 WORDS = hashing.spaced_words_table()
@@ -70,17 +73,33 @@ def _frequencies(texts: DataFrame, size: int) -> np.ndarray:
     return sketch
 
 
+def _parities(s: np.ndarray) -> bytes:
+    """Whether an even or odd number of members falls into each of a power of two of cells, at least one a member."""
+    cells = 1 << max(6, (len(s) - 1).bit_length())
+    at = (hashing.mix(s) & np.uint64(cells - 1)).astype(np.int64)
+    return np.packbits(np.bincount(at, minlength=cells) & 1, bitorder="little").tobytes()
+
+
+def _apart(a: bytes, b: bytes) -> int:
+    """Two sets differ by this many members at least. The longer bits are folded until both have one length."""
+    while len(a) != len(b):
+        a, b = (a, b) if len(a) > len(b) else (b, a)
+        half = len(a) // 2
+        a = (int.from_bytes(a[:half], "little") ^ int.from_bytes(a[half:], "little")).to_bytes(half, "little")
+    return (int.from_bytes(a, "little") ^ int.from_bytes(b, "little")).bit_count()
+
+
 def grouped_prefixes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5,
                      percent: int = 80) -> DataFrame:
     """One row per document: id, n (size of its set), node (signature of the set), grp (signature of its
-    prefix and size) and the prefix itself in global order. Runs one job for the sketch."""
+    prefix and size), the prefix itself in global order, and the parity bits of the set. Runs one job for the sketch."""
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     sketch = texts.sparkSession.sparkContext.broadcast(_frequencies(texts, size))
 
     def prefixes(parts):
         for batch in parts:
             for part in hashing.sliced(batch, 1):
-                ns, nodes, groups, cut = [], [], [], []
+                ns, nodes, groups, cut, bits = [], [], [], [], []
                 for _, s in _sets(part, size):
                     n = len(s)
                     keep = n - (n * percent + 99) // 100 + 1 if n else 0
@@ -89,33 +108,67 @@ def grouped_prefixes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                     nodes.append(_signature(s))
                     groups.append(_signature(np.append(p, np.uint64(n))) if n else 0)
                     cut.append(p.view(np.int64))
+                    bits.append(_parities(s))
                 at = np.append(0, np.cumsum([len(c) for c in cut]))
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(ns, pa.int64()), pa.array(nodes, pa.int64()), pa.array(groups, pa.int64()),
                      pa.ListArray.from_arrays(pa.array(at, pa.int32()),
-                                              pa.array(np.concatenate(cut) if cut else np.zeros(0, np.int64)))],
-                    names=["id", "n", "node", "grp", "prefix"])
+                                              pa.array(np.concatenate(cut) if cut else np.zeros(0, np.int64))),
+                     pa.array(bits, pa.binary())],
+                    names=["id", "n", "node", "grp", "prefix", "bits"])
+
+    return texts.mapInArrow(prefixes, "id long, n long, node long, grp long, prefix array<long>, bits binary")
+
+
+def _near(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
+    """The pairs (src, dst) whose parity bits leave room for a link: all that link, and few others."""
+    ends = pairs.selectExpr("src as node").union(pairs.selectExpr("dst")).distinct()
+    bits = rows.select("node", F.col("n").cast("long").alias("n"), "bits").join(ends, "node", "left_semi").dropDuplicates(["node"])
+    a, b = bits.toDF("src", "an", "a"), bits.toDF("dst", "bn", "b")
+
+    def check(parts):
+        for batch in parts:
+            src, dst, an, bn, x, y = (c.to_pylist() for c in batch.columns)
+            keep = [(100 + percent) * (m + n - _apart(p, q)) >= 2 * percent * (m + n) for m, n, p, q in zip(an, bn, x, y)]
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    joined = pairs.join(a, "src").join(b, "dst").select("src", "dst", "an", "bn", "a", "b")
+    return joined.mapInArrow(check, "src long, dst long")
+
 
-    return texts.mapInArrow(prefixes, "id long, n long, node long, grp long, prefix array<long>")
+#: Cells of the bitmap of wanted sets: it follows their number up to 8 MB; beyond that more others pass, and are dropped by the join.
+MOST_WANTED_BITS = 1 << 26
+#: Nodes that a task remembers to have sent.
+REMEMBERED = 1 << 20
 
 
 def _whole_sets(docs: DataFrame, text_col: str, size: int, nodes: DataFrame) -> DataFrame:
-    """(node, set) of the wanted nodes. A fixed bitmap of their signatures spares the others the way back."""
-    bits = 1 << 20
-    wanted = np.zeros(bits, bool)
-    hit = nodes.select(F.pmod("node", F.lit(bits)).alias("b")).distinct().toArrow().to_pandas()["b"].to_numpy()
-    wanted[hit.astype(np.int64)] = True
+    """(node, members) of the wanted nodes. A bitmap of their signatures spares the others the way back; copies
+    of a set go once from a task."""
+    bits, n = 1 << 16, nodes.count()
+    while bits < MOST_WANTED_BITS and bits < 32 * n:
+        bits *= 2
+    cell = F.pmod("node", F.lit(bits))
+    words = nodes.groupBy(F.floor(cell / 64).cast("int").alias("w")).agg(
+        F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(pmod(node, {bits}), 64) as int))")).alias("b")).toArrow()
+    wanted = np.zeros(bits // 64, np.int64)
+    wanted[words.column("w").to_numpy()] = words.column("b").to_numpy()
     sent = docs.sparkSession.sparkContext.broadcast(wanted)
 
     def sets(parts):
+        gone: set[int] = set()
         for batch in parts:
             for part in hashing.sliced(batch, 1):
                 nodes, found = [], []
                 for _, s in _sets(part, size):
                     node = _signature(s)
-                    if node and sent.value[node % bits]:
+                    at = node % bits
+                    if node and node not in gone and (int(sent.value[at >> 6]) >> (at & 63)) & 1:
+                        gone.add(node)
                         nodes.append(node)
                         found.append(s.tobytes())
+                if len(gone) > REMEMBERED:
+                    gone.clear()
                 yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(found, pa.binary())],
                                                  names=["node", "members"])
 
@@ -141,34 +194,67 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.mapInArrow(check, "src long, dst long")
 
 
+def _possible(percent: int) -> str:
+    """SQL on postings a and b of one n-gram: do the sizes, and what is left of both sets after it, allow a link?"""
+    return (f"{percent} * greatest(a.n, b.n) <= 100 * least(a.n, b.n) and "
+            f"cast({percent} as long) * (a.n + b.n) <= cast({100 + percent} as long) * least(a.n - a.pos, b.n - b.pos)")
+
+
+def _group_pairs(left: DataFrame, right: DataFrame, which, percent: int) -> DataFrame:
+    """Distinct pairs (g, h) of groups, g < h, that share an n-gram of their prefixes and pass its filters."""
+    met = left.alias("a").join(right.alias("b"), (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.grp") != F.col("b.grp"))
+                               & which & F.expr(_possible(percent)))
+    return met.select(F.least("a.grp", "b.grp").alias("g"), F.greatest("a.grp", "b.grp").alias("h")).distinct()
+
+
+def _linked(docs: DataFrame, text_col: str, rows: DataFrame, size: int, percent: int) -> DataFrame:
+    """(node, component) of all nodes with a link.
+
+    Each group is first compared with one hub group of each n-gram, head with head, and its members with its head. What is
+    then still apart is paired again, as groups, and expanded to the members that lie in different components.
+    """
+    def verify(pairs: DataFrame, name: str) -> DataFrame:
+        near = written(_near(pairs, rows, percent), f"{name}-near")
+        ends = written(near.selectExpr("src as node").union(near.selectExpr("dst")).distinct(), f"{name}-ends")
+        return written(_verified(near, _whole_sets(docs, text_col, size, ends), percent), f"{name}-links")
+
+    groups = rows.where("n > 0").groupBy("grp").agg(F.min("row").alias("row"), F.min("node").alias("head"), F.max("node").alias("last"))
+    groups = written(rows.select("row", F.col("n").cast("int").alias("n"), "prefix").join(groups, "row"), "groups")
+    heads = groups.select("grp", "head")
+    members = written(rows.join(groups.where("head <> last").select("grp", "head"), "grp").select("grp", "head", "node").distinct(), "members")
+    postings = groups.select("grp", "n", F.posexplode("prefix").alias("pos", "bucket"))
+    often = postings.groupBy("bucket").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("bucket")
+    shared = written(postings.join(often, "bucket"), "shared")
+
+    hubs = shared.groupBy("bucket").agg(F.min(F.struct("pos", "grp", "n")).alias("hub")).select("bucket", "hub.*")
+    met = _group_pairs(hubs, shared, F.lit(True), percent)
+    met = met.join(heads.toDF("g", "src"), "g").join(heads.toDF("h", "dst"), "h").select("src", "dst") \
+        .union(members.where("head <> node").selectExpr("head as src", "node as dst"))
+    star = written(met.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct(), "star")
+    links = verify(star, "star")
+    parts = connected_components(links, "star")
+
+    named = written(heads.selectExpr("grp", "head as node").union(members.select("grp", "node")).distinct()
+                    .join(parts, "node", "left").select("grp", "node", F.coalesce("component", "node").alias("part")), "named")
+    spread = named.groupBy("grp").agg(F.min("part").alias("p"), F.max("part").alias("q"))
+    known = written(shared.join(spread, "grp"), "known")
+    mixed = known.groupBy("bucket").agg(F.min("p").alias("least"), F.max("q").alias("most")).where("least <> most").select("bucket")
+    rest = written(known.join(mixed, "bucket"), "rest")
+    apart = (F.col("a.grp") < F.col("b.grp")) & ~((F.col("a.p") == F.col("b.q")) & (F.col("a.q") == F.col("b.p")))
+    met = _group_pairs(rest, rest, apart, percent).union(spread.where("p <> q").select(F.col("grp").alias("g"), F.col("grp").alias("h")))
+    a, b = named.toDF("g", "src", "p"), named.toDF("h", "dst", "q")
+    more = met.join(a, "g").join(b, (met["h"] == b["h"]) & (F.col("p") != F.col("q"))) \
+        .select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
+    late = verify(written(more.join(star, ["src", "dst"], "left_anti"), "more"), "late")
+    return connected_components(links.union(late), "late") if late.take(1) else parts
+
+
 def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5,
                        percent: int = 80) -> DataFrame:
     """One row per document: id, n_shingles, component_id (least id reachable by links)."""
     rows = written(grouped_prefixes(docs, id_col, text_col, size, percent)
                    .withColumn("row", F.monotonically_increasing_id()), "prefixes")
-    groups = rows.where("n > 0").groupBy("grp").agg(
-        F.min("row").alias("row"), F.min("node").alias("node"), F.max("node").alias("last"))
-    heads = written(rows.select("row", "n", "prefix").join(groups, "row"), "groups")
-    postings = (heads.select("grp", "node", "n", F.posexplode("prefix").alias("pos", "bucket"))
-                .select("bucket", "node", F.col("n").cast("int").alias("n"), "pos", "grp"))
-    crowded = heads.where("node <> last").select("grp")
-    members = written(rows.join(crowded, "grp", "left_semi").select("grp", "node", F.col("n").cast("int").alias("n"))
-                      .distinct(), "members")
-
-    def expand(shared: DataFrame) -> DataFrame:
-        """Postings of groups become postings of their members; a crowded group is a bucket of its own as well."""
-        others = shared.join(members.select("grp", F.col("node").alias("other")), "grp").where("node <> other") \
-            .select("bucket", F.col("other").alias("node"), "n", "pos")
-        within = members.select(F.col("grp").alias("bucket"), "node", "n", F.lit(0).alias("pos"))
-        return shared.select("bucket", "node", "n", "pos").union(others).union(within)
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        ends = written(pairs.selectExpr("src as node").union(pairs.selectExpr("dst")).distinct(), "pair-ends")
-        return _verified(pairs, written(_whole_sets(docs, text_col, size, ends), "sets"), percent)
-
-    possible = (f"{percent} * greatest(a.n, b.n) <= 100 * least(a.n, b.n) and "
-                f"cast({percent} as long) * (a.n + b.n) <= cast({100 + percent} as long) * least(a.n - a.pos, b.n - b.pos)")
-    parts = link_buckets(postings, verify, possible, "ngram", first="pos", widen=expand)
+    parts = _linked(docs, text_col, rows, size, percent)
     named = rows.select("id", "n", "node").join(parts, "node", "left") \
         .withColumn("component", F.coalesce("component", "node"))
     least = named.where("n > 0").groupBy("component").agg(F.min("id").alias("least"))

@@ -16,18 +16,15 @@ from tablescope.llm.components import connected_components
 from tablescope.llm.storage import written
 
 def link_buckets(postings: DataFrame, verify: Callable[[DataFrame], DataFrame], possible: str, name: str,
-                 first: str = "node", widen: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+                 first: str = "node") -> DataFrame:
     """(node, component) of all nodes that have a link.
 
     `postings`: bucket, node (both long, no pair twice) and columns that `possible` uses: SQL on two
     postings `a` and `b` of a bucket that holds at least once for each pair that links.
     `verify`: takes pairs (src, dst), returns those that link. `first`: numeric expression, least in the hub.
-    `widen`: adds to the shared postings those of nodes for which another one stood so far.
     """
     often = postings.groupBy("bucket").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("bucket")
     shared = written(postings.join(often, "bucket"), f"{name}-shared")
-    if widen:
-        shared = written(widen(shared), f"{name}-widened")
     hubs = shared.groupBy("bucket").agg(F.min_by("node", F.expr(first)).alias("node"))
     hubs = written(shared.join(hubs, ["bucket", "node"]).dropDuplicates(["bucket"]), f"{name}-hubs")
     star = written(_candidates(hubs, shared, F.lit(True), possible), f"{name}-star")

@@ -161,6 +161,47 @@ def test_jaccard_near_copies(spark):
     assert got == brute_components(sets, 80)
 
 
+def test_jaccard_brute(spark):
+    """Chains, groups of equal prefixes whose members differ, copies, and near copies of a few hundred words."""
+    rng = np.random.default_rng(5)
+    texts = []
+    for k in range(30):
+        base = [f"w{k}_{i}" for i in range(int(rng.integers(30, 300)))]
+        for _ in range(6):
+            words = list(base)
+            for at in rng.integers(0, len(words), int(rng.integers(0, 6))):
+                words[at] = f"x{rng.integers(40)}"
+            texts += [" ".join(words)] * int(rng.integers(1, 3))
+    texts += [" ".join(["rare one two three four"] + ["often seen"] * n) for n in range(1, 40)]
+    sets = []
+    for t in texts:
+        w = t.split()
+        sets.append({tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))})
+    parent = list(range(len(texts)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(sets)):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                a, b = sorted((root(i), root(j)))
+                parent[b] = a
+    rows = jaccard_join.similar_components(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.id: (r.n_shingles, r.component_id) for r in rows} == {i: (len(sets[i]), root(i)) for i in range(len(texts))}
+
+
+def test_parities_bound_the_difference():
+    rng = np.random.default_rng(6)
+    for _ in range(300):
+        pool = np.unique(rng.integers(0, 1 << 62, int(rng.integers(2, 900))).astype(np.uint64))
+        a, b = (np.sort(rng.choice(pool, int(rng.integers(1, len(pool) + 1)), replace=False)) for _ in range(2))
+        assert jaccard_join._apart(jaccard_join._parities(a), jaccard_join._parities(b)) <= len(np.setxor1d(a, b))
+    assert jaccard_join._apart(jaccard_join._parities(pool), jaccard_join._parities(pool)) == 0
+
+
 def test_jaccard_odd(spark, odd, empty):
     rows = jaccard_join.similar_components(odd).collect()
     got = {r.id: (r.n_shingles, r.component_id) for r in rows}
