@@ -2,14 +2,15 @@
 
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablescope.functions.schema import num, quoted
 from tablescope.functions.stats import rounded
+from tablescope.operators import logistic
 from tablescope.operators.ordering import split_at_fraction
 from tablescope.sources.sampling import hash_key
+from tablescope.sources.tables import materialise
 
 # The published limits of the diagnosis.
 OVERFIT_TRAIN, OVERFIT_GAP, UNDERFIT = 0.95, 0.05, 0.75
@@ -109,34 +110,65 @@ def learning_curve(df: DataFrame, features: Sequence[str], target: str, key: str
                    fractions: Sequence[float] = CURVE_FRACTIONS, folds: int = FOLDS) -> DataFrame:
     """Mean train and validation accuracy per share of the training rows used.
 
-    Fits run one after another, each on all executors, over rows kept between fits.
+    All fits share each scan of the rows (see `logistic`). A fit whose rows show one class only is left out.
     """
     share = F.conv(F.substring(hash_key(key, 7), 1, 13), 16, 10).cast("double") / float(16 ** 13)
-    rows = assembled(df.withColumn("_fold", hash_fold(key, folds)).withColumn("_u", share),
-                     features, target, keep=["_fold", "_u"])
-    rows.persist(StorageLevel.MEMORY_AND_DISK)
-    hit = (F.col("label") == F.col("prediction")).cast("double")
-    points = []
-    try:
-        for f in fractions:
-            for fold in range(folds):
-                train = rows.filter((F.col("_fold") != fold) & (F.col("_u") < f))
-                n, classes = train.agg(F.count(F.lit(1)), F.count_distinct("label")).first()
-                if classes < 2:
-                    continue
-                scored = baseline_classifier(train, n).transform(rows)
-                ahead = F.col("_fold") == fold
-                seen = ~ahead & (F.col("_u") < f)
-                points.append((float(f), fold, n, *scored.agg(
-                    F.avg(F.when(seen, hit)), F.avg(F.when(ahead, hit))).first()))
-    finally:
-        rows.unpersist()
-    table = df.sparkSession.createDataFrame(
-        points, "fraction double, fold int, n bigint, train double, validation double")
-    return table.groupBy("fraction").agg(
-        rounded(F.avg("n"), 1).alias("mean_train_rows"),
-        rounded(F.avg("train"), 4).alias("train_accuracy"),
-        rounded(F.avg("validation"), 4).alias("validation_accuracy"))
+    number = [(i, f, fold) for i, f in enumerate(fractions) for fold in range(folds)]
+    fold_of = hash_fold(key, folds)
+    trains = F.filter(F.array(*[F.when((fold_of != fold) & (share < f), F.lit(i * folds + fold)) for i, f, fold in number]),
+                      lambda k: k.isNotNull())
+    tests = F.array(*[F.lit(i * folds) + fold_of for i in range(len(fractions))])
+    rows = materialise(logistic.prepared(df, features, target, trains, tests), "curve-rows")
+    fits = logistic.fit_many(rows, len(number), len(features))
+    of = logistic.accuracies(rows, fits, len(number), len(features))
+    share_of = F.element_at(F.array(*[F.lit(float(f)) for f in fractions]), F.expr(f"fit div {folds} + 1").cast("int"))
+    train, ahead = F.col("part") == "train", F.col("part") == "test"
+    rate = F.col("hits") / F.col("n")
+    return of.groupBy(share_of.alias("fraction")).agg(
+        rounded(F.avg(F.when(train, F.col("n"))), 1).alias("mean_train_rows"),
+        rounded(F.avg(F.when(train, rate)), 4).alias("train_accuracy"),
+        rounded(F.avg(F.when(ahead, rate)), 4).alias("validation_accuracy"))
+
+
+def expanding_blocks(df: DataFrame, order_by: Sequence[str], folds: int = FOLDS, out: str = "block") -> DataFrame:
+    """The table with its block in key order: `folds` + 1 blocks, of which the k-th ends with row floor(k n / (folds + 1))."""
+    if out in df.columns:
+        raise ValueError(f"the table has a column {out}")
+    later = [f"_later{k}" for k in range(1, folds + 1)]
+    cut = df
+    for k, name in enumerate(later, 1):
+        cut = split_at_fraction(cut, order_by, k / (folds + 1), name)
+    return cut.withColumn(out, sum((F.col(c).cast("int") for c in later), F.lit(0))).drop(*later)
+
+
+def expanding_folds(df: DataFrame, order_by: Sequence[str], target: str, folds: int = FOLDS) -> DataFrame:
+    """Fold k learns from blocks 0 to k - 1 and is judged on block k: row counts, and how often the most frequent class
+    of the training rows (ties: the least) is right ahead. Rows without a target are left out."""
+    counts = expanding_blocks(df.where(F.col(quoted(target)).isNotNull()), order_by, folds) \
+        .groupBy("block", F.col(quoted(target)).alias("label")).agg(F.count(F.lit(1)).alias("n"))
+    fold = F.explode(F.sequence(F.greatest("block", F.lit(1)), F.lit(folds))).alias("fold")
+    of = counts.select("block", "label", "n", fold).groupBy("fold", "label").agg(
+        F.coalesce(F.sum(F.when(F.col("block") < F.col("fold"), F.col("n"))), F.lit(0)).alias("t"),
+        F.coalesce(F.sum(F.when(F.col("block") == F.col("fold"), F.col("n"))), F.lit(0)).alias("v"))
+    best = of.groupBy("fold").agg(F.sum("t").alias("train_rows"), F.sum("v").alias("validation_rows"),
+                                  F.min(F.when(F.col("t") > 0, F.struct(-F.col("t"), "label", "v"))).alias("best"))
+    return best.select("fold", "train_rows", "validation_rows", F.col("best.label").alias("majority"),
+                       rounded(F.col("best.v") / F.col("validation_rows"), 4).alias("majority_accuracy"))
+
+
+def cross_validate(df: DataFrame, features: Sequence[str], target: str, order_by: Sequence[str], folds: int = FOLDS) -> DataFrame:
+    """Train and validation accuracy of the baseline model in each expanding-window fold; the fits share each scan."""
+    ahead = F.col("block")
+    trains = F.when(ahead < folds, F.sequence(ahead, F.lit(folds - 1))).otherwise(F.array().cast("array<int>"))
+    tests = F.when(ahead > 0, F.array(ahead - 1)).otherwise(F.array().cast("array<int>"))
+    rows = materialise(logistic.prepared(expanding_blocks(df, order_by, folds), features, target, trains, tests), "fold-rows")
+    of = logistic.accuracies(rows, logistic.fit_many(rows, folds, len(features)), folds, len(features))
+    train, test = F.col("part") == "train", F.col("part") == "test"
+    rate = F.col("hits") / F.col("n")
+    return of.groupBy((F.col("fit") + 1).alias("fold")).agg(
+        F.max(F.when(train, F.col("n"))).alias("train_rows"), F.max(F.when(test, F.col("n"))).alias("validation_rows"),
+        rounded(F.max(F.when(train, rate)), 4).alias("train_accuracy"),
+        rounded(F.max(F.when(test, rate)), 4).alias("validation_accuracy"))
 
 
 def chronological_split(df: DataFrame, order_by: Sequence[str], train: float = 0.8) -> DataFrame:

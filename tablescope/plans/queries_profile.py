@@ -33,6 +33,31 @@ def _(spark, sf):
     return tables.read_table(spark, path, "csv", schema=", ".join(f"{f.name} {f.dataType.simpleString()}" for f in source.schema))
 
 
+_ODD_PRICE = "case when o_orderkey % 10 = 0 then 'n/a' else cast(o_totalprice as {}) end"
+
+
+def _orders_with_bad_records(spark, sf):
+    """Orders as CSV, of which each tenth has a text for a price."""
+    odd = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", F.expr(_ODD_PRICE.format("string")).alias("o_totalprice"))
+    path = tables.write_cleaned(odd, tables.shared_path(spark, "odd-csv"))
+    return tables.read_checked(spark, path, "o_orderkey long, o_orderstatus string, o_totalprice double")
+
+
+@query("bad_records", """
+    select count(*) as n_rows, count(*) filter (where o_orderkey % 10 = 0) as bad_rows,
+           min(case when o_orderkey % 10 = 0 then concat(o_orderkey, ',', o_orderstatus, ',n/a') end) as sample,
+           true as reported from orders""")
+def _(spark, sf):
+    _, status = _orders_with_bad_records(spark, sf)
+    return status.agg(F.sum("rows").alias("n_rows"), F.sum("bad_rows").alias("bad_rows"), F.min("sample").alias("sample"),
+                      (F.count_if(F.col("status") == "bad records") > 0).alias("reported"))
+
+
+@query("good_records", "select o_orderkey, o_orderstatus, cast(o_totalprice as double) as o_totalprice from orders where o_orderkey % 10 <> 0")
+def _(spark, sf):
+    return _orders_with_bad_records(spark, sf)[0]
+
+
 @query("ingest_check", "select count(*) >= 10 as enough_rows, true as enough_columns from lineitem")
 def _(spark, sf):
     return tables.ingest_check(tables.ingest_guard(table(spark, sf, "lineitem")))

@@ -240,3 +240,30 @@ def _(spark, sf):
 @query("learning_curve")
 def _(spark, sf):
     return modeling.learning_curve(view(spark, sf, "fx_imb"), ["n_chars", "toxic"], "quality", "doc_id")
+
+
+@query("accuracy", """
+    select cast(round(avg(case when (quality > 0) = (toxic = 0) then 1.0 else 0.0 end), 4) as double) as accuracy from labels
+    where quality is not null and toxic is not null""")
+def _(spark, sf):
+    rows = table(spark, sf, "labels").dropna(subset=["quality", "toxic"])
+    return modeling.accuracy(rows.select(F.col("toxic").cast("double").alias("label"),
+                                         (F.col("quality") < 0.5).cast("double").alias("prediction")))
+
+
+@query("expanding_folds", """
+    with r as (select o_orderstatus as label, row_number() over (order by o_orderdate, o_orderkey) as i, count(*) over () as n from orders),
+    b as (select label, (select count(*) from range(1, 6) t(k) where i > floor(n * (k / 6.0))) as block from r),
+    c as (select fold, label, count(*) filter (where block < fold) as t, count(*) filter (where block = fold) as v
+          from b, range(1, 6) f(fold) where block <= fold group by 1, 2),
+    w as (select *, sum(t) over (partition by fold) as train_rows, sum(v) over (partition by fold) as validation_rows,
+                 row_number() over (partition by fold order by t desc, label) as place from c)
+    select cast(fold as integer) as fold, cast(train_rows as bigint) as train_rows, cast(validation_rows as bigint) as validation_rows,
+           label as majority, round(v / validation_rows, 4) as majority_accuracy from w where place = 1""")
+def _(spark, sf):
+    return modeling.expanding_folds(table(spark, sf, "orders"), ["o_orderdate", "o_orderkey"], "o_orderstatus")
+
+
+@query("cross_validate")
+def _(spark, sf):
+    return modeling.cross_validate(view(spark, sf, "fx_imb"), ["n_chars", "toxic"], "quality", ["doc_id"])

@@ -3,8 +3,10 @@
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablescope.functions.schema import nan_to_null, quoted
 
@@ -28,6 +30,43 @@ def read_table(spark: SparkSession, path: str, fmt: str = "parquet",
     return nan_to_null(reader.options(**options).load(path))
 
 
+#: Name of the column that holds a record which the schema does not fit.
+BAD = "_bad_record"
+
+
+def read_checked(spark: SparkSession, path: str, schema: str, fmt: str = "csv", **options) -> tuple[DataFrame, DataFrame]:
+    """(good rows, status) of CSV or JSON files: records that do not fit the schema are a result, not an error.
+
+    Status has one row a file with a record: file, rows, bad_rows, sample (the least bad record, null where none is bad)
+    and status (`ok`, `bad records`, `no good rows`). A path that cannot be listed has one row: its path, no rows, null and
+    `unreadable`; the good rows are empty then. Records are counted and kept on the executors; good rows are those
+    of the status, and each frame reads the files once. A file without a record has no row.
+    """
+    if fmt not in ("csv", "json"):
+        raise ValueError("csv and json records can be checked")
+    want = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    if BAD in want.names:
+        raise ValueError(f"{BAD} is the name of bad records")
+    reader = spark.read.format(fmt).schema(T.StructType([*want.fields, T.StructField(BAD, T.StringType())]))
+    if fmt == "csv":
+        reader = reader.option("header", True).option("enforceSchema", True)
+    try:
+        rows = reader.options(**options).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", BAD).load(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return (spark.createDataFrame([], want),
+                spark.createDataFrame([(path, 0, 0, None, "unreadable")], "file string, rows long, bad_rows long, sample string, status string"))
+    # always true, and asks for every column: a pruned reader would not see what is wrong with the others
+    rows = rows.select("*", F.col("_metadata.file_path").alias("_file")) \
+        .where(F.pmod(F.hash(*[F.col(quoted(c)) for c in want.names]), F.lit(2)) < 2)
+    counts = rows.groupBy(F.col("_file").alias("file")).agg(
+        F.count(F.lit(1)).alias("rows"), F.count_if(F.col(BAD).isNotNull()).alias("bad_rows"), F.min(BAD).alias("sample"))
+    status = F.when(F.col("bad_rows") == 0, "ok").when(F.col("bad_rows") < F.col("rows"), "bad records").otherwise("no good rows")
+    good = nan_to_null(rows.where(F.col(BAD).isNull()).select(*[F.col(quoted(c)) for c in want.names]))
+    return good, counts.select("file", "rows", "bad_rows", "sample", status.alias("status"))
+
+
 def load_tables(spark: SparkSession, folder: str, *names: str) -> dict[str, DataFrame]:
     """Parquet tables `<folder>/<name>.parquet` by name."""
     return {n: read_table(spark, f"{folder}/{n}.parquet") for n in names}
