@@ -45,9 +45,11 @@ def maximal_segments(scores: Sequence[float]) -> list[tuple[int, int, float]]:
     """(start, end, sum) of all disjoint maximal-scoring segments, end exclusive, in linear time.
 
     Each positive score opens a segment. It is put behind the nearest earlier one that begins at a lower
-    running sum, and swallows everything since then if that raises the sum.
+    running sum, and swallows everything since then if that raises the sum. Each segment knows its nearest
+    earlier one that begins lower, so those in between are passed over once and never looked at again.
     """
-    open_: list[tuple[int, int, float, float]] = []  # start, end, running sum before, running sum behind
+    # start, end, running sum before, running sum behind, place of the nearest that begins lower
+    open_: list[tuple[int, int, float, float, int]] = []
     total = 0.0
     for i, s in enumerate(scores):
         if s <= 0:
@@ -58,13 +60,13 @@ def maximal_segments(scores: Sequence[float]) -> list[tuple[int, int, float]]:
         while True:
             k = len(open_) - 1
             while k >= 0 and open_[k][2] >= before:
-                k -= 1
+                k = open_[k][4]
             if k < 0 or open_[k][3] >= total:
-                open_.append((start, i + 1, before, total))
+                open_.append((start, i + 1, before, total, k))
                 break
             start, before = open_[k][0], open_[k][2]
             del open_[k:]
-    return [(a, b, r - l) for a, b, l, r in open_]
+    return [(a, b, r - l) for a, b, l, r, _ in open_]
 
 
 @dataclass
