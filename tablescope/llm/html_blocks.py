@@ -41,8 +41,8 @@ ARTICLE_NAMES = frozenset("article main post entry story content articlebody".sp
 OTHER_NAMES = frozenset("""nav header footer aside form menu sidebar ad ads advert advertisement banner cookie consent notice
 comment comments reply breadcrumb breadcrumbs share social related newsletter subscribe promo sponsor popup modal login
 search navigation complementary contentinfo disclaimer widget pager pagination toolbar button""".split())
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-                    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)", re.S)
+_STOP = re.compile("[>\"']")
 _NAMES = re.compile(r"""(?:class|id|role|itemprop)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 _PART = re.compile(r"[a-z]+")
 
@@ -53,11 +53,26 @@ class Block:
     text: str
 
 
+def _tag_end(page: str, at: int, last: dict[str, int]) -> tuple[int, int]:
+    """(end of the attributes, end of the tag) from behind its name. `last` holds the last place of each quotation mark;
+    one that is not closed ends, with the tag, at the next `>`. No character is looked at twice."""
+    while found := _STOP.search(page, at):
+        mark, here = found.group(), found.start()
+        if mark == ">":
+            return here, here + 1
+        if last[mark] <= here:
+            stop = page.find(">", here)
+            return (stop, stop + 1) if stop >= 0 else (len(page), len(page))
+        at = page.find(mark, here + 1) + 1
+    return len(page), len(page)
+
+
 def blocks_of(page: str | None) -> Iterator[Block]:
     """The text blocks of a page in order, white space made single and trimmed."""
     open_: list[tuple[str, tuple[str, ...]]] = []
     buffer: list[str] = []
     page, at = page or "", 0
+    last, head_ends = {q: page.rfind(q) for q in "\"'"}, True
 
     def closed() -> Iterator[Block]:
         text = " ".join("".join(buffer).split())
@@ -72,10 +87,12 @@ def blocks_of(page: str | None) -> Iterator[Block]:
             buffer.append(entities.unescape(page[at:end]))
         if not found:
             break
-        at = max(found.end(), end + 1)
         name = (found.group(2) or "").lower()
         if not name:
+            at = found.end()
             continue
+        said_to, at = _tag_end(page, found.end(), last)
+        said = page[found.end():said_to]
         if name == "br":
             buffer.append("\n")
         if found.group(1):
@@ -92,17 +109,18 @@ def blocks_of(page: str | None) -> Iterator[Block]:
         elif name in BLOCKS and any(n == "p" for n, _ in open_):  # a paragraph ends, with what is open in it
             del open_[max(i for i, (n, _) in enumerate(open_) if n == "p"):]
         if name in RAW:
-            if name != "head" and not found.group(3).rstrip().endswith("/"):
+            if name != "head" and not said.rstrip().endswith("/"):
                 stop = re.compile(rf"</{re.escape(name)}\b[^>]*(?:>|\Z)", re.I).search(page, at)
                 at = stop.end() if stop else len(page)
-            elif name == "head":
+            elif name == "head" and head_ends:
                 stop = re.compile(r"</head\b[^>]*>|<body\b", re.I).search(page, at)
+                head_ends = stop is not None
                 at = at if not stop else stop.start() if stop.group().lower().startswith("<body") else stop.end()
             continue
-        if name in EMPTY or found.group(3).rstrip().endswith("/") and name not in BLOCKS:
+        if name in EMPTY or said.rstrip().endswith("/") and name not in BLOCKS:
             continue
-        said = " ".join(_NAMES.findall(found.group(3))).lower()
-        open_.append((name, (name, *dict.fromkeys(_PART.findall(said)))))
+        names = " ".join(_NAMES.findall(said)).lower()
+        open_.append((name, (name, *dict.fromkeys(_PART.findall(names)))))
     yield from closed()
 
 
