@@ -4,6 +4,7 @@ import inspect
 import random
 import re
 import string
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -250,6 +251,25 @@ def test_html(spark):
     assert html_blocks.extract(odd.limit(0), html_blocks.train(odd.limit(0))).count() == 0
 
 
+@pytest.mark.parametrize("page, want", [
+    ('<p title="x>two</p>', ["two"]), ("<p>one</p><p title='x", ["one"]), ('<p class="a>b">three</p>', ["three"]),
+    ('<p a="1" b=\'2>"\'>four</p>', ["four"]), ("<p>1 < 2 <3</p>", ["1 < 2 <3"]), ("<p>a<", ["a<"]), ("<b", []),
+    ("<head><title>t</title><p>five</p>", ["five"]), ("<!-- <p>no --><p>six", ["six"])])
+def test_tags_that_are_not_closed(page, want):
+    assert [b.text for b in html_blocks.blocks_of(page)] == want
+
+
+def test_broken_markup_takes_linear_time():
+    def seconds(page):
+        start = time.process_time()
+        list(html_blocks.blocks_of(page))
+        return time.process_time() - start
+
+    assert seconds("<b " * 200_000 + '"') < 5
+    assert seconds("<b x='" * 200_000) < 5
+    assert seconds("<i '>a" * 50_001 + "<head>" * 50_000) < 20
+
+
 def test_labeller_gradient():
     rng = np.random.default_rng(0)
     net = html_blocks.Labeller(5, 3)
@@ -337,6 +357,35 @@ def test_segments_brute():
         assert {i for i, x in enumerate(s) if x > 0} <= {i for a, b in spans for i in range(a, b)}
 
 
+def test_segments_linear():
+    """Falling peaks keep every segment open; each new one must not walk back over all of them."""
+    scores = [x for i in range(200_000) for x in (1.0, -1.5 - i % 3)]
+    start = time.process_time()
+    assert len(toxicity.maximal_segments(scores)) == 200_000
+    assert time.process_time() - start < 5
+
+
+def test_windows_of_repeated_words():
+    start = time.process_time()
+    for period in (1, 7):
+        h = hashing.mix(np.arange(200_000, dtype=np.uint64) % np.uint64(period))
+        assert len(compact_windows.compact_windows(h, 50)) > 190_000 // period
+    assert time.process_time() - start < 20
+    rng = np.random.default_rng(8)
+    for _ in range(50):
+        h = rng.integers(0, 6, 40).astype(np.uint64)
+        want = set()
+        for c in range(40):     # as far as no earlier one is as low and no later one lower
+            l, r = c, c
+            while l > 0 and h[l - 1] > h[c]:
+                l -= 1
+            while r < 39 and h[r + 1] >= h[c]:
+                r += 1
+            if r - l + 1 >= 5:
+                want.add((l, c, r))
+        assert set(compact_windows.compact_windows(h, 5)) == want
+
+
 def test_toxicity(spark, odd, empty):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
