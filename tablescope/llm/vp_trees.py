@@ -37,7 +37,7 @@ def valid_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embe
 def build_index(vectors: DataFrame, shard_rows: int = 1024, leaf: int = 64) -> DataFrame:
     """One row per shard: dim, reach (greatest length of all vectors), ids, points and the nodes of the tree.
 
-    Rows are dealt to shards by a hash of the id; a shard holds about `shard_rows`. Runs one job.
+    Rows are dealt to shards by a hash of the id and the vector; a shard holds about `shard_rows`. Runs one job.
     """
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
     total = vectors.agg(F.count(F.lit(1)).alias("n"), F.max(norm).alias("reach")).first()
@@ -52,7 +52,7 @@ def build_index(vectors: DataFrame, shard_rows: int = 1024, leaf: int = 64) -> D
                              "ids": [frame["id"].to_numpy(np.int64)[order].tobytes()],
                              "points": [points[order].tobytes()], "nodes": [nodes.tobytes()]})
 
-    dealt = vectors.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards))).withColumn("dim", F.size("v"))
+    dealt = vectors.withColumn("shard", F.pmod(F.xxhash64("id", "v"), F.lit(shards))).withColumn("dim", F.size("v"))
     return dealt.groupBy("shard", "dim").applyInPandas(
         build, "dim int, reach double, ids binary, points binary, nodes binary")
 
@@ -156,8 +156,6 @@ class _Search:
 
     def _keep(self, hits: np.ndarray) -> None:
         hits = hits[np.lexsort((hits["id"], -hits["score"], hits["q"]))]
-        again = np.append(False, (hits["q"][1:] == hits["q"][:-1]) & (hits["id"][1:] == hits["id"][:-1])) if len(hits) else np.zeros(0, bool)
-        hits = hits[~again]
         begin = np.searchsorted(hits["q"], hits["q"], side="left")
         self.hits = hits[np.arange(len(hits)) - begin < self.k]
 

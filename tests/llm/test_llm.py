@@ -299,6 +299,22 @@ def test_vp_odd(spark):
     assert 400 not in got and vp_trees.nearest(df.limit(0), "id % 20 = 0").count() == 0
 
 
+def test_vp_repeated_ids(spark):
+    """Every vector under an id counts; equal rows count once; an id is no neighbour of itself."""
+    rng = np.random.default_rng(11)
+    rows = [(i, rng.integers(-4, 5, 3).astype(float).tolist()) for i in range(60)]
+    rows += [(i, rng.integers(-4, 5, 3).astype(float).tolist()) for i in (0, 7, 7, 9, 20, 33)] + rows[5:9]
+    rows = [r for r in rows if any(r[1])]
+    got = defaultdict(list)
+    for r in sorted(vp_trees.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "id % 20 = 0").collect(),
+                    key=lambda r: (r.query_id, r.rank)):
+        got[r.query_id].append((r.vec_id, r.score))
+    each = sorted({(i, tuple(v)) for i, v in rows})
+    for q in (0, 20, 40):
+        pairs = [(i, float(np.dot(x, v))) for n, x in each if n == q for i, v in each if i != q]
+        assert got[q] == sorted(pairs, key=lambda p: (-p[1], p[0]))[:20]
+
+
 def test_vp_relaxed_recall(spark):
     e = spark.read.parquet(f"{FOLDER}/embeddings.parquet")
     pairs = lambda f: {(r.query_id, r.vec_id) for r in vp_trees.nearest(e, "id % 20 = 0", factor=f).collect()}
