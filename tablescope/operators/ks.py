@@ -1,4 +1,4 @@
-"""The Kolmogorov-Smirnov statistic by branch and bound: exact, without sorting or shuffling a value.
+"""The Kolmogorov-Smirnov statistic by branch and bound: exact, and no value reaches the driver.
 
 The largest gap of two cumulative distributions is searched in cells of the value range. A pass over the
 table counts both sides in every open cell. The gap at the end of a cell is then exact, and inside it the gap cannot
@@ -7,23 +7,28 @@ gap so far, and that hold more than one value, are cut further and counted again
 first. Cells in which both sides hold the same values in the same proportion are closed as well: their gap does not move.
 That is told from sums of 64-bit hashes, which agree by chance with odds of 2**-64.
 
-Cells are cut evenly in the order of the bits of a double, so that a few passes reach single values in any range. What
-reaches the driver are counts of at most LIVE cells of each feature and pass.
+Cells are cut evenly in the order of the bits of a double, so that a few passes reach small cells in any range. What
+reaches the driver are counts of at most LIVE cells of each feature and pass, in at most PASSES passes. Cells still open then
+(of nearly equal samples most are) are settled by Spark: their distinct values are grouped, and running sums inside each
+cell give the gap at every value. Only the largest gap of each feature comes back.
 """
 
 from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablescope.functions.schema import num
 from tablescope.functions.workers import ship
 
 FIRST_CELLS = 256
-LIVE = 1 << 18
+LIVE = 1 << 13
+PASSES, MAX_PASSES = 2, 12
+HELD = 1 << 18
 _CELLS = "i int, cell int, n1 bigint, n2 bigint, h1 bigint, h2 bigint, low bigint, high bigint"
+_VALUES = "i int, cell int, k bigint, n1 bigint, n2 bigint"
 
 
 def ordered_bits(v: np.ndarray) -> np.ndarray:
@@ -92,6 +97,63 @@ def _count(wide: DataFrame, cells: dict[int, tuple[np.ndarray, np.ndarray]]) ->
     return {i: {c: part[c].to_numpy() for c in ("cell", "n1", "n2", "h1", "h2", "low", "high")} for i, part in counts.groupby("i")}
 
 
+def _settle(wide: DataFrame, searches: dict[int, "_Search"]) -> None:
+    """The best gap of each search over all values of its open cells, whose running sums start at the counts before them."""
+    features = sorted(searches)
+    cells, before = {}, []
+    for i in features:
+        order = np.argsort(searches[i].open[1])
+        low, high, c1, c2 = (c[order] for c in searches[i].open[1:5])
+        cells[i] = low, high
+        before += [(i, c, *x) for c, x in enumerate(zip(c1.tolist(), c2.tolist()))]
+    known = wide.sparkSession.sparkContext.broadcast(cells)
+
+    def values(parts):
+        held, size = {i: [] for i in features}, 0
+        for batch in parts:
+            later = batch.column(0).to_numpy(zero_copy_only=False)
+            for at, i in enumerate(features):
+                v = batch.column(at + 1).to_numpy(zero_copy_only=False)
+                there = ~np.isnan(v)
+                keys, (low, high) = ordered_bits(v[there]), known.value[i]
+                cell = np.searchsorted(low, keys, side="right") - 1
+                inside = (cell >= 0) & (keys <= high[cell])
+                held[i].append((keys[inside], later[there][inside]))
+                size += int(inside.sum())
+            if size > HELD:
+                yield from grouped(held)
+                held, size = {i: [] for i in features}, 0
+        yield from grouped(held)
+
+    def grouped(held):
+        """One row for each different value."""
+        for i, found in held.items():
+            keys, later = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 2
+            k, of = np.unique(keys, return_inverse=True)
+            n2 = np.bincount(of[later == 1], minlength=len(k))
+            n1 = np.bincount(of, minlength=len(k)) - n2
+            cell = np.searchsorted(known.value[i][0], k, side="right") - 1
+            yield pa.record_batch([pa.array(np.full(len(k), i, np.int32)), pa.array(cell.astype(np.int32)), pa.array(k), pa.array(n1), pa.array(n2)],
+                                  names=["i", "cell", "k", "n1", "n2"])
+
+    rows = wide.select("later", *[f"v{i}" for i in features]).mapInArrow(values, _VALUES)
+    # one exchange by cell serves the sums of equal values and the running sums
+    rows = rows.repartition("i", "cell").groupBy("i", "cell", "k").agg(F.sum("n1").alias("n1"), F.sum("n2").alias("n2"))
+    up_to = Window.partitionBy("i", "cell").orderBy("k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    spark = wide.sparkSession
+    starts = F.broadcast(spark.createDataFrame(before, "i int, cell int, c1 bigint, c2 bigint"))
+    sizes = F.broadcast(spark.createDataFrame([(i, searches[i].n1, searches[i].n2) for i in features], "i int, all1 bigint, all2 bigint"))
+    rows = rows.select("i", "cell", F.sum("n1").over(up_to).alias("r1"), F.sum("n2").over(up_to).alias("r2")) \
+        .join(starts, ["i", "cell"]).join(sizes, "i").withColumn("e1", F.col("c1") + F.col("r1")).withColumn("e2", F.col("c2") + F.col("r2"))
+    # gaps are exact: products of two counts have at most 38 digits
+    whole = "bigint" if all(s.whole is np.int64 for s in searches.values()) else "decimal(19,0)"
+    gap = F.abs(F.col("e1").cast(whole) * F.col("all2").cast(whole) - F.col("e2").cast(whole) * F.col("all1").cast(whole))
+    ks = F.abs(F.col("e1").cast("double") / F.col("all1") - F.col("e2").cast("double") / F.col("all2"))
+    for r in rows.groupBy("i").agg(F.max(F.struct(gap.alias("gap"), ks.alias("ks"))).alias("top")).collect():
+        searches[r.i].better(int(r.top.gap), r.top.ks)
+    known.destroy()
+
+
 class _Search:
     """The open cells of one feature (bound, least and greatest value, counts before and inside) and the best gap, in whole numbers."""
 
@@ -113,9 +175,8 @@ class _Search:
         b1, b2 = before
         e1, e2 = b1 + n1, b2 + n2
         gap = np.abs(e1 * self.n2 - e2 * self.n1)
-        if (top := gap.max()) >= self.best:
-            ks = np.abs(e1.astype(float) / self.n1 - e2.astype(float) / self.n2)[gap == top].max()
-            self.best, self.ks = top, max(ks, self.ks if top == self.best else 0.0)
+        top = gap.max()
+        self.better(top, np.abs(e1.astype(float) / self.n1 - e2.astype(float) / self.n2)[gap == top].max())
         bound = np.maximum(np.abs(e1 * self.n2 - b2 * self.n1), np.abs(b1 * self.n2 - e2 * self.n1))
         of_one, of_two = np.uint64(self.n1 % (1 << 64)), np.uint64(self.n2 % (1 << 64))
         several = (rows["low"] < rows["high"]) & (rows["h1"] * of_two != rows["h2"] * of_one)
@@ -123,6 +184,14 @@ class _Search:
         cells = [np.concatenate([a, b]) for a, b in zip(self.open, fresh)]
         self.open = [c[(cells[0] > self.best).astype(bool)] for c in cells]
 
+    def better(self, gap: int, ks: float) -> None:
+        if gap >= self.best:
+            self.best, self.ks = gap, max(ks, self.ks if gap == self.best else 0.0)
+
+    def small(self) -> bool:
+        """Whether no open cell holds more than its share of the rows, so that one task can go through it."""
+        return not len(self.open[0]) or int(self.open[5].max()) <= max(2 * (self.n1 + self.n2) // FIRST_CELLS, HELD)
+
     def cut(self) -> tuple[np.ndarray, np.ndarray, tuple] | None:
         """Edges of the next cells, which of them are counted, and (where runs begin, counts before)."""
         if not len(self.open[0]):
@@ -153,7 +222,7 @@ def ks_statistic(df: DataFrame, names: Sequence[str], second: Column, first_cell
 
     Exact over all values; NULL and NaN are no values, and rows without a side do not count. A feature without any value
     is left out, one without values on a side has no `ks`. Runs Spark jobs: one for rough quantiles, from which the first
-    `first_cells` cells are made, and a few that count cells.
+    `first_cells` cells are made, a few that count cells, and one for the values of those that stay open.
     """
     ship(df.sparkSession)
     wide = df.select(second.cast("int").alias("later"), *[num(c).alias(f"v{i}") for i, c in enumerate(names)]).filter("later is not null")
@@ -168,14 +237,18 @@ def ks_statistic(df: DataFrame, names: Sequence[str], second: Column, first_cell
             searches[i] = _Search(n1, n2)
             edges = np.unique(ordered_bits(np.array(rough)))
             cells[i], starts[i] = (edges, np.ones(len(edges), bool)), tuple(np.zeros(1, np.int64) for _ in range(3))
+    passes = 0
     while cells:
         rows = _count(wide, cells)
+        passes += 1
+        for i in cells:
+            searches[i].take(rows[i], *starts[i])
         cells = {}
         for i, s in searches.items():
-            if i in rows:
-                s.take(rows[i], *starts[i])
-            if (more := s.cut()) is not None:
+            if passes < (PASSES if s.small() else MAX_PASSES) and (more := s.cut()) is not None:
                 cells[i], starts[i] = more[:2], more[2]
+    if left := {i: s for i, s in searches.items() if len(s.open[0])}:
+        _settle(wide, left)
     out = [(i, c, *counted[i], float(searches[i].ks) if i in searches else None) for i, c in enumerate(names) if any(counted[i])]
     return df.sparkSession.createDataFrame(out, "ordinal int, feature string, n_first bigint, n_second bigint, ks double")
 

@@ -87,6 +87,28 @@ def test_ks_counts_few_cells_of_many_values(spark, monkeypatch):
     assert sum(live) < 20_000 and len(live) < 6
 
 
+def test_ks_of_nearly_equal_samples_sends_few_counts_to_the_driver(spark, monkeypatch):
+    live, count = [], ks._count
+    monkeypatch.setattr(ks, "_count", lambda wide, cells: live.append(sum(len(e) for e, _ in cells.values())) or count(wide, cells))
+    a = np.arange(300_000) * 1.0
+    b = a[np.arange(len(a)) % 10 != 0]
+    for x, y in ((a, b), (b, a)):
+        assert ks.ks_statistic(sides(spark, x, y), ["v"], F.col("side"), first_cells=3).first().ks == brute_ks(x, y)
+    assert len(live) <= 4 and sum(live) < 30_000
+
+
+@pytest.mark.parametrize("product", [1 << 61, 1])
+def test_ks_settles_open_cells_of_any_size(spark, monkeypatch, product):
+    for name in ("PASSES", "MAX_PASSES"):
+        monkeypatch.setattr(ks, name, 1)
+    if product == 1:                                        # as for counts whose product passes 64 bits
+        init = ks._Search.__init__
+        monkeypatch.setattr(ks._Search, "__init__", lambda s, *n: (init(s, *n), setattr(s, "whole", object), s.open.__setitem__(0, s.open[0].astype(object)))[0])
+    a, b = np.round(RNG.normal(0, 3, 3000), 1), np.concatenate([np.round(RNG.normal(0.1, 3, 2000), 1), np.full(300, 0.5)])
+    for x, y in ((a, b), (RNG.normal(size=900), RNG.normal(size=700))):
+        assert ks.ks_statistic(sides(spark, x, y), ["v"], F.col("side"), first_cells=2).first().ks == brute_ks(x + 0.0, y + 0.0)
+
+
 def test_ks_without_values_on_a_side(spark):
     df = spark.createDataFrame([(1.0, None, None), (2.0, None, None), (None, 3.0, None)], "a double, b double, c double")
     got = {r.feature: r for r in ks.ks_statistic(df, ["a", "b", "c"], F.col("a").isNull()).collect()}
