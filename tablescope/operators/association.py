@@ -1,10 +1,10 @@
 """Correlation, redundancy, variance inflation, leakage and mutual information."""
 
 from collections.abc import Sequence
-from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +12,7 @@ from tablescope.functions.schema import is_numeric, num, numeric_columns
 from tablescope.functions.stats import (EPS, corr_of_parts, corr_parts, correlation_label, label, rounded,
                                         vif_label)
 from tablescope.functions.wide import long_form, per_column
+from tablescope.functions.workers import ship
 from tablescope.operators.comoments import comoments, correlation_of
 from tablescope.operators.quantiles import quantiles
 from tablescope.sources.sampling import deterministic_sample
@@ -163,16 +164,25 @@ def _mutual_information(df: DataFrame, target: str, bins: int) -> DataFrame:
     usable = [c for c in names if c not in gaps or medians[c][0] is not None]
     edges = quantiles(rows, [*usable, target], cuts, columns={c: filled[c] for c in usable})
 
-    def bin_of(c: Column, at: list[float]) -> Column:
-        """Number of edges below the value: bins are closed on the right."""
-        return reduce(lambda a, b: a + b, [(c > F.lit(float(e))).cast("int") for e in sorted(set(at))])
     if not usable or edges[target][0] is None:
         return df.sparkSession.createDataFrame([], "feature string, mi double")
-    binned = rows.select(
-        bin_of(num(target), edges[target]).alias("y"),
-        F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), bin_of(filled[c], edges[c]).alias("x"))
-                           for c in usable])))
-    cells = binned.groupBy("feature", "x", "y").agg(F.count(F.lit(1)).alias("c"))
+    ship(df.sparkSession)
+    inner = [np.unique(edges[c]) for c in [target, *usable]]
+
+    def count(parts):
+        """How often the bins meet: the number of edges below a value, so bins are closed on the right."""
+        found = [np.zeros((len(e) + 1, len(inner[0]) + 1), np.int64) for e in inner[1:]]
+        for batch in parts:
+            y, *xs = (np.searchsorted(e, batch.column(k).to_numpy(zero_copy_only=False)) for k, e in enumerate(inner))
+            for c, x in zip(found, xs):
+                c += np.bincount(x * c.shape[1] + y, minlength=c.size).reshape(c.shape)
+        for c, n in zip(usable, found):
+            x, y = np.nonzero(n)
+            yield pa.record_batch([pa.array([c] * len(x), pa.string()), pa.array(x.astype(np.int32)), pa.array(y.astype(np.int32)), pa.array(n[x, y])],
+                                  names=["feature", "x", "y", "c"])
+
+    binned = rows.select(num(target).alias("y"), *[filled[c].alias(f"x{k}") for k, c in enumerate(usable)])
+    cells = binned.mapInArrow(count, "feature string, x int, y int, c bigint").groupBy("feature", "x", "y").agg(F.sum("c").alias("c"))
     # From here on at most bins * bins rows per feature.
     by_x, by_y = Window.partitionBy("feature", "x"), Window.partitionBy("feature", "y")
     total = Window.partitionBy("feature")

@@ -9,13 +9,17 @@ shuffles a bounded number of bucket counts.
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablescope.functions.schema import num
+from tablescope.functions.workers import ship
 
 SMALL_ROWS = 1_000_000      # up to here one aggregation may hold the values
 _BUCKETS = 1024
+_WIDTH = _BUCKETS + 3       # with both ends of a run, and what lies before it
 _SKETCH_ERROR = 1e-4
 
 
@@ -125,7 +129,7 @@ def _bracket_counts(wide: DataFrame, brackets) -> dict:
     """Per bracket: the number of values below it, and (count, min, max) per bucket inside.
 
     Overlapping brackets of a column are counted as one, so a row gives one count
-    per column however many ranks are wanted.
+    per column however many ranks are wanted. Tasks count whole batches and pass on their buckets.
     """
     runs: dict[int, list[list[float]]] = {}
     for i, (lo, hi) in sorted(brackets):
@@ -134,37 +138,67 @@ def _bracket_counts(wide: DataFrame, brackets) -> dict:
             mine[-1][1] = max(mine[-1][1], hi)
         else:
             mine.append([lo, hi])
-    weight = F.col("w") if "w" in wide.columns else F.lit(1).cast("bigint").alias("w")
-    items = []
-    for i, mine in runs.items():
-        v = F.col(f"q{i}")
-        slot = None                                         # 2j below run j, 2j + 1 inside it
-        for j, (lo, hi) in enumerate(mine):
-            lo, hi = F.lit(float(lo)), F.lit(float(hi))
-            inside = F.struct(F.lit(2 * j + 1).alias("s"), lo.alias("lo"), hi.alias("hi"))
-            below = F.struct(F.lit(2 * j).alias("s"), lo.alias("lo"), hi.alias("hi"))
-            slot = (F.when if slot is None else slot.when)(v < lo, below).when(v <= hi, inside)
-        items.append(F.struct(F.lit(i).alias("i"), v.alias("v"), slot.alias("t")))
-    v, lo, hi = F.col("v"), F.col("t.lo"), F.col("t.hi")
-    position = (v / 2 - lo / 2) / (hi / 2 - lo / 2)
-    bucket = (F.when(F.col("t.s") % 2 == 0, -1).when(v == lo, 0).when(v == hi, _BUCKETS + 1)
-              .otherwise(1 + F.least(F.floor(position * _BUCKETS), F.lit(_BUCKETS - 1))))
+    ship(wide.sparkSession)
+    edges = {i: np.array(mine, np.float64).T for i, mine in runs.items()}
+    weighted = "w" in wide.columns
+
+    def count(parts):
+        held = {i: _Buckets(*e) for i, e in edges.items()}
+        for batch in parts:
+            w = batch.column(len(held)).to_numpy(zero_copy_only=False) if weighted else None
+            for k, found in enumerate(held.values()):
+                found.add(batch.column(k).to_numpy(zero_copy_only=False), w)
+        for i, found in held.items():
+            some = np.flatnonzero(found.c)
+            yield pa.record_batch([pa.array(np.full(len(some), i, np.int32)), pa.array((some // _WIDTH).astype(np.int32)),
+                                   pa.array((some % _WIDTH - 1).astype(np.int32)), *(pa.array(x[some]) for x in (found.c, found.low, found.high))],
+                                  names=["i", "run", "bucket", "c", "a", "z"])
+
+    rows = wide.select(*[F.col(f"q{i}").cast("double") for i in edges], *(["w"] if weighted else []))
     counted: dict[int, list] = {}
-    for at in range(0, len(items), 10):
-        long = wide.select(weight, F.inline(F.array(*items[at:at + 10]))).filter("t is not null")
-        for r in (long.groupBy("i", F.col("t.s").alias("s"), bucket.cast("int").alias("bucket"))
-                  .agg(F.sum("w").alias("c"), F.min("v").alias("a"), F.max("v").alias("z"))
-                  .collect()):                              # at most _BUCKETS + 3 rows per run
-            counted.setdefault(r.i, []).append(r)
+    for r in (rows.mapInArrow(count, "i int, run int, bucket int, c bigint, a double, z double").groupBy("i", "run", "bucket")
+              .agg(F.sum("c").alias("c"), F.min("a").alias("a"), F.max("z").alias("z")).collect()):     # at most _WIDTH rows per run
+        counted.setdefault(r.i, []).append(r)
     out = {}
     for i, (lo, hi) in brackets:
         j = next(j for j, run in enumerate(runs[i]) if run[0] <= lo and hi <= run[1])
-        rows = sorted(counted.get(i, []), key=lambda r: (r.s, r.bucket))
-        out[i, (lo, hi)] = (sum(r.c for r in rows if r.s <= 2 * j),
-                            [(r.c, r.a, r.z) for r in rows if r.s == 2 * j + 1])
+        rows = sorted(counted.get(i, []), key=lambda r: (r.run, r.bucket))
+        out[i, (lo, hi)] = (sum(r.c for r in rows if r.run < j or (r.run == j and r.bucket == -1)),
+                            [(r.c, r.a, r.z) for r in rows if r.run == j and r.bucket >= 0])
     return out
 
 
+class _Buckets:
+    """Count and extremes of each bucket of a column's runs: what lies between the run before and a run is its bucket -1."""
+
+    def __init__(self, lo: np.ndarray, hi: np.ndarray):
+        self.lo, self.hi = lo, hi
+        size = len(lo) * _WIDTH
+        self.c, self.low, self.high = np.zeros(size, np.int64), np.full(size, np.inf), np.full(size, -np.inf)
+
+    def add(self, v: np.ndarray, w: np.ndarray | None) -> None:
+        there = ~np.isnan(v)
+        v, w = v[there], None if w is None else w[there]
+        run = np.searchsorted(self.lo, v, side="right") - 1
+        inside = (run >= 0) & (v <= self.hi[run])
+        at = (run + 1) * _WIDTH                             # before the next run, which the last one does not have
+        x, of = v[inside], run[inside]
+        lo, hi = self.lo[of], self.hi[of]
+        with np.errstate(all="ignore"):
+            position = np.nan_to_num((x / 2 - lo / 2) / (hi / 2 - lo / 2), nan=0.0)
+        bucket = 1 + np.minimum(np.floor(position * _BUCKETS), _BUCKETS - 1).astype(np.int64)
+        bucket[x == hi] = _BUCKETS + 1
+        bucket[x == lo] = 0
+        at[inside] = mine = of * _WIDTH + 1 + bucket
+        counts = at < len(self.c)
+        if w is None:
+            self.c += np.bincount(at[counts], minlength=len(self.c))
+        else:
+            np.add.at(self.c, at[counts], w[counts])
+        np.minimum.at(self.low, mine, x)
+        np.maximum.at(self.high, mine, x)
+
+
 def value_at_rank(df: DataFrame, c: Column, rank: int, weight: Column | None = None) -> float:
     """The value at 0-based `rank` of a numeric expression without nulls.
 

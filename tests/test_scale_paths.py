@@ -43,6 +43,27 @@ def test_value_at_rank_with_weights(spark):
     assert [value_at_rank(df, F.col("x"), r, F.col("w")) for r in (0, 1, 4, 5, 9)] == [1, 2, 2, 3, 3]
 
 
+def test_quantile_passes_hand_on_buckets_not_rows(spark):
+    x = np.concatenate([RNG.normal(size=30_000), np.full(9_000, 0.25), [np.inf, -np.inf, -0.0, np.nan]])
+    wide = frame(spark, q0=x, w=RNG.integers(1, 4, len(x))).repartition(3)
+    plan = []
+    original = type(wide).mapInArrow
+    type(wide).mapInArrow = lambda df, *a, **k: plan.append(1) or original(df, *a, **k)
+    try:
+        from tablescope.operators.quantiles import _bracket_counts
+        got = _bracket_counts(wide, [(0, (-1.0, -0.5)), (0, (0.25, 0.25)), (0, (0.3, float("inf")))])
+    finally:
+        type(wide).mapInArrow = original
+    rows = wide.toPandas().dropna()
+    for (_, (lo, hi)), (below, buckets) in got.items():
+        assert below == rows.w[rows.q0 < lo].sum()
+        inside = rows[(rows.q0 >= lo) & (rows.q0 <= hi)]
+        assert sum(c for c, _, _ in buckets) == inside.w.sum()
+        for c, a, z in buckets:
+            assert c == inside.w[(inside.q0 >= a) & (inside.q0 <= z)].sum()
+    assert plan
+
+
 def brute_ks(a, b):
     grid = np.unique(np.concatenate([a, b]))
     one, two = np.searchsorted(np.sort(a), grid, "right"), np.searchsorted(np.sort(b), grid, "right")
