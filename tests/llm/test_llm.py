@@ -352,6 +352,19 @@ def test_exchange_raises_likelihood():
     assert value(class_lm.exchange(counts, 3, 8)) > value(class_lm.exchange(counts, 3, 0))
 
 
+@pytest.mark.parametrize("hot", [4, 0])
+def test_class_lm_does_not_depend_on_how_many_words_are_sent(spark, monkeypatch, hot):
+    texts = [" ".join(f"{w}{i % k}" for i in range(60)) for k in (3, 7, 11) for w in ("Ab", "cd", "xyz")] + ["once cd1", None]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    scores = lambda: {r.id: r for r in class_lm.score(docs, *class_lm.train(docs, words=20)).collect()}
+    want = scores()
+    monkeypatch.setattr(class_lm, "HOT_WORDS", hot)
+    got = scores()
+    for i, r in want.items():
+        assert (got[i].n_tokens, got[i].n_known, got[i].train_tokens) == (r.n_tokens, r.n_known, r.train_tokens)
+        assert got[i].base_score == pytest.approx(r.base_score, rel=1e-9) and got[i].score == pytest.approx(r.score, rel=1e-9)
+
+
 def test_class_lm_odd(spark, odd, empty):
     for teach in (odd, empty):
         model, counts = class_lm.train(teach)
