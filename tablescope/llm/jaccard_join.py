@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from tablescope.llm import hashing
 from tablescope.llm.components import connected_components
+from tablescope.llm.pairs import repeated
 from tablescope.llm.storage import written
 
 WORDS = hashing.spaced_words_table()
@@ -223,8 +224,7 @@ def _linked(docs: DataFrame, text_col: str, rows: DataFrame, size: int, percent:
     heads = groups.select("grp", "head")
     members = written(rows.join(groups.where("head <> last").select("grp", "head"), "grp").select("grp", "head", "node").distinct(), "members")
     postings = groups.select("grp", "n", F.posexplode("prefix").alias("pos", "bucket"))
-    often = postings.groupBy("bucket").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("bucket")
-    shared = written(postings.join(often, "bucket"), "shared")
+    shared = written(repeated(postings), "shared")
 
     hubs = shared.groupBy("bucket").agg(F.min(F.struct("pos", "grp", "n")).alias("hub")).select("bucket", "hub.*")
     met = _group_pairs(hubs, shared, F.lit(True), percent)

@@ -23,7 +23,7 @@ from hashlib import blake2b
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablescope.llm import hashing
@@ -94,16 +94,6 @@ def signatures(h: np.ndarray, offsets: np.ndarray, slots: int) -> np.ndarray:
     return table
 
 
-def band_keys(table: np.ndarray, bands: int) -> np.ndarray:
-    """Per line and band one 64-bit number."""
-    rows = table.shape[1] // bands
-    cut = table[:, :bands * rows].reshape(len(table), bands, rows)
-    out = np.arange(bands, dtype=np.uint64)[None, :] * _SPREAD
-    for k in range(rows):
-        out = hashing.mix(out * _BASE + cut[:, :, k])
-    return out.view(np.int64)
-
-
 def _found(batch, size: int = 1 << 18):
     """(rows, places, lines) of the lines of a batch, a few hundred thousand characters at a time."""
     rows, places, lines, total = [], [], [], 0
@@ -121,7 +111,7 @@ def _found(batch, size: int = 1 << 18):
 
 
 def _signed(texts: DataFrame, bands: int, rows_per_band: int) -> DataFrame:
-    """(node, n, bands, marks) of the distinct lines: number of distinct grams, band keys, a byte of each slot."""
+    """(node, n, marks) of the distinct lines: number of distinct grams, a byte of each slot."""
 
     def rows(parts):
         known: set[int] = set()
@@ -140,14 +130,15 @@ def _signed(texts: DataFrame, bands: int, rows_per_band: int) -> DataFrame:
                     h, at = _grams([s for s, new in zip(lines, fresh) if new])
                     table = signatures(h, at, bands * rows_per_band)
                     marks = pa.array([row.tobytes() for row in table.astype(np.uint8)], pa.binary())
-                    table = band_keys(table, bands)
-                    cut = pa.array(np.arange(len(keys) + 1) * bands, pa.int32())
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(keys), pa.array(_distinct(h, at), pa.int32()),
-                         pa.ListArray.from_arrays(cut, pa.array(table.reshape(-1))), marks],
-                        names=["node", "n", "bands", "marks"])
+                    yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(_distinct(h, at), pa.int32()), marks],
+                                                     names=["node", "n", "marks"])
+
+    return texts.mapInArrow(rows, "node long, n int, marks binary").dropDuplicates(["node"])
+
 
-    return texts.mapInArrow(rows, "node long, n int, bands array<long>, marks binary").dropDuplicates(["node"])
+def band_buckets(bands: int, rows_per_band: int) -> Column:
+    """One 64-bit number for each band of `marks`. Bands that agree have the same; others by chance, once in 2**40 pairs."""
+    return F.array(*[F.xxhash64(F.lit(b), F.substring("marks", 1 + b * rows_per_band, rows_per_band)) for b in range(bands)])
 
 
 def _occurrences(texts: DataFrame) -> DataFrame:
@@ -242,7 +233,7 @@ def line_components(texts: DataFrame, percent: int = 80, bands: int = 12, rows_p
         return _verified(near, written(_line_texts(texts, ends), "line-texts"), percent)
 
     fits = f"{percent} * greatest(a.n, b.n) <= 100 * least(a.n, b.n)"
-    return link_buckets(signed.select(F.explode("bands").alias("bucket"), "node", "n"), verify, fits, "line")
+    return link_buckets(signed.select(F.explode(band_buckets(bands, rows_per_band)).alias("bucket"), "node", "n"), verify, fits, "line")
 
 
 def repeated_places(texts: DataFrame, parts: DataFrame) -> DataFrame:

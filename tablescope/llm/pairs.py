@@ -9,12 +9,19 @@ could join two components is lost, and pairs inside a component are not made at
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablescope.llm.components import connected_components
 from tablescope.llm.storage import written
 
+
+def repeated(postings: DataFrame) -> DataFrame:
+    """The postings of buckets that hold more than one. They are read and shuffled once."""
+    times = F.count(F.lit(1)).over(Window.partitionBy("bucket"))
+    return postings.withColumn("times", times).where("times > 1").drop("times")
+
+
 def link_buckets(postings: DataFrame, verify: Callable[[DataFrame], DataFrame], possible: str, name: str,
                  first: str = "node") -> DataFrame:
     """(node, component) of all nodes that have a link.
@@ -23,8 +30,7 @@ def link_buckets(postings: DataFrame, verify: Callable[[DataFrame], DataFrame],
     postings `a` and `b` of a bucket that holds at least once for each pair that links.
     `verify`: takes pairs (src, dst), returns those that link. `first`: numeric expression, least in the hub.
     """
-    often = postings.groupBy("bucket").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("bucket")
-    shared = written(postings.join(often, "bucket"), f"{name}-shared")
+    shared = written(repeated(postings), f"{name}-shared")
     hubs = shared.groupBy("bucket").agg(F.min_by("node", F.expr(first)).alias("node"))
     hubs = written(shared.join(hubs, ["bucket", "node"]).dropDuplicates(["bucket"]), f"{name}-hubs")
     star = written(_candidates(hubs, shared, F.lit(True), possible), f"{name}-star")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from oracle import compare, connect
+from tablescope.llm.pairs import link_buckets
 from tablescope.llm import (bpe_automaton, class_lm, compact_windows, components, decontamination, hashing, html_blocks,
                             jaccard_join, language_id, line_dedup, queries, toxicity, vp_trees)
 from tablescope.llm.storage import ship
@@ -574,3 +575,24 @@ def test_stages_decide_for_rows(spark):
     for g in groups:
         stay = [i for t, i in g.items() if t in got]
         assert stay == [min((i for i in g.values() if i is not None), default=None)]
+
+
+def test_postings_are_read_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def rows(parts):
+        for batch in parts:
+            seen.add(batch.num_rows)
+            yield batch
+
+    made = spark.range(90).selectExpr("id % 50 as bucket", "id as node", "1L as n").mapInArrow(rows, "bucket long, node long, n long")
+    got = link_buckets(made, lambda pairs: pairs, "true", "once").collect()
+    assert sorted(r.node for r in got) == [*range(40), *range(50, 90)] and seen.value == 90
+
+
+def test_line_signatures_are_a_byte_a_slot(spark):
+    texts = spark.createDataFrame([(1, "a line of words\nb"), (2, "a line of words"), (3, None)], "id long, text string")
+    signed = line_dedup._signed(texts, 12, 5)
+    assert signed.columns == ["node", "n", "marks"] and [len(r.marks) for r in signed.collect()] == [60, 60]
+    buckets = signed.select(line_dedup.band_buckets(12, 5).alias("b")).collect()
+    assert all(len(set(r.b)) == 12 for r in buckets)
