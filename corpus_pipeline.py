@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tablescope.llm import bpe_automaton, decontamination, jaccard_join, language_id, line_dedup
 from tablescope.llm.queries import tokenizer_path
-from tablescope.llm.storage import keyed, ship, written
+from tablescope.llm.storage import dropped, keyed, ship, written
 
 LEAST_SHARE = 0.5
 
@@ -45,15 +45,19 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     groups = jaccard_join.similar_components(docs, "__row").select(F.col("id").alias("__row"), "component_id")
     rank = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "__row")
     stay = docs.select("doc_id", "__row").join(groups, "__row").groupBy("component_id").agg(F.min(rank).alias("first"))
-    return docs.join(stay.select("first.__row"), "__row", "left_semi").drop("__row")
+    stay = written(stay.select("first.__row"), "first-rows")
+    dropped(groups)
+    return docs.join(stay, "__row", "left_semi").drop("__row")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark passage."""
     ship(spark)
     docs = keyed(docs, "__row")
-    hits = decontamination.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="__row")
-    bad = hits.where(F.size("starts") > 0).select(F.col("id").alias("__row"))
+    index = decontamination.build_index(docs, "__row")
+    hits = decontamination.search(index, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    bad = written(hits.where(F.size("starts") > 0).select(F.col("id").alias("__row")), "contaminated")
+    dropped(index)
     return docs.join(bad, "__row", "left_anti").drop("__row")
 
 

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from tablescope.llm import hashing
 from tablescope.llm.components import connected_components
 from tablescope.llm.pairs import repeated
-from tablescope.llm.storage import written
+from tablescope.llm.storage import dropped, written
 
 WORDS = hashing.spaced_words_table()
 SKETCH_BITS = 18
@@ -217,7 +217,9 @@ def _linked(docs: DataFrame, text_col: str, rows: DataFrame, size: int, percent:
     def verify(pairs: DataFrame, name: str) -> DataFrame:
         near = written(_near(pairs, rows, percent), f"{name}-near")
         ends = written(near.selectExpr("src as node").union(near.selectExpr("dst")).distinct(), f"{name}-ends")
-        return written(_verified(near, _whole_sets(docs, text_col, size, ends), percent), f"{name}-links")
+        links = written(_verified(near, _whole_sets(docs, text_col, size, ends), percent), f"{name}-links")
+        dropped(near, ends)
+        return links
 
     groups = rows.where("n > 0").groupBy("grp").agg(F.min("row").alias("row"), F.min("node").alias("head"), F.max("node").alias("last"))
     groups = written(rows.select("row", F.col("n").cast("int").alias("n"), "prefix").join(groups, "row"), "groups")
@@ -238,6 +240,7 @@ def _linked(docs: DataFrame, text_col: str, rows: DataFrame, size: int, percent:
                     .join(parts, "node", "left").select("grp", "node", F.coalesce("component", "node").alias("part")), "named")
     spread = named.groupBy("grp").agg(F.min("part").alias("p"), F.max("part").alias("q"))
     known = written(shared.join(spread, "grp"), "known")
+    dropped(shared)
     mixed = known.groupBy("bucket").agg(F.min("p").alias("least"), F.max("q").alias("most")).where("least <> most").select("bucket")
     rest = written(known.join(mixed, "bucket"), "rest")
     apart = (F.col("a.grp") < F.col("b.grp")) & ~((F.col("a.p") == F.col("b.q")) & (F.col("a.q") == F.col("b.p")))
@@ -245,8 +248,14 @@ def _linked(docs: DataFrame, text_col: str, rows: DataFrame, size: int, percent:
     a, b = named.toDF("g", "src", "p"), named.toDF("h", "dst", "q")
     more = met.join(a, "g").join(b, (met["h"] == b["h"]) & (F.col("p") != F.col("q"))) \
         .select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
-    late = verify(written(more.join(star, ["src", "dst"], "left_anti"), "more"), "late")
-    return connected_components(links.union(late), "late") if late.take(1) else parts
+    more = written(more.join(star, ["src", "dst"], "left_anti"), "more")
+    dropped(known, rest, named, groups, members)
+    late = verify(more, "late")
+    if late.take(1):
+        known, parts = parts, connected_components(links.union(late), "late")
+        dropped(known)
+    dropped(star, links, more, late)
+    return parts
 
 
 def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5,
@@ -255,8 +264,9 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rows = written(grouped_prefixes(docs, id_col, text_col, size, percent)
                    .withColumn("row", F.monotonically_increasing_id()), "prefixes")
     parts = _linked(docs, text_col, rows, size, percent)
-    named = rows.select("id", "n", "node").join(parts, "node", "left") \
-        .withColumn("component", F.coalesce("component", "node"))
+    named = written(rows.select("id", "n", "node").join(parts, "node", "left")
+                    .withColumn("component", F.coalesce("component", "node")), "named-rows")
+    dropped(rows, parts)
     least = named.where("n > 0").groupBy("component").agg(F.min("id").alias("least"))
     return named.join(least, "component", "left").select(
         "id", F.col("n").alias("n_shingles"),

@@ -6,6 +6,7 @@ import re
 import string
 import time
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -15,7 +16,7 @@ import corpus_pipeline
 from oracle import compare, connect
 from tablescope.llm.pairs import link_buckets
 from tablescope.llm import (bpe_automaton, class_lm, compact_windows, components, decontamination, hashing, html_blocks,
-                            jaccard_join, language_id, line_dedup, queries, toxicity, vp_trees)
+                            jaccard_join, language_id, line_dedup, queries, storage, toxicity, vp_trees)
 from tablescope.llm.storage import ship
 
 FOLDER = "/root/testdata/sf0.001"
@@ -596,3 +597,17 @@ def test_line_signatures_are_a_byte_a_slot(spark):
     assert signed.columns == ["node", "n", "marks"] and [len(r.marks) for r in signed.collect()] == [60, 60]
     buckets = signed.select(line_dedup.band_buckets(12, 5).alias("b")).collect()
     assert all(len(set(r.b)) == 12 for r in buckets)
+
+
+def test_tables_go_once_nothing_reads_them(spark):
+    folder = Path(storage.shared_folder(spark)) / spark.sparkContext.applicationId
+    lines = [f"line {i} of words that stand in this text {i * i}" for i in range(20)]
+    rows = [(i, "\n".join(lines[i % 7:i % 7 + 5]) + f"\nown words {i} of the text {i * 17}") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for stage, kept in ((corpus_pipeline.drop_repeated_lines, {"keyed-rows", "places"}),
+                        (corpus_pipeline.drop_near_copies, {"keyed-rows", "first-rows"}),
+                        (corpus_pipeline.drop_contaminated, {"keyed-rows", "contaminated"})):
+        before = {p.name for p in folder.iterdir()} if folder.exists() else set()
+        done = stage(spark, df, FOLDER)
+        assert done.count() <= 40
+        assert {p.name.rsplit("-", 1)[0] for p in folder.iterdir() if p.name not in before} == kept
