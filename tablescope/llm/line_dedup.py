@@ -18,6 +18,7 @@ id come in the order in which they are read. A null id comes first. Lines are id
 Other columns of the table are kept as they are.
 """
 
+import math
 from hashlib import blake2b
 
 import numpy as np
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from tablescope.llm import hashing
 from tablescope.llm.pairs import link_buckets
-from tablescope.llm.storage import keyed, written
+from tablescope.llm.storage import dropped, keyed, written
 
 GRAM = 5
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
@@ -180,16 +181,32 @@ def _line_texts(texts: DataFrame, nodes: DataFrame, bits: int = 1 << 20) -> Data
     return texts.mapInArrow(rows, "node long, line string").join(nodes, "node", "left_semi").dropDuplicates(["node"])
 
 
+def _least_alike(slots: int, percent: int) -> int:
+    """In as many of the slots lines that link agree but once in some ten thousand times."""
+    p = percent / 100
+    return math.ceil(p * slots - 4 * math.sqrt(slots * p * (1 - p)))
+
+
+def _mark_numbers(slots: int) -> list[Column]:
+    """The bytes of `marks` as numbers m0, m1, ... of seven bytes each."""
+    return [F.conv(F.hex(F.substring("marks", 1 + k, 7)), 16, 10).cast("long").alias(f"m{k // 7}") for k in range(0, slots, 7)]
+
+
+def _agreeing(slots: int) -> str:
+    """SQL: number of equal bytes in the numbers of `a` and `b`. A byte that differs has its high bit set by the sum or by itself."""
+    low, high = int("7F" * 7, 16), int("80" * 7, 16)
+    x = [f"(a.m{k} ^ b.m{k})" for k in range(-(-slots // 7))]
+    return f"{slots} - (" + " + ".join(f"bit_count(((({d} & {low}L) + {low}L) | {d}) & {high}L)" for d in x) + ")"
+
+
 def _alike(pairs: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose signatures agree in as many slots as lines that link do but once in some ten thousand times."""
+    """Pairs whose signatures agree in `_least_alike` slots or more."""
 
     def check(parts):
         for batch in parts:
             a, b = (np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(batch.num_rows, -1) if batch.num_rows else
                     np.zeros((0, 1), np.uint8) for c in (batch.column(2), batch.column(3)))
-            slots, p = a.shape[1], percent / 100
-            least = p * slots - 4 * np.sqrt(slots * p * (1 - p))
-            yield batch.select([0, 1]).filter(pa.array((a == b).sum(axis=1) >= least))
+            yield batch.select([0, 1]).filter(pa.array((a == b).sum(axis=1) >= _least_alike(a.shape[1], percent)))
 
     joined = pairs.join(marks.toDF("src", "a"), "src").join(marks.toDF("dst", "b"), "dst").select("src", "dst", "a", "b")
     return joined.mapInArrow(check, "src long, dst long")
@@ -230,10 +247,17 @@ def line_components(texts: DataFrame, percent: int = 80, bands: int = 12, rows_p
     def verify(pairs: DataFrame) -> DataFrame:
         near = written(_alike(pairs, marks, percent), "alike")
         ends = written(near.selectExpr("src as node").union(near.selectExpr("dst")).distinct(), "line-ends")
-        return _verified(near, written(_line_texts(texts, ends), "line-texts"), percent)
+        found = written(_line_texts(texts, ends), "line-texts")
+        links = written(_verified(near, found, percent), "line-links")
+        dropped(near, ends, found)
+        return links
 
+    slots = bands * rows_per_band
     fits = f"{percent} * greatest(a.n, b.n) <= 100 * least(a.n, b.n)"
-    return link_buckets(signed.select(F.explode(band_buckets(bands, rows_per_band)).alias("bucket"), "node", "n"), verify, fits, "line")
+    parts = link_buckets(signed.select(F.explode(band_buckets(bands, rows_per_band)).alias("bucket"), "node", "n"), verify, fits, "line",
+                         details=marks.select("node", *_mark_numbers(slots)), likely=f"{_agreeing(slots)} >= {_least_alike(slots, percent)}")
+    dropped(signed)
+    return parts
 
 
 def repeated_places(texts: DataFrame, parts: DataFrame) -> DataFrame:
@@ -244,7 +268,9 @@ def repeated_places(texts: DataFrame, parts: DataFrame) -> DataFrame:
     first = seen.groupBy("component").agg(F.min(F.struct("id", "row", "place")).alias("first"), F.count(F.lit(1)).alias("times")) \
         .where("times > 1").select("component", F.col("first.row").alias("first_row"), F.col("first.place").alias("first_place"))
     late = seen.join(first, "component").where("row <> first_row or place <> first_place")
-    return late.groupBy("row").agg(F.collect_set("place").alias("places"))
+    places = written(late.groupBy("row").agg(F.collect_set("place").alias("places")), "places")
+    dropped(seen)
+    return places
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80,
@@ -257,7 +283,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = keyed(docs.select([F.col(f"`{c}`") for c in kept]), "__row")
     texts = rows.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"),
                         F.col("__row").alias("row"))
-    places = repeated_places(texts, line_components(texts.select("id", "text"), percent))
+    parts = line_components(texts.select("id", "text"), percent)
+    places = repeated_places(texts, parts)
+    dropped(parts)
 
     @F.pandas_udf("text string, n int, kept int")
     def cut(text: pd.Series, drop: pd.Series) -> pd.DataFrame:

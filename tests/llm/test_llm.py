@@ -611,3 +611,29 @@ def test_tables_go_once_nothing_reads_them(spark):
         done = stage(spark, df, FOLDER)
         assert done.count() <= 40
         assert {p.name.rsplit("-", 1)[0] for p in folder.iterdir() if p.name not in before} == kept
+
+
+def test_members_of_a_bucket_are_paired_only_where_details_allow(spark):
+    seen = []
+
+    def verify(pairs):
+        seen.append(pairs.count())
+        return storage.written(pairs.where("src % 30 = dst % 30"), "made-links")
+
+    made = spark.range(60).selectExpr("1L as bucket", "id as node")
+    got = link_buckets(made, verify, "true", "few", details=spark.range(60).selectExpr("id as node", "id % 30 as m"), likely="a.m = b.m")
+    parts = defaultdict(set)
+    for r in got.collect():
+        parts[r.component].add(r.node)
+    assert sorted(map(sorted, parts.values())) == [[i, i + 30] for i in range(30)] and seen == [59, 29]
+
+
+def test_agreeing_marks_in_sql(spark):
+    rng = np.random.default_rng(4)
+    x = rng.integers(0, 256, (200, 60)).astype(np.uint8)
+    y = np.where(rng.random((200, 60)) < rng.random((200, 1)), x, rng.integers(0, 256, (200, 60))).astype(np.uint8)
+    marks = spark.createDataFrame([(i, v.tobytes()) for i, v in enumerate([*x, *y])], "node long, marks binary") \
+        .select("node", *line_dedup._mark_numbers(60))
+    joined = marks.alias("a").join(marks.alias("b"), F.expr("a.node + 200 = b.node"))
+    got = {r.node: r.n for r in joined.select("a.node", F.expr(line_dedup._agreeing(60)).alias("n")).collect()}
+    assert got == dict(enumerate((x == y).sum(axis=1).tolist()))
