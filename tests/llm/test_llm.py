@@ -637,3 +637,31 @@ def test_agreeing_marks_in_sql(spark):
     joined = marks.alias("a").join(marks.alias("b"), F.expr("a.node + 200 = b.node"))
     got = {r.node: r.n for r in joined.select("a.node", F.expr(line_dedup._agreeing(60)).alias("n")).collect()}
     assert got == dict(enumerate((x == y).sum(axis=1).tolist()))
+
+
+def test_only_shared_windows_are_joined(spark):
+    rng = random.Random(12)
+    make = lambda n: [f"v{rng.randrange(10**6)}" for _ in range(n)]
+    shared = make(90)
+    rows = [(i, " ".join(make(rng.randrange(300)) + (with_edits(shared, 7 * i) if i < 8 else []) + make(40))) for i in range(40)]
+    rows += [(3, rows[5][1]), (50, ""), (51, "a b c")]
+    texts = spark.createDataFrame(rows, "id long, text string").withColumn("row", F.monotonically_increasing_id())
+    windows = compact_windows._windows(texts, 5, 46, 5)
+    kept = compact_windows._shared_windows(windows)
+    want = defaultdict(list)
+    for i, text in rows:
+        h, _ = hashing.word_hashes([text.encode()], compact_windows.WORDS)
+        s = hashing.shingles(h, 5) if len(h) >= 5 else h[:0]
+        for k, *places in zip(*(x.tolist() for x in compact_windows.passage_keys(s, 46, 5, 2))):
+            want[k].append((i, *places))
+    want = sorted((k, *m) for k, members in want.items() if len({m[0] for m in members}) > 1 for m in members)
+    got = compact_windows._shared(compact_windows._keys(kept, 5, 2)).collect()
+    assert sorted((r.key % 2**64, r.id, r.begin, r["first"], r["last"]) for r in got) == want and want
+    assert kept.count() < windows.count() / 3
+
+
+def test_windows_of_long_rows_in_time():
+    s = hashing.mix(np.arange(1_000_000, dtype=np.uint64))
+    start = time.process_time()
+    tree = compact_windows.tree_windows(s, 46, 5, np.arange(0, 1_000_001, 500))
+    assert len(tree[0]) > 5 * 1_000_000 // 46 and time.process_time() - start < 5
