@@ -665,3 +665,66 @@ def test_windows_of_long_rows_in_time():
     start = time.process_time()
     tree = compact_windows.tree_windows(s, 46, 5, np.arange(0, 1_000_001, 500))
     assert len(tree[0]) > 5 * 1_000_000 // 46 and time.process_time() - start < 5
+
+
+def test_class_lm_gives_every_word_a_class(spark):
+    """Words of two kinds of places, all but a few too rare for symbols of their own; their endings tell the kind of 7 in 10."""
+    rng = random.Random(5)
+    left, right = [f"l{i}q{'aaaaaaabbb'[i % 10]}" for i in range(300)], [f"r{i}q{'bbbbbbbaaa'[i % 10]}" for i in range(300)]
+    text = lambda: " ".join(w for _ in range(60) for w in rng.choice([("the", rng.choice(left), "sat"), ("of", rng.choice(right), "ran")]))
+    docs = spark.createDataFrame([(i, text()) for i in range(150)], "doc_id long, text string")
+    model, table = class_lm.train(docs, words=34, classes=8)
+    rows = {r.word % 2**64: r for r in table.collect()}
+    c = Counter(w for r in docs.collect() for w in r.text.split())
+    hashes, _ = hashing.word_hashes([" ".join(c).encode()], class_lm.WORDS)
+    assert {h: rows[h].n for h in hashes.tolist()} == {h: c[w] for h, w in zip(hashes.tolist(), c)} and len(rows) == len(c)
+    of = {w: rows[h]["class"] for h, w in zip(hashes.tolist(), c)}
+    common = {side: Counter(of[w] for w in of if w[0] == side and w[-2] == "q").most_common(1)[0] for side in "lr"}
+    assert common["l"][0] != common["r"][0] and min(n for _, n in common.values()) > 270
+    got = class_lm.score(docs, model, table).collect()
+    assert all(r.score > r.base_score + 25 for r in got)   # the kind of 60 words is known from the word before
+
+
+def test_class_lm_is_a_distribution(spark):
+    texts = ["a b a c", "b a", "c c b a a", "d", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model, table = class_lm.train(docs, words=2, classes=2)
+    tries = spark.createDataFrame([(i, w) for i, w in enumerate(["a", "b", "c", "d", "", "zz"])], "doc_id long, text string")
+    classes = {r.id: r for r in class_lm.score(tries, model, table).collect()}
+    of = Counter({c: n for c, n in table.groupBy("class").count().collect()})
+    room = {c: sum(r.n + 1 for r in table.where(F.col("class") == c).collect()) + 1 for c in of}
+    assert all(10 ** model.room[c] == pytest.approx(room[c]) for c in room)
+    assert np.allclose((10 ** model.transition).sum(axis=1), 1) and all(np.isfinite(r.score) for r in classes.values())
+
+
+def test_exchange_ends_when_nothing_moves():
+    rng = np.random.default_rng(1)
+    counts = rng.poisson(0.3, (150, 150)).astype(float)
+    of = class_lm.exchange(counts, 8)
+    assert (class_lm.exchange(counts, 8, 1) != of).any() and (class_lm.exchange(counts, 8, 1000) == of).all()
+
+
+def test_best_classes_by_brute_force():
+    rng = np.random.default_rng(2)
+    size, k = 40, 5
+    line = np.append(size - 1, (rng.random(20_000) ** 3 * (size - 1)).astype(int))
+    line = line[np.append(True, line[1:] != line[:-1])]
+    counts = np.zeros((size, size))
+    np.add.at(counts, (line, np.roll(line, -1)), 1)     # a ring: as many before a word as after it
+    of = np.append(np.arange(size - 1) % (k - 1), k - 1)
+    member = np.eye(k)[of]
+    between = member.T @ counts @ member
+    code = np.tile(np.arange(2 * k), size - 1)
+    n = np.concatenate([np.concatenate([counts[w] @ member, counts[:, w] @ member]) for w in range(size - 1)]).astype(np.int64)
+    new = class_lm.best_classes(np.arange(0, len(n), 2 * k), code.astype(np.int64), n, of[:-1], between)
+    for w in range(size - 1):
+        out, into = counts[w] @ member, counts[:, w] @ member
+        f = lambda x: (x * np.log(np.maximum(x, 1e-300))).sum()
+
+        def near(g):    # rows and columns one by one, as the neighbours keep their classes
+            (row, r), (col, c) = ((x, x.sum()) for x in (between[g], between[:, g]))
+            if g == of[w]:
+                return f(row) - f(row - out) + f(col) - f(col - into) - (f(r) - f(r - out.sum())) - (f(c) - f(c - into.sum()))
+            return f(row + out) - f(row) + f(col + into) - f(col) - (f(r + out.sum()) - f(r)) - (f(c + into.sum()) - f(c))
+        gains = [near(g) for g in range(k - 1)]
+        assert new[w] == of[w] or gains[new[w]] == pytest.approx(max(gains))
