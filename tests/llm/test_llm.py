@@ -728,3 +728,24 @@ def test_best_classes_by_brute_force():
             return f(row + out) - f(row) + f(col + into) - f(col) - (f(r + out.sum()) - f(r)) - (f(c + into.sum()) - f(c))
         gains = [near(g) for g in range(k - 1)]
         assert new[w] == of[w] or gains[new[w]] == pytest.approx(max(gains))
+
+
+def test_written_leaves_no_shuffle_files(spark):
+    files = lambda: {f for f in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+                     .getAllFiles().mkString(" ").split() if "/shuffle_" in f}
+    before = files()
+    table = storage.written(spark.range(50_000).repartition(5, "id").groupBy((F.col("id") % 1000).alias("k")).count(), "counts")
+    deadline = time.time() + 20
+    while files() - before and time.time() < deadline:
+        time.sleep(0.2)
+    assert not files() - before and table.count() == 1000
+
+
+def test_candidates_in_passes(spark):
+    """So many candidates that they are verified in passes; texts of one id are one document."""
+    copied = " ".join(f"p{i}" for i in range(450))
+    rows = [(i, f"x{i} " * (i % 7) + copied) for i in range(500)] + [(4, "some more words"), (7, copied)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = compact_windows.repeated_passages(df).collect()
+    whole = {(r.id, r.rep_id, r.start_word) for r in got if r.end_word - r.start_word == 450 and r.rep_id == 0}
+    assert whole == {(i, 0, i % 7) for i in range(1, 500)} | {(7, 0, 0)}
